@@ -134,3 +134,75 @@ def hash_uniform(seed: np.ndarray, step: int) -> np.ndarray:
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z = z ^ (z >> np.uint64(31))
     return ((z >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
+
+
+def seed_centres(x, w, seed, count):
+    """Positions of up to `count` rows, picked with chance by weight × squared distance.
+
+    Each pick is the largest of log(u) / mass, which is a weighted draw without
+    any running state; the first n picks are the seeding for n centres. Fewer
+    are returned when every row already is a centre.
+    """
+    picks: list[int] = []
+    mass = w
+    near = np.full(len(x), np.inf)
+    for step in range(count):
+        with np.errstate(divide="ignore"):
+            key = np.where(mass > 0, np.log(hash_uniform(seed, step)) / mass, -np.inf)
+        pick = int(key.argmax())
+        if not mass[pick] > 0:
+            break
+        picks.append(pick)
+        near = np.minimum(near, ((x - x[pick]) ** 2).sum(axis=1))
+        mass = w * near
+    return picks
+
+
+def closest_centres(x, centres):
+    """Position of the closest centre for each row, and the squared distance."""
+    score = (centres**2).sum(axis=1)[None, :] - 2 * (x @ centres.T)
+    at = score.argmin(axis=1)
+    return at, ((x - centres[at]) ** 2).sum(axis=1)
+
+
+def centre_sums(x, w, at, count):
+    """Per centre: weighted sum of its rows, and their weight."""
+    share = np.zeros((len(x), count))
+    share[np.arange(len(x)), at] = w
+    return share.T @ x, share.sum(axis=0)
+
+
+def merge_closest(x, w, height):
+    """Full Ward tree of one block: (absorbed, survivor, height) in merge order.
+
+    Clusters that are each other's nearest merge together, round by round,
+    which gives the same tree as merging one closest pair at a time. The
+    survivor is the earlier row; equal costs prefer earlier rows.
+    """
+    x, w, height = x.copy(), w.copy(), height.copy()
+    n = len(x)
+    cost = sq_distances(x, x) * (w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
+    np.fill_diagonal(cost, np.inf)
+    live = np.ones(n, dtype=bool)
+    merges = []
+    while live.sum() > 1:
+        near = cost.argmin(axis=1)
+        rows = np.flatnonzero(live)
+        pairs = [(a, near[a]) for a in rows if a < near[a] and near[near[a]] == a]
+        for a, b in sorted(pairs, key=lambda p: (cost[p], p)):
+            height[a] = max(cost[a, b], height[a], height[b])
+            merges.append((b, a, height[a]))
+            x[a] = (w[a] * x[a] + w[b] * x[b]) / (w[a] + w[b])
+            w[a] += w[b]
+            live[b] = False
+        gone = [b for _, b in pairs]
+        cost[gone, :] = cost[:, gone] = np.inf
+        kept = np.flatnonzero(live)
+        changed = np.array([a for a, _ in pairs])
+        fresh = sq_distances(x[changed], x[kept]) * (
+            w[changed, None] * w[None, kept] / (w[changed, None] + w[None, kept])
+        )
+        fresh[changed[:, None] == kept[None, :]] = np.inf
+        cost[np.ix_(changed, kept)] = fresh
+        cost[np.ix_(kept, changed)] = fresh.T
+    return merges

@@ -35,11 +35,10 @@ class Cells:
     table: DataFrame
 
 
-def extend(schema: T.StructType, **fields) -> T.StructType:
-    out = T.StructType(list(schema.fields))
-    for name, kind in fields.items():
-        out = out.add(name, kind)
-    return out
+def extend(schema: T.StructType, **added) -> T.StructType:
+    """`schema` plus fields given as name=type, with types as in DDL."""
+    ddl = ", ".join(f"{name} {kind}" for name, kind in added.items())
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
 def fields(df: DataFrame, names) -> T.StructType:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +22,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from there.
+    """Write `df` to the shared checkpoint folder and go on from the stored table.
 
     Used where one table feeds several branches or a loop, so that neither a
-    lost executor nor the next branch recomputes what led to it.
+    lost executor nor the next branch recomputes what led to it. Stored as
+    parquet, so later steps read only the columns they need and the optimizer
+    knows the size; plans of loops do not grow with the rounds.
     """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_placed(df: DataFrame) -> DataFrame:
+    """Like `cut`, but keeps the partitioning of `df` for joins on the same keys."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
