@@ -45,11 +45,25 @@ def fields(df: DataFrame, names) -> T.StructType:
     return T.StructType([df.schema[n] for n in names])
 
 
-def cogrouped(left: DataFrame, right: DataFrame, names):
+def spread(df: DataFrame, names) -> DataFrame:
+    """`df` hashed on `names` over all shuffle partitions.
+
+    Block kernels cost far more than the bytes they read, so their partitions
+    must not be merged by size; a repartition with a given number never is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names)
+
+
+def grouped(df: DataFrame, names):
+    return spread(df, names).groupBy(*names)
+
+
+def cogrouped(left: DataFrame, right: DataFrame, names, placed: bool = False):
     """Both tables grouped on `names`; the right side gets columns of its own,
-    so that two tables of one origin can meet."""
+    so that two tables of one origin can meet. With `placed` the left side
+    already lies where `spread` would put it."""
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    return left.groupBy(*names).cogroup(right.groupBy(*names))
+    return (left.groupBy(*names) if placed else grouped(left, names)).cogroup(grouped(right, names))
 
 
 def group_sizes(points: DataFrame, keys, block: int = BLOCK) -> DataFrame:
@@ -201,11 +215,11 @@ def nearest(points: DataFrame, keys, k: int = 1, block: int = BLOCK, ward: bool
         return out.append_column("nid", b.column("id").take(pa.array(at[i, j]))).append_column("d", pa.array(value))
 
     small, large, sizes = split_large(points, keys, block)
-    result = small.groupBy(*keys).applyInArrow(within, schema)
+    result = grouped(small, keys).applyInArrow(within, schema)
     if large is None:
         return result
     cells = build_cells(large, keys, sizes)
-    local = cut(cells.points.groupBy(*keys, "cell", "sub").applyInArrow(within, schema))
+    local = cut(grouped(cells.points, [*keys, "cell", "sub"]).applyInArrow(within, schema))
     kth = local.groupBy(*keys, "id").agg(F.max("d").alias("bound"), F.count("*").alias("have"))
     bound = F.when(F.col("have") >= k, F.col("bound")).otherwise(F.lit(float("inf")))
     bounded = cells.points.join(kth, [*keys, "id"], "left").withColumn("bound", bound).drop("have")

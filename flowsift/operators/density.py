@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.kernels import components_in_block, constant, linked_labels, matrix
 from ..session import cut
-from .cells import BLOCK, build_cells, cogrouped, extend, fields, nearest, schema_empty, split_large, visits
+from .cells import BLOCK, build_cells, cogrouped, extend, fields, grouped, nearest, schema_empty, split_large, visits
 from .components import connected
 from .elbow import sorted_ranks
 
@@ -46,13 +46,13 @@ def eps_components(distinct: DataFrame, eps: DataFrame, keys, block: int = BLOCK
         return rows.select([*keys, "id"]).append_column("root", rows.column("id").take(pa.array(root)))
 
     schema = extend(fields(points, [*keys, "id"]), root="string")
-    result = small.join(eps, keys).groupBy(*keys).applyInArrow(within, schema)
+    result = grouped(small.join(eps, keys), keys).applyInArrow(within, schema)
     if large is None:
         return result
 
     cells = build_cells(large, keys, sizes)
     local = cut(
-        cells.points.join(eps, keys).groupBy(*keys, "cell", "sub").applyInArrow(within, schema)
+        grouped(cells.points.join(eps, keys), [*keys, "cell", "sub"]).applyInArrow(within, schema)
     )
     slack = 0.0 if digits is None else 10.0**-digits
     bounded = (

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.kernels import centre_sums, closest_centres, constant, floats, hash_uniform, matrix, seed_centres, vectors
 from ..session import cut, cut_placed
-from .cells import BLOCK, cogrouped, extend, fields, split_large
+from .cells import BLOCK, cogrouped, extend, fields, grouped, split_large, spread
 from .elbow import elbow
 
 K_MIN, K_MAX = 2, 29
@@ -90,7 +90,7 @@ def kmeans_grid(distinct: DataFrame, keys, restarts: int = RESTARTS, seed: int =
         return _centre_rows(rows, keys, list(best.values()))
 
     small, large, sizes = split_large(points, keys, block)
-    result = small.groupBy(*keys).applyInArrow(sweep, schema)
+    result = grouped(small, keys).applyInArrow(sweep, schema)
     if large is None:
         return result
     return result.unionByName(_large_grid(large, sizes, keys, restarts, schema))
@@ -104,21 +104,18 @@ def _variance(x, w):
 
 def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema) -> DataFrame:
     blocks = F.ceil(F.col("n") / F.col("lim")).cast("int")
-    spread = points.join(sizes.select(*keys, "n", "lim"), keys).withColumn("blocks", blocks)
+    placed = points.join(sizes.select(*keys, "n", "lim"), keys).withColumn("blocks", blocks)
     here = [*keys, "blk"]
     # stored already split by block, so that the passes below need not move the vectors
-    spread = cut_placed(
-        spread.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .drop("n", "lim")
-        .repartition(*here)
-    )
-    counts = cut(spread.select(*keys, "blocks").distinct())
+    placed = placed.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("n", "lim")
+    placed = cut_placed(spread(placed, here))
+    counts = cut(placed.select(*keys, "blocks").distinct())
 
     def copies(table: DataFrame) -> DataFrame:
         return table.join(counts, keys).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
-    start = _large_seeds(spread, copies, keys, restarts, schema)
-    stats = spread.groupBy(*keys).agg(
+    start = _large_seeds(placed, copies, keys, restarts, schema)
+    stats = placed.groupBy(*keys).agg(
         Summarizer.metrics("variance").summary(array_to_vector("vec"), F.col("weight")).alias("s")
     )
     limits = cut(
@@ -150,7 +147,7 @@ def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema
 
     def advance(centres: DataFrame) -> DataFrame:
         sums = (
-            cogrouped(spread.select(*here, "vec", "weight"), copies(centres.select(*run, "c", "centre")), here)
+            cogrouped(placed, copies(centres.select(*run, "c", "centre")), here, placed=True)
             .applyInArrow(step, partial)
             .groupBy(*run, "c")
             .agg(
@@ -191,7 +188,7 @@ def _partial_rows(centres: pa.Table, keys, sums, mass, cost) -> pa.Table:
     return out
 
 
-def _large_seeds(spread: DataFrame, copies, keys, restarts: int, schema) -> DataFrame:
+def _large_seeds(placed: DataFrame, copies, keys, restarts: int, schema) -> DataFrame:
     """First centres of the large groups, from candidates drawn over a few passes.
 
     A pass draws up to 2 × 29 vectors per restart by weight × squared distance
@@ -200,7 +197,7 @@ def _large_seeds(spread: DataFrame, copies, keys, restarts: int, schema) -> Data
     """
     draw = 2 * K_MAX
     here = [*keys, "blk"]
-    offer = extend(fields(spread, keys), restart="integer", id="string", vec="array<double>", h="long", race="double")
+    offer = extend(fields(placed, keys), restart="integer", id="string", vec="array<double>", h="long", race="double")
 
     def pick(step: int):
         def offers(rows: pa.Table, candidates: pa.Table | None) -> pa.Table:
@@ -226,16 +223,15 @@ def _large_seeds(spread: DataFrame, copies, keys, restarts: int, schema) -> Data
         return offers
 
     first = pick(0)
-    table = spread.select(*here, "id", "vec", "weight", "h")
     rank = F.row_number().over(W.partitionBy(*keys, "restart").orderBy(F.col("race").desc(), "id"))
-    drawn = table.groupBy(*here).applyInArrow(lambda rows: first(rows, None), offer)
+    drawn = placed.groupBy(*here).applyInArrow(lambda rows: first(rows, None), offer)
     chosen = cut(drawn.withColumn("r", rank).filter("r <= 1").drop("r", "race"))
     for step in range(1, SEED_PASSES + 1):
-        drawn = cogrouped(table, copies(chosen.select(*keys, "restart", "id", "vec")), here).applyInArrow(pick(step), offer)
+        drawn = cogrouped(placed, copies(chosen.select(*keys, "restart", "id", "vec")), here, placed=True).applyInArrow(pick(step), offer)
         more = drawn.withColumn("r", rank).filter(F.col("r") <= draw).drop("r", "race")
         chosen = cut(chosen.unionByName(more).dropDuplicates([*keys, "restart", "id"]))
 
-    served = extend(fields(spread, keys), restart="integer", id="string", weight="double")
+    served = extend(fields(placed, keys), restart="integer", id="string", weight="double")
 
     def shares(rows: pa.Table, candidates: pa.Table) -> pa.Table:
         x, w = matrix(rows), floats(rows, "weight")
@@ -248,7 +244,7 @@ def _large_seeds(spread: DataFrame, copies, keys, restarts: int, schema) -> Data
         return pa.concat_tables(out)
 
     weights = (
-        cogrouped(table, copies(chosen.select(*keys, "restart", "id", "vec")), here)
+        cogrouped(placed, copies(chosen.select(*keys, "restart", "id", "vec")), here, placed=True)
         .applyInArrow(shares, served)
         .groupBy(*keys, "restart", "id")
         .agg(F.sum("weight").alias("weight"))
@@ -262,7 +258,7 @@ def _large_seeds(spread: DataFrame, copies, keys, restarts: int, schema) -> Data
         return _centre_rows(rows, keys, found)
 
     weighted = chosen.join(weights, [*keys, "restart", "id"])
-    return cut(weighted.groupBy(*keys, "restart").applyInArrow(settle, schema).drop("inertia"))
+    return cut(grouped(weighted, [*keys, "restart"]).applyInArrow(settle, schema).drop("inertia"))
 
 
 def inertia_curve(grid: DataFrame, keys) -> DataFrame:

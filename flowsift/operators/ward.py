@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.kernels import floats, matrix, merge_closest
 from ..session import cut
-from .cells import BLOCK, extend, fields, nearest, split_large
+from .cells import BLOCK, extend, fields, grouped, nearest, split_large
 from .components import follow
 from .density import number_clusters
 from .kmeans import K_MAX
@@ -72,7 +72,7 @@ def _finish(clusters: DataFrame, earlier: DataFrame | None, chosen: DataFrame, k
         )
 
     schema = extend(fields(clusters, [*keys, "id"]), root="string", undone="integer")
-    return rows.groupBy(*keys).applyInArrow(complete, schema)
+    return grouped(rows, keys).applyInArrow(complete, schema)
 
 
 def _large_roots(small: DataFrame, large: DataFrame, chosen: DataFrame, keys, block: int) -> DataFrame:

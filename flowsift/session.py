@@ -36,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_placed(df: DataFrame) -> DataFrame:
-    """Like `cut`, but keeps the partitioning of `df` for joins on the same keys."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Like `cut`, but keeps the hash partitioning of `df` for later joins on the same keys.
+
+    An adaptive plan may still change its partitioning while it runs, so a
+    checkpoint of one promises none; this one is planned without.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
