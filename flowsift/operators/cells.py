@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.kernels import constant, floats, matrix, nearest_in_block, row_chunks, sq_distances
 from ..functions.scalars import uniform
 from ..session import cut
+from .joins import attach, spread
 
 BLOCK = 1024
 SLACK = 1e-9  # keeps rounding from pruning a cell that holds a tie
@@ -45,15 +46,6 @@ def fields(df: DataFrame, names) -> T.StructType:
     return T.StructType([df.schema[n] for n in names])
 
 
-def spread(df: DataFrame, names) -> DataFrame:
-    """`df` hashed on `names` over all shuffle partitions.
-
-    Block kernels cost far more than the bytes they read, so their partitions
-    must not be merged by size; a repartition with a given number never is.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names)
-
-
 def grouped(df: DataFrame, names):
     return spread(df, names).groupBy(*names)
 
@@ -79,7 +71,7 @@ def split_large(points: DataFrame, keys, block: int = BLOCK):
     if large.isEmpty():
         return points, None, large
     names = large.select(*keys)
-    return points.join(names, list(keys), "left_anti"), points.join(names, list(keys), "left_semi"), large
+    return attach(points, names, keys, "id", "left_anti"), attach(points, names, keys, "id", "left_semi"), large
 
 
 def build_cells(points: DataFrame, keys, sizes: DataFrame) -> Cells:
@@ -89,7 +81,7 @@ def build_cells(points: DataFrame, keys, sizes: DataFrame) -> Cells:
     a copy of its group's pivots, of which there are about n / lim.
     """
     keys = list(keys)
-    tagged = points.join(sizes, keys).withColumn("u", uniform("id"))
+    tagged = attach(points, sizes, keys, "id").withColumn("u", uniform("id"))
     blocks = F.ceil(F.col("n") / F.col("lim")).cast("int")
     tagged = tagged.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     pivots = tagged.filter((F.col("u") * F.col("lim") < 1) | (F.col("u") == F.col("u0"))).select(

@@ -17,6 +17,7 @@ from ..session import cut
 from .cells import BLOCK, build_cells, cogrouped, extend, fields, grouped, nearest, schema_empty, split_large, visits
 from .components import connected
 from .elbow import sorted_ranks
+from .joins import attach
 
 NOISE = -1
 
@@ -46,20 +47,17 @@ def eps_components(distinct: DataFrame, eps: DataFrame, keys, block: int = BLOCK
         return rows.select([*keys, "id"]).append_column("root", rows.column("id").take(pa.array(root)))
 
     schema = extend(fields(points, [*keys, "id"]), root="string")
-    result = grouped(small.join(eps, keys), keys).applyInArrow(within, schema)
+    result = grouped(attach(small, eps, keys, "id"), keys).applyInArrow(within, schema)
     if large is None:
         return result
 
     cells = build_cells(large, keys, sizes)
     local = cut(
-        grouped(cells.points.join(eps, keys), [*keys, "cell", "sub"]).applyInArrow(within, schema)
+        grouped(attach(cells.points, eps, keys, "id"), [*keys, "cell", "sub"]).applyInArrow(within, schema)
     )
     slack = 0.0 if digits is None else 10.0**-digits
-    bounded = (
-        cells.points.join(local, [*keys, "id"])
-        .join(eps, keys)
-        .withColumn("bound", F.col("eps") + F.lit(slack))
-    )
+    rooted = cells.points.join(local, [*keys, "id"])
+    bounded = attach(rooted, eps, keys, "id").withColumn("bound", F.col("eps") + F.lit(slack))
     visitors, hosts = visits(cells, bounded, keys)
     # each pair of cells once
     visitors = visitors.filter(F.struct("cell", "sub") > F.struct("home", "home_sub"))
@@ -108,10 +106,11 @@ def density_clusters(
     """
     keys = list(keys)
     roots = eps_components(distinct, eps, keys, block, digits)
+    known = roots.join(distances.select(*keys, "id", "d"), [*keys, "id"])
     kept = cut(
-        roots.join(distances.select(*keys, "id", "d"), [*keys, "id"])
-        .join(eps.select(*keys, "eps"), keys)
-        .select(*keys, "id", "root", (F.col("d") <= F.col("eps")).alias("dense"))
+        attach(known, eps.select(*keys, "eps"), keys, "id").select(
+            *keys, "id", "root", (F.col("d") <= F.col("eps")).alias("dense")
+        )
     )
     numbers = number_clusters(kept.filter("dense"), keys)
     return (
@@ -123,4 +122,4 @@ def density_clusters(
 def density_noise(distances: DataFrame, eps: DataFrame, keys, strict: bool = False) -> DataFrame:
     """(keys, id): vectors with no neighbour within eps (below eps if `strict`)."""
     apart = F.col("d") >= F.col("eps") if strict else F.col("d") > F.col("eps")
-    return distances.join(eps, list(keys)).filter(apart).select(*keys, "id")
+    return attach(distances, eps, keys, "id").filter(apart).select(*keys, "id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import uniform
+from .joins import attach, spread
 
 MARKS = 256
 EPS_FALLBACK = 0.3
@@ -28,7 +29,7 @@ def elbow(curve: DataFrame, keys, x1: int = 2, x2: int = 30, digits: int | None
     if digits is not None:
         far = F.round(far, digits)
     return (
-        curve.join(ends, keys)
+        attach(curve, ends, keys, "i")
         .groupBy(*keys)
         .agg(F.max_by(F.struct("i", "y"), F.struct(far.alias("far"), (-F.col("i")).alias("first"))).alias("p"))
         .select(*keys, "p.i", "p.y")
@@ -39,21 +40,21 @@ def sorted_ranks(values: DataFrame, keys, y: str, marks: int = MARKS) -> DataFra
     """(keys, y, cnt, lo, hi): 0-based first and last rank of each value.
 
     `values` has (keys, y, cnt). Equal values are combined first. A group is
-    then cut at values picked by hash, some `marks` of them whatever its size;
-    ranks are counted inside a cut and offset by the cuts before it, so no
-    group is ever sorted in one task.
+    then cut at the `marks` values of lowest hash; ranks are counted inside a cut
+    and offset by the cuts before it, so no group is ever sorted in one task.
+    The picks are limited before they are shuffled.
     """
     keys = list(keys)
     points = values.groupBy(*keys, y).agg(F.sum("cnt").alias("cnt"))
-    sizes = points.groupBy(*keys).agg(F.count("*").alias("m"))
+    order = W.partitionBy(*keys).orderBy(uniform(y), y)
     cuts = (
-        points.join(sizes, keys)
-        .filter(uniform(y) * F.col("m") < marks)
+        points.select(*keys, y, F.row_number().over(order).alias("pick"))
+        .filter(F.col("pick") <= marks)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(y)).alias("cuts"))
     )
-    part = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col(y))), F.lit(0))
-    parted = points.join(cuts, keys, "left").withColumn("part", part).drop("cuts")
+    part = F.size(F.filter("cuts", lambda c: c <= F.col(y)))
+    parted = spread(attach(points, cuts, keys, y).withColumn("part", part).drop("cuts"), [*keys, "part"])
     before = (
         parted.groupBy(*keys, "part")
         .agg(F.sum("cnt").alias("held"))

@@ -20,6 +20,7 @@ from math import gcd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import floor_time, ratio
+from .joins import attach
 
 WINDOW = ["day", "win_sec", "win_start"]
 PROFILE = [*WINDOW, "entity"]
@@ -217,7 +218,7 @@ def keep_active(profile: DataFrame, flows_column: str, min_flows: int = MIN_FLOW
         .filter(F.col("total") >= min_flows)
         .select(*WINDOW)
     )
-    return profile.join(active, WINDOW, "left_semi")
+    return attach(profile, active, WINDOW, "entity", "left_semi")
 
 
 def port_cells(profile: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.kernels import centre_sums, closest_centres, constant, floats, hash_uniform, matrix, seed_centres, vectors
 from ..session import cut, cut_placed
-from .cells import BLOCK, cogrouped, extend, fields, grouped, split_large, spread
+from .cells import BLOCK, cogrouped, extend, fields, grouped, split_large
 from .elbow import elbow
+from .joins import attach, spread
 
 K_MIN, K_MAX = 2, 29
 RESTARTS = 10
@@ -104,7 +105,7 @@ def _variance(x, w):
 
 def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema) -> DataFrame:
     blocks = F.ceil(F.col("n") / F.col("lim")).cast("int")
-    placed = points.join(sizes.select(*keys, "n", "lim"), keys).withColumn("blocks", blocks)
+    placed = attach(points, sizes.select(*keys, "n", "lim"), keys, "id").withColumn("blocks", blocks)
     here = [*keys, "blk"]
     # stored already split by block, so that the passes below need not move the vectors
     placed = placed.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("n", "lim")
@@ -280,7 +281,7 @@ def kmeans_labels(distinct: DataFrame, grid: DataFrame, chosen: DataFrame, keys,
     keys = list(keys)
     sizes = distinct.groupBy(*keys).agg(F.count("*").alias("n"))
     sizes = sizes.select(*keys, F.ceil(F.col("n") / F.greatest(F.lit(block), F.sqrt("n"))).cast("int").alias("blocks"))
-    rows = distinct.select(*keys, "id", "vec").join(sizes, keys).withColumn(
+    rows = attach(distinct.select(*keys, "id", "vec"), sizes, keys, "id").withColumn(
         "blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     ).drop("blocks")
     centres = (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import view_of
 from .features import PORT_SUFFIXES, WINDOW
+from .joins import attach
 
 GROUP = [*WINDOW, "view"]
 MIN_ENTITIES = 30
@@ -41,14 +42,13 @@ def raw_vectors(profile: DataFrame, base: list[str], ports: DataFrame | None = N
 def keep_populated(vectors: DataFrame, keys=GROUP, min_entities: int = MIN_ENTITIES) -> DataFrame:
     """Groups with enough entities to cluster."""
     enough = vectors.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= min_entities)
-    return vectors.join(enough.select(*keys), list(keys), "left_semi")
+    return attach(vectors, enough.select(*keys), keys, "entity", "left_semi")
 
 
 def min_max(vectors: DataFrame, keys=GROUP) -> DataFrame:
     """Adds `vec`: each coordinate scaled to [0, 1] within its group, constants to 0.
 
-    The extremes are combined before the shuffle, one row per group; joining
-    them back is left to the optimizer, which broadcasts or splits by size.
+    The extremes are combined before the shuffle, one row per group.
     """
     stats = (
         vectors.groupBy(*keys)
@@ -59,7 +59,7 @@ def min_max(vectors: DataFrame, keys=GROUP) -> DataFrame:
         F.arrays_zip("raw", "lo", "hi"),
         lambda t: F.when(t["hi"] > t["lo"], (t["raw"] - t["lo"]) / (t["hi"] - t["lo"])).otherwise(F.lit(0.0)),
     )
-    return vectors.join(stats, list(keys)).withColumn("vec", scaled).drop("lo", "hi")
+    return attach(vectors, stats, keys, "entity").withColumn("vec", scaled).drop("lo", "hi")
 
 
 def distinct_vectors(vectors: DataFrame, keys=GROUP) -> DataFrame:

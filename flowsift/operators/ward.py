@@ -20,6 +20,7 @@ from ..session import cut
 from .cells import BLOCK, extend, fields, grouped, nearest, split_large
 from .components import follow
 from .density import number_clusters
+from .joins import attach
 from .kmeans import K_MAX
 
 
@@ -46,9 +47,9 @@ def _finish(clusters: DataFrame, earlier: DataFrame | None, chosen: DataFrame, k
     merges made before, highest first; `undone` says how many of those fall
     among the highest.
     """
-    rows = clusters.join(chosen, keys)
+    rows = attach(clusters, chosen, keys, "id")
     none = F.array().cast("array<double>")
-    rows = rows.withColumn("before", none) if earlier is None else rows.join(earlier, keys, "left").withColumn(
+    rows = rows.withColumn("before", none) if earlier is None else attach(rows, earlier, keys, "id", "left").withColumn(
         "before", F.coalesce("before", none)
     )
 
