@@ -115,17 +115,14 @@ def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema
     def copies(table: DataFrame) -> DataFrame:
         return table.join(counts, keys).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
-    start = _large_seeds(placed, copies, keys, restarts, schema)
     stats = placed.groupBy(*keys).agg(
         Summarizer.metrics("variance").summary(array_to_vector("vec"), F.col("weight")).alias("s")
     )
-    limits = cut(
-        stats.select(
-            *keys,
-            (F.aggregate(vector_to_array("s.variance"), F.lit(0.0), lambda a, b: a + b)
-             / F.size(vector_to_array("s.variance")) * F.lit(TOLERANCE)).alias("limit"),
-        )
+    spread_of = F.aggregate(vector_to_array("s.variance"), F.lit(0.0), lambda a, b: a + b)
+    limits = stats.select(
+        *keys, (spread_of / F.size(vector_to_array("s.variance")) * F.lit(TOLERANCE)).alias("limit")
     )
+    start = cut(_large_seeds(placed, copies, keys, restarts, schema).join(limits, keys))
     partial = extend(
         fields(points, keys), restart="integer", k="integer", c="integer", sums="array<double>", mass="double", cost="double"
     )
@@ -160,18 +157,19 @@ def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema
         moved = F.when(
             F.col("mass") > 0, F.transform(vector_to_array("s.sum"), lambda v: v / F.col("mass"))
         ).otherwise(F.col("centre"))
-        return centres.select(*run, "c", "centre").join(sums, [*run, "c"]).select(
-            *run, "c", F.col("centre").alias("old"), moved.alias("centre"), "cost"
+        return centres.select(*run, "c", "centre", "limit").join(sums, [*run, "c"]).select(
+            *run, "c", "limit", F.col("centre").alias("old"), moved.alias("centre"), "cost"
         )
 
+    gap = F.aggregate(F.zip_with("centre", "old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    shift = F.sum(gap).over(W.partitionBy(*run))  # at most 29 centres
     moving, settled = start, None
     for _ in range(MAX_STEPS):
-        gap = F.aggregate(F.zip_with("centre", "old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-        stepped = cut(advance(moving).withColumn("gap", gap))
-        shifts = stepped.groupBy(*run).agg(F.sum("gap").alias("shift")).join(limits, keys)
-        still = shifts.filter(F.col("shift") > F.col("limit")).select(*run)
-        moving = cut(stepped.join(still, run, "left_semi").select(*run, "c", "centre"))
-        rested = stepped.join(still, run, "left_anti").select(*run, "c", "centre")
+        stepped = cut(
+            advance(moving).withColumn("moves", shift > F.col("limit")).select(*run, "c", "centre", "limit", "moves")
+        )
+        moving = stepped.filter("moves").drop("moves")
+        rested = stepped.filter("not moves").drop("moves")
         settled = rested if settled is None else settled.unionByName(rested)
         if moving.isEmpty():
             break

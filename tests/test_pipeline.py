@@ -88,3 +88,11 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[:4] == ["day", "win_sec", "win_start", "entity"] and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_executors_need_no_copy_of_the_package(spark):
+    from pyspark import cloudpickle
+
+    from flowsift.functions.kernels import nearest_in_block
+
+    assert b"sq_distances" in cloudpickle.dumps(nearest_in_block)
