@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +14,8 @@ from . import pipeline as pl
 from .fixture import BULK_SQL, FLOW_SQL, bulk_flows, event_flows, table
 
 DAY_MINUTES = 1440
-DAILY = pl.Settings(method=0, minutes=(DAY_MINUTES,), digits=9, algorithms=("dbscan",))
+DAILY = pl.Settings(method=0, minutes=(DAY_MINUTES,), digits=9, algorithms=("dbscan",), score_noise=False)
+SCORED = replace(DAILY, score_noise=True)
 FULL = pl.Settings(method=1, x=30, minutes=(DAY_MINUTES,), restarts=3)
 GROUP = vc.GROUP
 DIRTY_FORMAT = "dd/MM/yyyy hh:mm:ss a"
@@ -60,8 +62,8 @@ def daily_vectors(spark, sf) -> DataFrame:
     return vc.keep_populated(vc.raw_vectors(active, ft.SET_A))
 
 
-def daily_clusters(spark, sf) -> pl.Clusters:
-    return pl.cluster(daily_vectors(spark, sf), DAILY)
+def daily_clusters(spark, sf, settings=DAILY) -> pl.Clusters:
+    return pl.cluster(daily_vectors(spark, sf), settings)
 
 
 def daily_distinct(spark, sf):
@@ -201,7 +203,7 @@ def q_density_clusters(spark, sf):
 
 
 def q_lof_scores(spark, sf):
-    scores = daily_clusters(spark, sf).lof
+    scores = daily_clusters(spark, sf, SCORED).lof
     return rounded(scores.withColumnRenamed("id", "entity"), 6, "score")
 
 
@@ -228,7 +230,7 @@ def q_hit_totals(spark, sf):
 
 
 def _confusion(spark, sf, mode):
-    c = daily_clusters(spark, sf)
+    c = daily_clusters(spark, sf, SCORED)
     scores = outliers.evaluate(c.labels, truth(spark, sf), GROUP, mode)
     scores = outliers.with_max_score(scores, c.lof, GROUP)
     return rounded(scores, 6, "accuracy", "precision", "recall", "f1", "max_score")
@@ -243,7 +245,7 @@ def q_confusion_reference(spark, sf):
 
 
 def q_labelled_scores(spark, sf):
-    return rounded(outliers.labelled_scores(daily_clusters(spark, sf).lof, truth(spark, sf), GROUP), 6, "score")
+    return rounded(outliers.labelled_scores(daily_clusters(spark, sf, SCORED).lof, truth(spark, sf), GROUP), 6, "score")
 
 
 def q_embedding_neighbors(spark, sf):

@@ -38,6 +38,7 @@ class Settings:
     block: int = BLOCK
     digits: int | None = None
     mode: str = "standard"
+    score_noise: bool = True
 
     @property
     def base(self):
@@ -60,14 +61,14 @@ class Features:
 
 @dataclass
 class Clusters:
-    """Results per (day, window, view); `grid`, `k` and `profile` need k-means."""
+    """Results per (day, window, view); `grid`, `k` and `profile` need k-means, `lof` scored noise."""
 
     vectors: DataFrame
     distinct: DataFrame
     distances: DataFrame
     eps: DataFrame
     labels: DataFrame
-    lof: DataFrame
+    lof: DataFrame | None = None
     grid: DataFrame | None = None
     k: DataFrame | None = None
     profile: DataFrame | None = None
@@ -116,7 +117,9 @@ def cluster(raw: DataFrame, s: Settings = Settings(), keys=GROUP) -> Clusters:
     who = cut(members(vectors, unique, keys))
     distances = cut(nearest_distances(unique, keys, s.block, s.digits))
     eps = cut(choose_epsilon(distance_curve(distances, keys), keys, digits=s.digits))
-    by_id = {"dbscan": density_clusters(unique, distances, eps, keys, s.block, s.digits)}
+    by_id = {}
+    if "dbscan" in s.algorithms:
+        by_id["dbscan"] = density_clusters(unique, distances, eps, keys, s.block, s.digits)
     grid = chosen = profile = None
     if {"kmeans", "agglomerative"} & set(s.algorithms):
         grid = cut(kmeans_grid(unique, keys, s.restarts, s.seed, s.block))
@@ -131,11 +134,13 @@ def cluster(raw: DataFrame, s: Settings = Settings(), keys=GROUP) -> Clusters:
             part = by_id[name].withColumn("algorithm", F.lit(name))
             long = part if long is None else long.unionByName(part)
     labels = cut(who.join(long, [*keys, "id"]).select(*keys, "entity", "algorithm", "cluster"))
-    noise = cut(by_id["dbscan"]).filter(F.col("cluster") < 0).select(*keys, F.col("id").alias("entity"))
-    suspects = vectors.join(noise, [*keys, "entity"], "left_semi").select(
-        *keys, F.col("entity").alias("id"), F.col("raw").alias("vec")
-    )
-    lof = cut(local_outlier_factor(suspects, keys, block=s.block))
+    lof = None
+    if s.score_noise:
+        noise = labels.filter((F.col("algorithm") == "dbscan") & (F.col("cluster") < 0)).select(*keys, "entity")
+        suspects = vectors.join(noise, [*keys, "entity"], "left_semi").select(
+            *keys, F.col("entity").alias("id"), F.col("raw").alias("vec")
+        )
+        lof = cut(local_outlier_factor(suspects, keys, block=s.block))
     return Clusters(vectors, unique, distances, eps, labels, lof, grid, chosen, profile)
 
 
@@ -152,6 +157,8 @@ def feature_names(features: Features, s: Settings = Settings()) -> DataFrame:
 
 def detect(flows: DataFrame, truth: DataFrame, s: Settings = Settings()) -> Detection:
     """Runs everything on typed flows with a `day`; `truth` is (day, role, ip)."""
+    if not s.score_noise:
+        raise ValueError("detect needs scored noise")
     features = build_features(flows, s)
     clusters = cluster(feature_vectors(features, s), s)
     scores = evaluate(clusters.labels, truth, GROUP, s.mode)
