@@ -210,7 +210,8 @@ def keep_active(profile: DataFrame, flows_column: str, min_flows: int = MIN_FLOW
     """Profiles of windows with enough flows.
 
     Each flow counts once among the sources (or once among the destinations),
-    so summing one such column per window gives its flows without a second scan.
+    so summing one such column per window gives its flows. Both sides read
+    `profile`: store it first (see `session.cut`) to scan the flows only once.
     """
     active = (
         profile.groupBy(*WINDOW)

@@ -124,7 +124,7 @@ def q_static_ports(spark, sf):
 
 
 def q_entity_features(spark, sf):
-    profiles = ft.extract(kept(spark, sf), None, 0, 30)
+    profiles = cut(ft.extract(kept(spark, sf), None, 0, 30))
     return ft.keep_active(profiles, "SrcConnMade").drop("ports")
 
 
