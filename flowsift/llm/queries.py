@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash
+from . import lines, minhash
 from .tables import table
 
 SHINGLE_SETS_SQL = r"""
@@ -38,5 +38,39 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
 """
 
-QUERIES = {"op4_minhash": op4_minhash}
-ORACLES = {"op4_minhash": OP4_SQL}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat earlier ones, exactly or but for a word."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "lines_before", "lines_dropped")
+
+
+LINE_DEDUP_SQL = r"""
+parts AS (
+  SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {docs})),
+listed AS (
+  SELECT doc_id, line_no, line, w, len(w) AS n, array_to_string(w, ' ') AS t
+  FROM (SELECT *, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM parts)),
+uniq AS (SELECT t, any_value(w) AS w, any_value(n) AS n, min((doc_id, line_no)) AS place FROM listed WHERE n >= 8 GROUP BY t),
+gone AS (
+  SELECT t, n, place, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM uniq)),
+near AS (
+  SELECT x.t FROM gone x JOIN gone y ON x.rest = y.rest AND x.i = y.i AND x.n = y.n WHERE y.place < x.place
+  UNION SELECT x.t FROM gone x JOIN uniq y ON x.rest = y.t WHERE y.place < x.place
+  UNION SELECT y.t FROM gone x JOIN uniq y ON x.rest = y.t WHERE x.place < y.place),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY t, CASE WHEN n < 5 THEN doc_id ELSE -1 END ORDER BY doc_id, line_no) AS k FROM listed),
+shorter AS (
+  SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.line_no) FILTER (WHERE NOT p.gone) AS text,
+    count(*) AS lines_before, count(*) FILTER (WHERE p.gone) AS lines_dropped
+  FROM (SELECT doc_id, line_no, line, n > 0 AND (k > 1 OR (n >= 8 AND t IN (SELECT t FROM near))) AS gone FROM ranked) p GROUP BY p.doc_id)
+"""
+OP10_SQL = f"""
+WITH {LINE_DEDUP_SQL.replace('{docs}', 'documents')}
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(s.text, '') END AS text,
+  CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE s.lines_before END AS lines_before, coalesce(s.lines_dropped, 0) AS lines_dropped
+FROM documents d LEFT JOIN shorter s ON s.doc_id = d.doc_id
+"""
+
+QUERIES = {"op4_minhash": op4_minhash, "op10_lines": op10_lines}
+ORACLES = {"op4_minhash": OP4_SQL, "op10_lines": OP10_SQL}

@@ -46,3 +46,11 @@ def spread_ranks(df: DataFrame, keys, by, rows_per_block: int = 4096) -> DataFra
 def _few(df: DataFrame, limit: int = 100_000) -> bool:
     """Whether `df` has at most `limit` rows; reads no more than one row beyond that."""
     return df.limit(limit + 1).count() <= limit
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
