@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, minhash
+from . import decontaminate, lines, minhash, packing, quality
 from .tables import table
 
 SHINGLE_SETS_SQL = r"""
@@ -72,5 +72,34 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(s.text, '') EN
 FROM documents d LEFT JOIN shorter s ON s.doc_id = d.doc_id
 """
 
-QUERIES = {"op4_minhash": op4_minhash, "op10_lines": op10_lines}
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a benchmark item in a document."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def word_tokenizer() -> str:
+    """The definition of the public word-wise tokenizer, from the package that holds it."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_quality": op3_quality,
+    "op4_minhash": op4_minhash,
+    "op5_packing": op5_packing,
+    "op10_lines": op10_lines,
+}
 ORACLES = {"op4_minhash": OP4_SQL, "op10_lines": OP10_SQL}
