@@ -171,9 +171,9 @@ def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, cfg: Packing) ->
 
 
 def place(pieces: DataFrame, cfg: Packing = Packing()) -> DataFrame:
-    """`pieces` (doc_id, start, length and others) with sequence_id and offset, gapless within a sequence.
+    """`pieces` (piece, length and others) with sequence_id and offset, gapless within a sequence.
 
-    Pieces must not be longer than a sequence and must come from a stored table.
+    Pieces must not be longer than a sequence, `piece` must be unique and the table stored.
     """
     classed = pieces.withColumn("_class", F.ceil(F.col("length") / cfg.step).cast("int"))
     counts = {r["_class"]: r["n"] for r in classed.groupBy("_class").agg(F.count("*").alias("n")).collect()}
@@ -188,7 +188,7 @@ def place(pieces: DataFrame, cfg: Packing = Packing()) -> DataFrame:
         first += times
     lookup = {c: np.array(s, np.int64).reshape(-1, 3) for c, s in spans.items()}
 
-    ranked = spread_ranks(classed, ["_class"], ["doc_id", "start", "length", "doc_tokens"])
+    ranked = spread_ranks(classed, ["_class"], ["piece"])
     names = [c for c in ranked.columns if c not in ("_class", "_rank")]
 
     def run(batches):
@@ -204,7 +204,7 @@ def place(pieces: DataFrame, cfg: Packing = Packing()) -> DataFrame:
 
     schema = ranked.select(*names).withColumn("sequence_id", F.lit(0).cast("long")).schema
     placed = ranked.mapInArrow(run, schema)
-    before = W.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("sequence_id").orderBy(F.desc("length"), "piece").rowsBetween(W.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
@@ -213,14 +213,17 @@ def pack(docs: DataFrame, definition: str, cfg: Packing = Packing(), with_ids: b
 
     Reads `doc_id` and `text`, so other columns may have any names. Null and empty
     texts are documents of the end id alone. Rows with equal ids are documents of
-    their own. A sequence holds at most `tokens` ids; ties are broken by id and start.
+    their own. A sequence holds at most `tokens` ids; ties are broken by the order of reading.
     An empty table gives an empty result.
     """
     pieces = token_pieces(docs, definition, cfg).withColumn("ids_crc32", F.crc32("ids"))
-    if not with_ids:
-        pieces = pieces.drop("ids")
+    pieces = cut((pieces if with_ids else pieces.drop("ids")).withColumn("piece", F.monotonically_increasing_id()))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return place(cut(pieces), cfg).select(*columns, *(["ids"] if with_ids else []))
+    placed = place(pieces.drop("ids"), cfg)
+    if not with_ids:
+        return placed.select(*columns)
+    # only now do the ids travel, once
+    return placed.hint("merge").join(pieces.select("piece", "ids"), "piece").select(*columns, "ids")
 
 
 def sequences(packed: DataFrame, cfg: Packing = Packing()) -> DataFrame:

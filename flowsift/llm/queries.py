@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lines, minhash, packing, quality
+from . import decontaminate, lines, minhash, packing, quality, rabitq, toxicity
 from .tables import table
 
 SHINGLE_SETS_SQL = r"""
@@ -95,11 +95,40 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector with its number of near-duplicates and its component."""
+    return rabitq.embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+linked AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+reach(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN linked l ON l.a = r.vec_id)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, r.root AS component_id, e.vec_id = r.root AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(root) AS root FROM reach GROUP BY vec_id) r ON r.vec_id = e.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM linked GROUP BY a) n ON n.a = e.vec_id
+"""
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
+    "op6_embeddings": op6_embeddings,
     "op10_lines": op10_lines,
 }
-ORACLES = {"op4_minhash": OP4_SQL, "op10_lines": OP10_SQL}
+ORACLES = {"op4_minhash": OP4_SQL, "op6_embeddings": OP6_SQL, "op10_lines": OP10_SQL}
