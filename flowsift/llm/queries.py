@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lines, minhash, packing, quality, rabitq, toxicity
+from . import chat, decontaminate, lines, minhash, packing, pii, quality, rabitq, sharding, toxicity
 from .tables import table
 
 SHINGLE_SETS_SQL = r"""
@@ -122,6 +122,93 @@ FROM embeddings e JOIN (SELECT vec_id, min(root) AS root FROM reach GROUP BY vec
 LEFT JOIN (SELECT a, count(*) AS n FROM linked GROUP BY a) n ON n.a = e.vec_id
 """
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.BASE]
+    base = F.filter("found", lambda s: s["number"] < len(pii.BASE))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
+
+
+def _pii_sql() -> str:
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"[A-Z]{2}[0-9]{2}([\x20]?[A-Z0-9]){11,30}",
+        "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"""list_sum(list_transform(range(1, len({digits}) + 1), lambda i:
+      CASE WHEN (len({digits}) - i) % 2 = 0 THEN CAST({digits}[i] AS INT)
+      WHEN CAST({digits}[i] AS INT) > 4 THEN 2 * CAST({digits}[i] AS INT) - 9 ELSE 2 * CAST({digits}[i] AS INT) END)) % 10 = 0"""
+    plain = "replace(m, ' ', '')"
+    turned = f"({plain}[5:] || {plain}[1:4])"
+    number = f"list_reduce(list_concat([0], list_transform(string_split({turned}, ''), lambda c: CASE WHEN ascii(c) >= 65 THEN ascii(c) + 945 ELSE ascii(c) - 48 END)), lambda r, v: CASE WHEN v >= 1000 THEN (r * 100 + v - 1000) % 97 ELSE (r * 10 + v) % 97 END)"
+    valid = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(m, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0",
+        "card": f"len({digits}) BETWEEN 14 AND 19 AND {luhn}",
+        "phone": f"len({digits}) BETWEEN 10 AND 15",
+        "iban": f"{number} = 1",
+        "ssn": "regexp_matches(lower(right(gap, 40)), 'ssn|social security|tax id')",
+    }
+    parts = [
+        f"""SELECT doc_id, {n} AS number, '{k}' AS kind, m, s, s + length(m) AS e FROM (
+          SELECT doc_id, ms[i] AS m, gaps[i] AS gap,
+            list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0) AS s
+          FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+            SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS gaps FROM docs)))
+        WHERE {valid[k]}"""
+        for n, (k, p) in enumerate(patterns.items())
+    ]
+    item = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    counts = ", ".join(f"count(f.doc_id) FILTER (WHERE number = {n}) AS n_{k}" for n, k in enumerate(pii.BASE))
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(parts)})
+SELECT d.doc_id, {counts},
+  sha256(coalesce(string_agg({item}, ',' ORDER BY s, number) FILTER (WHERE number < {len(pii.BASE)}), '')) AS base_sha256,
+  coalesce(string_agg({item}, ',' ORDER BY s, number), '') AS spans
+FROM docs d LEFT JOIN found f ON f.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the side of each of its participants."""
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+OP8_SQL = r"""
+WITH rows AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS rank FROM rows),
+people AS (SELECT DISTINCT conv_id, role AS perspective FROM rows WHERE role <> 'system'),
+segments AS (
+  SELECT r.conv_id, perspective, rank, rank // 64 AS part, role = perspective AS learnt,
+    CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+      ELSE '<|user:' || replace(role, '<|', '< |') || '|>' END || chr(10) AS head,
+    replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body
+  FROM ranked r JOIN people p ON p.conv_id IS NOT DISTINCT FROM r.conv_id),
+placed AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY rank) AS last FROM segments)
+SELECT conv_id, perspective, part, count(*) AS turns, string_agg(head || body, '' ORDER BY rank) AS text,
+  coalesce(string_agg(CAST(last - length(body) AS BIGINT) || '-' || CAST(last AS BIGINT), ',' ORDER BY rank) FILTER (WHERE learnt), '') AS mask,
+  coalesce(CAST(sum(length(body)) FILTER (WHERE learnt) AS BIGINT), 0) AS learnt_chars
+FROM placed GROUP BY conv_id, perspective, part
+"""
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
@@ -129,6 +216,9 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
     "op6_embeddings": op6_embeddings,
+    "op7_pii": op7_pii,
+    "op8_chat": op8_chat,
+    "op9_sharding": op9_sharding,
     "op10_lines": op10_lines,
 }
-ORACLES = {"op4_minhash": OP4_SQL, "op6_embeddings": OP6_SQL, "op10_lines": OP10_SQL}
+ORACLES = {"op4_minhash": OP4_SQL, "op6_embeddings": OP6_SQL, "op7_pii": _pii_sql(), "op8_chat": OP8_SQL, "op10_lines": OP10_SQL}

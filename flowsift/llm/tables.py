@@ -54,3 +54,25 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def ordered_ranks(df: DataFrame, keys, order, name: str = "_rank") -> DataFrame:
+    """`df` with `name`, gapless from 0 within each value of `keys`, in the order of columns `order`.
+
+    Rows are range-partitioned on keys and order together, so one key may span many
+    partitions; each partition numbers its own rows and the counts of earlier ones are
+    added. Only those counts meet by key.
+    """
+    keys, order = list(keys), list(order)
+    part, row, first = (fresh(df, c) for c in ("part", "row", "first"))
+    n = wide_partitions(df.sparkSession)
+    placed = cut(df.repartitionByRange(n, *keys, *order).withColumn(part, F.spark_partition_id()))
+    counts = placed.groupBy(*keys, part).agg(F.count("*").alias(row))
+    before = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*(F.col(k).alias(k + "__") for k in keys), F.col(part).alias(part + "__"), F.coalesce(F.sum(row).over(before), F.lit(0)).alias(first))
+    same = F.col(part) == F.col(part + "__")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(k + "__"))
+    numbered = placed.withColumn(row, F.row_number().over(W.partitionBy(*keys, part).orderBy(*order)))
+    joined = numbered.join(starts, same)
+    return joined.select(*df.columns, (F.col(first) + F.col(row) - 1).alias(name))
