@@ -11,7 +11,8 @@ Bands of the sketch propose pairs, one bit of every coordinate screens them, and
 full sets decide. Equal sets are collapsed first, so copies cost nothing afterwards.
 Within a bucket a document is first held against one leader only; each round draws
 other leaders. What is left are pairs of one bucket that no link chain joins yet;
-all of them are tried, so the components are those of all pairs that share a band.
+all of them are tried, in large buckets block against block without writing a pair.
+So the components are those of all linked pairs that share a band.
 With the defaults a pair at exactly the threshold shares no band with probability
 2e-5, and fails the screen with 3e-6.
 """
@@ -22,11 +23,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.components import connected
 from ..session import cut
+from .tables import fresh
 from .words import ODD, chunks, distinct, find_words, mix, seeds, shingles
 
 EMPTY_SLOT = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -40,8 +43,11 @@ class NearDup:
     rows: int = 5
     bands: int = 40
     deviations: float = 4.5  # of the one-bit screen
-    star_rounds: int = 2
-    pairs_per_doc: float = 4.0  # open pairs a document may have before a second round of stars is worth it
+    star_rounds: int = 6  # at most; a round that leaves most pairs open is the last
+    leaders: tuple = (2, 8)  # orders of the ids in the first round of stars and in later ones
+    small: int = 64  # members of a bucket whose open pairs are written out
+    block: int = 512  # members of a larger bucket that meet in one task, by two
+    pairs_per_doc: float = 2.0  # open pairs a document may have before another round of stars is worth it
 
     @property
     def most_bits(self) -> int:
@@ -85,51 +91,39 @@ def _totals(values, offsets, seed):
     return (sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
-    """(doc_id, n, h1, h2): the size of each document's shingle set and 128 bits that identify it."""
-
-    def run(batches):
-        for batch in batches:
-            for first, last, values, offsets in _sets(batch.column(1), cfg):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, last - first),
-                        pa.array(np.diff(offsets)),
-                        pa.array(_totals(values, offsets, 3)),
-                        pa.array(_totals(values, offsets, 5)),
-                    ],
-                    ["doc_id", "n", "h1", "h2"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
-
-
 def sketches(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
-    """(doc_id, n, bands, b0..): band keys, and one bit of every coordinate in longs; empty sets are left out."""
+    """(doc_id, n, h1, h2, bands, b0..) per row, from one reading of the texts.
+
+    n is the size of the shingle set, h1 and h2 are 128 bits that identify it, `bands`
+    the band keys of its sketch (none for an empty set), and the b columns hold one
+    bit of every coordinate.
+    """
     longs = cfg.coordinates // 64
 
     def run(batches):
         factors = seeds(cfg.rows * cfg.bands, 31).reshape(cfg.bands, cfg.rows)
+        salts = np.arange(cfg.bands, dtype=np.uint64) * np.uint64(ODD)
         for batch in batches:
             for first, last, values, offsets in _sets(batch.column(1), cfg):
                 n = np.diff(offsets)
-                some = np.flatnonzero(n)
-                s = mix(sketch(values, offsets, cfg.coordinates)[some])
-                used = s[:, : cfg.bands * cfg.rows].reshape(len(some), cfg.bands, cfg.rows)
-                keys = mix((used * factors).sum(2, dtype=np.uint64) + np.arange(cfg.bands, dtype=np.uint64) * np.uint64(ODD))
+                s = mix(sketch(values, offsets, cfg.coordinates))
+                used = s[:, : cfg.bands * cfg.rows].reshape(len(n), cfg.bands, cfg.rows)
+                keys = mix((used * factors).sum(2, dtype=np.uint64) + salts)[n > 0]
                 bits = np.packbits((s & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-                at = pa.array(np.arange(0, cfg.bands * len(some) + 1, cfg.bands, dtype=np.int32))
+                at = np.concatenate([[0], np.cumsum(np.where(n > 0, cfg.bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, last - first).take(pa.array(some)),
-                        pa.array(n[some]),
-                        pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64).reshape(-1))),
+                        batch.column(0).slice(first, last - first),
+                        pa.array(n),
+                        pa.array(_totals(values, offsets, 3)),
+                        pa.array(_totals(values, offsets, 5)),
+                        pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64).reshape(-1))),
                         *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(longs)),
                     ],
-                    ["doc_id", "n", "bands", *(f"b{i}" for i in range(longs))],
+                    ["doc_id", "n", "h1", "h2", "bands", *(f"b{i}" for i in range(longs))],
                 )
 
-    schema = "doc_id long, n long, bands array<long>, " + ", ".join(f"b{i} long" for i in range(longs))
+    schema = "doc_id long, n long, h1 long, h2 long, bands array<long>, " + ", ".join(f"b{i} long" for i in range(longs))
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -153,7 +147,8 @@ def shingle_sets(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; only their documents' texts are read again."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(shingle_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi"), cfg))
+    wanted = docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id", "left_semi")
+    sets = cut(shingle_sets(wanted, cfg)).hint("merge")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), "b"
     )
@@ -171,21 +166,23 @@ def _alike(x: str, y: str, cfg: NearDup):
     return sizes & (differ <= cfg.most_bits)
 
 
-def _mask(turn: int):
-    """Two orders of the ids per round, by the parity of the bucket: an id's place is its bits xor this."""
-    one, other = seeds(2, 101 + turn).view(np.int64)
-    return F.when(F.col("key") % 2 == 0, F.lit(int(one))).otherwise(F.lit(int(other)))
+def _mask(turn: int, cfg: NearDup):
+    """Some orders of the ids per round, dealt to the buckets: an id's place is its bits xor this."""
+    masks = seeds(cfg.leaders[min(turn, 1)], 101 + turn).view(np.int64)
+    return F.element_at(F.array(*(F.lit(int(m)) for m in masks)), F.pmod("key", F.lit(len(masks))).cast("int") + 1)
 
 
 def _stars(rows: DataFrame, bits: DataFrame, turn: int, cfg: NearDup) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's leader."""
-    place = F.col("doc_id").bitwiseXOR(_mask(turn))
-    leaders = rows.groupBy("key").agg(F.min(place).alias("place"), F.count("*").alias("m")).filter("m > 1")
-    met = rows.join(leaders, "key").select("doc_id", F.col("place").bitwiseXOR(_mask(turn)).alias("lead"))
-    met = met.filter("doc_id <> lead").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
+    """(a, b): each member of a bucket with the bucket's leader, if they are of different components."""
+    mask = _mask(turn, cfg)
+    leaders = rows.groupBy("key").agg(F.min(F.col("doc_id").bitwiseXOR(mask)).alias("place"))
+    met = rows.join(leaders, "key").select("doc_id", "root", F.col("place").bitwiseXOR(mask).alias("lead")).distinct()
+    roots = rows.select(F.col("doc_id").alias("lead"), F.col("root").alias("lead_root")).distinct()
+    met = met.join(roots, "lead").filter("root <> lead_root")
+    met = met.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
     x, y = bits.alias("x"), bits.alias("y")
     return (
-        met.distinct().join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))
+        met.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))
         .filter(_alike("x", "y", cfg)).select("a", "b")
     )
 
@@ -207,30 +204,107 @@ def _open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(state.join(mixed.select("key"), "key"))
 
 
-def _crowded(rows: DataFrame, limit: float) -> bool:
-    """Whether the buckets hold more than `limit` pairs across components."""
+def overlaps(sets: list) -> np.ndarray:
+    """How many elements each two of the given sets share, by products of their incidence matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    shared = count[column] > 1
+    owner, column = owner[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        x, y = np.searchsorted(column, [low, low + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[x:y], column[x:y] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> list:
+    """Those of the edges that join two parts not joined by an earlier one."""
+    parent: dict = {}
+
+    def top(x):
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    kept = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(i)
+    return kept
+
+
+def _crowd_links(docs: DataFrame, rows: DataFrame, cfg: NearDup) -> DataFrame:
+    """(a, b): links across components in large buckets, enough of them to join what they join.
+
+    A bucket is dealt into blocks, and every two blocks meet in a task that compares
+    full sets by matrix products. Copies of a crowd that have drifted to just below the
+    threshold would make a pair for each two of them; here no pair is written.
+    """
+    ends = rows.select("doc_id").distinct()
+    wanted = docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id", "left_semi")
+    sets = cut(shingle_sets(wanted, cfg))
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / cfg.block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        "key", "doc_id", "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+    ).join(sets, "doc_id")
+    percent = cfg.percent
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = overlaps(list(pdf["items"]))
+        n = np.array([len(x) for x in pdf["items"]], np.float64)
+        root, doc = pdf["root"].to_numpy(), pdf["doc_id"].to_numpy()
+        linked = (100 * same >= percent * (n[:, None] + n[None, :] - same)) & (root[:, None] < root[None, :])
+        i, j = np.nonzero(linked)
+        kept = spanning(root[i], root[j])
+        a, b = doc[i[kept]], doc[j[kept]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return cut(dealt.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long"))
+
+
+def _open_count(rows: DataFrame) -> float:
+    """How many pairs across components the buckets hold."""
     sizes = rows.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
     pairs = sizes.groupBy("key").agg((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", F.lit(2)))).alias("twice"))
-    return (pairs.agg(F.sum("twice")).first()[0] or 0) / 2 > limit
+    return (pairs.agg(F.sum("twice")).first()[0] or 0) / 2
 
 
-def links(docs: DataFrame, reps: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
-    """(id, root) for every representative linked with another; root is the smallest id of its component.
+def links(docs: DataFrame, made: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
+    """(id, root) for every document of `made` linked with another; root is the smallest id of its component.
 
-    `reps` has one doc_id per distinct non-empty set.
+    `made` holds the sketches of one document per distinct non-empty set.
     """
-    made = cut(sketches(docs.select("doc_id", "text").join(reps.select("doc_id"), "doc_id", "left_semi"), cfg))
-    bits = made.drop("bands").dropDuplicates(["doc_id"])
+    bits = made.select("doc_id", "n", *(f"b{i}" for i in range(cfg.coordinates // 64))).dropDuplicates(["doc_id"])
     rows = made.select("doc_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    rows = cut(rows.join(shared, "key").distinct())
+    rows = cut(rows.join(shared.hint("merge"), "key").distinct())
+    state, roots, tried, before = rows.withColumn("root", F.col("doc_id")), None, None, math.inf
     limit = cfg.pairs_per_doc * made.count()
-    state, roots, tried = rows, None, None
     for turn in range(cfg.star_rounds + 1):
-        stars = turn < cfg.star_rounds and (roots is None or _crowded(state, limit))
-        pairs = _stars(state, bits, turn, cfg) if stars else _open_pairs(state, bits, cfg)
+        stars = turn < cfg.star_rounds
+        if roots is not None:
+            count = _open_count(state)
+            stars, before = stars and limit < count < 0.9 * before, count
+        if stars:
+            pairs = _stars(state, bits, turn, cfg)
+        else:
+            sizes = state.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > cfg.small).select("key")
+            crowds = cut(state.join(sizes, "key", "left_semi"))
+            pairs = _open_pairs(state.join(sizes, "key", "left_anti"), bits, cfg)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         good = verified(docs, pairs, cfg)
+        if not stars and not crowds.isEmpty():
+            good = good.unionByName(_crowd_links(docs, crowds, cfg))
         if roots is not None:
             good = good.unionByName(roots.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
         roots = connected(good, [])
@@ -252,15 +326,16 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
     nothing: its component_id is null and it is kept. Ties cannot occur: components are
     named by their smallest id. An empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs, cfg)).distinct()
+    made = cut(sketches(docs, cfg))
+    prints = made.select("doc_id", "n", "h1", "h2").distinct()
     known = prints.filter("n > 0 AND doc_id IS NOT NULL")
     reps = cut(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
-    roots = links(docs, reps.select("doc_id").distinct(), cfg)
+    first = cut(made.join(reps.drop("copies").hint("merge"), ["h1", "h2", "doc_id"], "left_semi").drop("h1", "h2"))
+    roots = links(docs, first, cfg)
     named = (
         reps.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("h1", "h2", F.coalesce("root", "doc_id").alias("root"), "copies", F.col("root").isNotNull().alias("linked"))
-        .filter("linked OR copies > 1")
-        .drop("linked", "copies")
+        .filter("root IS NOT NULL OR copies > 1")
+        .select("h1", "h2", F.coalesce("root", "doc_id").alias("root"))
     )
     out = prints.join(named, ["h1", "h2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).alias("root")
@@ -270,3 +345,23 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
+    """`docs` with one document of each component, the one with the smallest id, and all its columns.
+
+    Rows with a null id stay. Of several rows with one id, one with the smallest
+    hash of its text stays.
+    """
+    found = cut(near_duplicates(docs, cfg))
+    gone = found.filter("NOT kept").select("doc_id").distinct()
+    twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select("doc_id")
+    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select("doc_id")
+    repeated = cut(twice.unionByName(ids).distinct())
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    number = fresh(docs, "number")
+    once = kept.join(repeated, "doc_id", "left_semi").withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
