@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ class Packing:
     end_id: int = 2  # closes every document
     gap: float = 1e-3  # the linear program may stop this close to its bound
     most_columns: int = 4000  # or after so many patterns
-    cached_words: int = 200_000  # per task
+    cached_words: int = 400_000  # per task
 
 
 # Characters for which splitting off words one by one gives the tokenizer's own ids:
@@ -55,25 +56,44 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(definition)
         self.other = re.compile("[^" + re.escape(PLAIN) + "]|<\\|")
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^ \t\n\r{LETTERS}{NUMBERS}]+")
+        self.signs = byte_signs()
         self.known: dict = {}
         self.most = most
 
+    def code(self, word: str) -> bytes:
+        """The ids of one word, by the tokenizer's merges alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if self.other.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = self.words.findall(text.lower())
         known = self.known
-        new = [w for w in set(words) if w not in known]
+        new = set(words).difference(known)
         if new:
             if len(known) + len(new) > self.most:
                 known.clear()
-                new = list(set(words))
-            coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded))
+                new = set(words)
+            for word in new:
+                known[word] = self.code(word)
         return b"".join(map(known.__getitem__, words))
 
 
+def byte_signs() -> dict:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    signs, other = {}, 256
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174:
+            signs[byte] = chr(byte)
+        else:
+            signs[byte] = chr(other)
+            other += 1
+    return signs
+
+
 def token_pieces(docs: DataFrame, definition: str, cfg: Packing = Packing()) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): every document's ids, cut every `tokens` ids.
 
