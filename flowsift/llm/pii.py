@@ -72,7 +72,12 @@ def _mod97(text: Column) -> Column:
 
 def _valid(kind: str, text: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(text, r"\."), lambda p: F.coalesce(F.ltrim(p, F.lit("0")).cast("decimal(38,0)") <= 255, F.length(F.ltrim(p, F.lit("0"))) == 0))
+
+        def small(part):
+            digits = F.ltrim(part, F.lit("0"))
+            return F.when(F.length(digits) <= 3, F.coalesce(digits.try_cast("int"), F.lit(0)) <= 255).otherwise(False)
+
+        return F.forall(F.split(text, r"\."), small)
     if kind == "card":
         return F.when(F.length(_digits(text)).between(14, 19), _luhn(_digits(text))).otherwise(False)
     if kind == "phone":

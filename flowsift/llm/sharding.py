@@ -30,15 +30,16 @@ class Sharding:
     row_bytes: int = 16  # what a row takes besides its text
     grains: int = 256  # bundles per shard; groups larger than a bundle's share are placed alone
     most: float = 0.5  # of a shard that a group may take before it is cut
+    weights: tuple = (4.0, 1.0, 1.0)  # of bytes, words and rows in the dot product; the law is about bytes
 
 
-def assign(items: np.ndarray, shards: int, capacity: np.ndarray) -> np.ndarray:
+def assign(items: np.ndarray, shards: int, capacity: np.ndarray, weights) -> np.ndarray:
     """A shard for each row of `items` (sizes), largest first; ties go to the lowest shard."""
     share = items / np.maximum(capacity, 1e-9)
     left = np.ones((shards, items.shape[1]))
     out = np.zeros(len(items), np.int64)
     for i in np.lexsort((np.arange(len(items)), -share.max(1))) if len(items) else []:
-        fit = left @ share[i]
+        fit = left @ (share[i] * weights)
         out[i] = int(np.argmax(fit))
         left[out[i]] -= share[i]
     return out
@@ -77,7 +78,7 @@ def shard(docs: DataFrame, cfg: Sharding = Sharding()) -> DataFrame:
     piece = F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.col("pieces"))).cast("int")
     known = known.select("doc_id", "size", "text_crc32", "words", unit.alias("unit"), piece.alias("piece"))
     items = known.groupBy("unit", "piece").agg(*sums).orderBy("unit", "piece").collect()
-    placed = assign(np.array([[r[c] for c in SIZES] for r in items], float).reshape(len(items), 3), cfg.shards, capacity)
+    placed = assign(np.array([[r[c] for c in SIZES] for r in items], float).reshape(len(items), 3), cfg.shards, capacity, np.array(cfg.weights))
     where = spark.createDataFrame(
         [(r["unit"], r["piece"], int(s)) for r, s in zip(items, placed)], "unit long, piece int, shard int"
     )
