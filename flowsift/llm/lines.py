@@ -40,17 +40,16 @@ class LineDedup:
 PLACE = ["doc_id", "line_no", "text_hash"]
 
 
-def lines_of(docs: DataFrame, cfg: LineDedup) -> DataFrame:
-    """The lines with at least one word: place, words, n, and `h`, `h2` that stand for the words.
+def split_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, text_hash, line): what stands between newlines."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
-    Words are divided by ASCII white space. A short line's hashes also stand for its document.
-    """
-    text_hash = F.xxhash64("text").alias("text_hash")
-    split = docs.select("doc_id", text_hash, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = F.array_remove(F.split("line", r"[\x20\x09-\x0D]+"), "")
-    lines = split.select(*PLACE, words.alias("words")).withColumn("n", F.size("words")).filter("n > 0")
-    own = F.when(F.col("n") < cfg.min_words, F.xxhash64("doc_id", "text_hash")).otherwise(F.lit(0).cast("long"))
-    return lines.select("*", _hash(F.col("words"), own).alias("h"), F.xxhash64(F.lit(7), "words", own).alias("h2"))
+
+def words_of(line: Column) -> Column:
+    """The words of a line, divided by ASCII white space; plain text searches are far cheaper here than a pattern."""
+    for other in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(other), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _hash(words: Column, own: Column | None = None) -> Column:
@@ -61,32 +60,39 @@ def _spot(place: str = "") -> Column:
     return F.xxhash64(*(F.col(place + c) for c in PLACE))
 
 
-def first_of_equals(lines: DataFrame, cfg: LineDedup) -> DataFrame:
-    """One row per distinct line: h, h2, its earliest place, its number of rows, n, and the hashes of its halves.
+def hashed(docs: DataFrame, cfg: LineDedup) -> DataFrame:
+    """Every line with words as place, n, `h` and `h2` that stand for the words, and the hashes of its halves.
 
-    For a pair whose longer line has w words the halves have (w - 1) div 2 words each. A
-    line is the longer one or a word shorter, so it has two pairs of halves.
+    A short line's h and h2 also stand for its document. For a pair whose longer line
+    has w words the halves have (w - 1) div 2 words each. A line is the longer one or a
+    word shorter, so it has two pairs of halves.
     """
+    lines = split_lines(docs).select(*PLACE, words_of(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
+    own = F.when(F.col("n") < cfg.min_words, F.xxhash64("doc_id", "text_hash")).otherwise(F.lit(0).cast("long"))
     halves = []
     for more in (0, 1):
         w = F.col("n") + more
         k = F.floor((w - 1) / 2).cast("int")
         halves += [F.xxhash64(w, F.lit(1), F.slice("words", F.lit(1), k)), F.xxhash64(w, F.lit(2), F.slice("words", F.col("n") - k + 1, k))]
     near = F.col("n") >= cfg.near_words
-    hashes = lines.select(
-        F.struct(*PLACE).alias("place"), "h", "h2", "n", *(F.when(near, half).alias(f"half{i}") for i, half in enumerate(halves))
-    )
-    return hashes.groupBy("h", "h2").agg(
-        F.min("place").alias("place"), F.count("*").alias("rows"), F.min("n").alias("n"),
-        *(F.min(f"half{i}").alias(f"half{i}") for i in range(4)),
+    return lines.select(
+        *PLACE, "n", _hash(F.col("words"), own).alias("h"), F.xxhash64(F.lit(7), "words", own).alias("h2"),
+        *(F.when(near, half).alias(f"half{i}") for i, half in enumerate(halves)),
     )
 
 
-def sharing_halves(unique: DataFrame, cfg: LineDedup) -> DataFrame:
+def first_of_equals(hashes: DataFrame) -> DataFrame:
+    """One row per distinct line: h, h2, its earliest place, its number of rows and of words."""
+    return hashes.groupBy("h", "h2").agg(F.min(F.struct(*PLACE)).alias("place"), F.count("*").alias("rows"), F.min("n").alias("n"))
+
+
+def sharing_halves(hashes: DataFrame, cfg: LineDedup) -> DataFrame:
     """(h): long lines that share a half with a different line."""
-    keyed = unique.filter(F.col("n") >= cfg.near_words).select("h", F.explode(F.array(*(f"half{i}" for i in range(4)))).alias("half"))
+    keyed = hashes.filter(F.col("n") >= cfg.near_words).select("h", F.explode(F.array(*(f"half{i}" for i in range(4)))).alias("half"))
     many = keyed.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("half")
-    return keyed.join(many.hint("merge"), "half").select("h").distinct()
+    many = cut(many)
+    likely = marked(keyed, F.col("half"), bitmap(many, F.col("half"), cfg), "held", cfg).filter("held").select("h", "half")
+    return likely.join(many.hint("merge"), "half").select("h").distinct()
 
 
 def bitmap(keys: DataFrame, key: Column, cfg: LineDedup) -> DataFrame:
@@ -138,16 +144,17 @@ def near_earlier(lines: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, cfg: LineDedup = LineDedup()) -> DataFrame:
     """(doc_id, text_hash, drops): the numbers, from 0, of the lines that go, per document that loses any."""
-    lines = lines_of(docs, cfg)
-    unique = cut(first_of_equals(lines, cfg))
-    some = cut(unique.join(sharing_halves(unique, cfg).hint("merge"), "h", "left_semi").select("h", "n", "place", _spot("place.").alias("spot")))
-    at_spot = lines.withColumn("spot", _spot())
-    held = marked(at_spot, F.col("spot"), bitmap(some, F.col("spot"), cfg), "held", cfg).filter("held").select("spot", "words")
+    hashes = cut(hashed(docs, cfg))
+    unique = cut(first_of_equals(hashes))
+    some = cut(unique.join(sharing_halves(hashes, cfg).hint("merge"), "h", "left_semi").select("h", "n", "place", _spot("place.").alias("spot")))
+    at_spot = split_lines(docs).withColumn("spot", _spot())
+    held = marked(at_spot, F.col("spot"), bitmap(some, F.col("spot"), cfg), "held", cfg).filter("held")
+    held = held.select("spot", words_of(F.col("line")).alias("words"))
     expanded = cut(some.join(held.hint("merge"), "spot").dropDuplicates(["spot"]).drop("spot"))
     near = cut(near_earlier(expanded))
     over = unique.join(near.withColumn("near", F.lit(True)), "h", "left").filter("rows > 1 OR near")
     over = cut(over.select("h", "h2", "place", F.coalesce("near", F.lit(False)).alias("near")))
-    rows = lines.select(*PLACE, "h", "h2")
+    rows = hashes.select(*PLACE, "h", "h2")
     rows = marked(rows, F.col("h"), bitmap(over, F.col("h"), cfg), "held", cfg).filter("held").drop("held")
     late = rows.join(over.hint("merge"), ["h", "h2"]).filter(F.col("near") | (F.struct(*PLACE) > F.col("place")))
     return cut(late.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("drops")))
@@ -175,14 +182,15 @@ def dedup_lines(docs: DataFrame, cfg: LineDedup = LineDedup()) -> DataFrame:
         gone.hint("merge"), (F.col(key) == F.col(key + "_")) & F.col("doc_id").eqNullSafe(F.col(own)), "left"
     )
     parts = F.split("text", "\n")
+    lines = F.when(F.coalesce("text", F.lit("")) == "", F.lit(0)).otherwise(F.size(parts))
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(key + "_drops"))
+    hit = hit.withColumn(own + "_lines", lines)
     text = F.when(F.col(key + "_drops").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(F.split(F.col("text"), "\n"), i)), "\n")
     )
-    lines = F.when(F.coalesce("text", F.lit("")) == "", F.lit(0)).otherwise(F.size(parts))
-    others = [c for c in docs.columns if c not in ("text", "lines_before", "lines_dropped")]
-    short = hit.select(
-        *others, text.alias("text"), lines.alias("lines_before"), F.coalesce(F.size(key + "_drops"), F.lit(0)).alias("lines_dropped")
+    kept = [c for c in docs.columns if c not in ("lines_before", "lines_dropped")]
+    short = hit.withColumn("text", text).select(
+        *kept, F.col(own + "_lines").alias("lines_before"), F.coalesce(F.size(key + "_drops"), F.lit(0)).alias("lines_dropped")
     )
-    same = flagged.filter(~F.col(seen)).select(*others, "text", lines.alias("lines_before"), F.lit(0).alias("lines_dropped"))
+    same = flagged.filter(~F.col(seen)).select(*kept, lines.alias("lines_before"), F.lit(0).alias("lines_dropped"))
     return short.unionByName(same)
