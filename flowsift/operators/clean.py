@@ -62,12 +62,15 @@ def _any_null(flows: DataFrame):
 def within_capture(flows: DataFrame, calendar: DataFrame) -> DataFrame:
     """Adds `day` by file name and keeps flows inside that day's capture.
 
+    A file that the calendar does not know stops the job, which names it.
     The calendar is one row per capture file, a literal table, so Spark
     broadcasts it by its own size estimate.
     """
+    unknown = F.raise_error(F.concat(F.lit("not in the capture calendar: "), F.coalesce("file", F.lit("no file"))))
+    inside = F.when(F.col("start").isNull(), unknown.cast("boolean")).otherwise(F.col("ts").between(F.col("start"), F.col("end")))
     return (
-        flows.join(calendar, "file")
-        .filter(F.col("ts").between(F.col("start"), F.col("end")))
+        flows.join(calendar, "file", "left")
+        .filter(inside)
         .drop("start", "end")
     )
 

@@ -16,7 +16,7 @@ from .fixture import BULK_SQL, FLOW_SQL, bulk_flows, event_flows, table
 DAY_MINUTES = 1440
 DAILY = pl.Settings(method=0, minutes=(DAY_MINUTES,), digits=9, algorithms=("dbscan",), score_noise=False)
 SCORED = replace(DAILY, score_noise=True)
-FULL = pl.Settings(method=1, x=30, minutes=(DAY_MINUTES,), restarts=3)
+FULL = pl.Settings(method=1, minutes=(DAY_MINUTES,))
 GROUP = vc.GROUP
 DIRTY_FORMAT = "dd/MM/yyyy hh:mm:ss a"
 
@@ -259,7 +259,7 @@ def q_embedding_lof(spark, sf):
 
 def _sweep(spark, sf):
     _, unique = daily_distinct(spark, sf)
-    return unique, cut(kmeans.kmeans_grid(unique, GROUP, restarts=3))
+    return unique, cut(kmeans.kmeans_grid(unique, GROUP))
 
 
 def q_kmeans_grid(spark, sf):

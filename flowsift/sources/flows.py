@@ -41,18 +41,30 @@ def read_flow_parquet(spark: SparkSession, path) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_feature_csv(spark: SparkSession, path) -> DataFrame:
-    """Feature matrices written as CSV: entity, then one column per feature.
+FEATURE_KEYS = ("win_start", "view", "role", "file")
 
-    The first column has no name. Port features may carry a leading `T`, which
-    is stripped, so features are known by name whatever their position.
+
+def read_feature_csv(spark: SparkSession, path, keys=FEATURE_KEYS) -> DataFrame:
+    """Feature matrices written as CSV: entity first, then one column per feature.
+
+    Every file is read by its own header, so files may differ in the order and in the
+    set of their columns; a feature that a file lacks is 0. The first column has no name
+    or is called entity. Port features may carry a leading `T`, which is stripped.
+    Columns named in `keys`, and those of partition folders, are kept as they are.
     """
-    raw = spark.read.option("header", True).csv(path)
-    first, *rest = raw.columns
-    return raw.select(
-        F.col(f"`{first}`").alias("entity"),
-        *[
-            F.col(f"`{c}`").cast("double").alias(c[1:] if c[:1] == "T" and c[1:2].isdigit() else c)
-            for c in rest
-        ],
-    )
+    lines = spark.read.text(path)
+    folders = [c for c in lines.columns if c != "value"]
+    cells = F.split("value", ",", -1)
+    lines = lines.select(*folders, cells.alias("cells"), F.col("_metadata.file_path").alias("path"))
+    is_header = F.trim(F.get("cells", F.lit(0)), F.lit('"')).isin("", "entity", "Unnamed: 0")
+    plain = F.transform("cells", lambda c: F.regexp_replace(F.trim(c, F.lit('"')), "^T(?=[0-9])", ""))
+    headers = lines.filter(is_header).select("path", plain.alias("names")).distinct()
+    rows = lines.filter(~is_header).join(headers, "path").withColumn("by_name", F.map_from_arrays(F.slice("names", 2, 100_000), F.slice(plain, 2, 100_000)))
+    # as many names as there are features, whatever the number of files
+    places = headers.select(F.posexplode(F.slice("names", 2, 100_000)).alias("place", "name"))
+    names = [r["name"] for r in places.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()]
+    value = {}
+    for n in names:
+        found = F.try_element_at("by_name", F.lit(n))
+        value[n] = found if n in keys else F.coalesce(F.when(found != "", found).cast("double"), F.lit(0.0))
+    return rows.select(F.get(plain, F.lit(0)).alias("entity"), *folders, *(v.alias(n) for n, v in value.items()))

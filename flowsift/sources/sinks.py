@@ -15,8 +15,10 @@ def with_label(df: DataFrame, hours: int = LABEL_OFFSET_HOURS) -> DataFrame:
 
 
 def _save(df: DataFrame, path: str, by, fmt: str, mode: str) -> None:
-    # rows of one partition folder stay in as few tasks as their size allows
-    writer = df.hint("rebalance", *by).write.mode(mode).partitionBy(*by)
+    # rows of one partition folder stay in as few tasks as their size allows; overwriting replaces the folders written, no others
+    first = ["entity"] if "entity" in df.columns else []
+    df = df.select(*first, *(c for c in df.columns if c not in first))
+    writer = df.hint("rebalance", *by).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by)
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 

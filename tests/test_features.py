@@ -151,11 +151,17 @@ def test_cleaning(spark):
 def test_capture_bounds_are_inclusive(spark):
     start, end = datetime(2018, 2, 14, 4), datetime(2018, 2, 15, 4)
     times = [datetime(2018, 2, 14, 3, 59, 59), start, end, datetime(2018, 2, 15, 4, 0, 1)]
-    df = spark.createDataFrame([("new_wednesday-14-02-18.csv", t) for t in times] + [("other.csv", start)], "file string, ts timestamp_ntz")
+    df = spark.createDataFrame([("new_wednesday-14-02-18.csv", t) for t in times], "file string, ts timestamp_ntz")
     got = clean.within_capture(df, capture_calendar(spark)).collect()
     assert sorted(r.ts for r in got) == [start, end] and {r.day for r in got} == {1}
 
 
+def test_a_file_outside_the_calendar_stops_the_job(spark):
+    df = spark.createDataFrame([("other.csv", datetime(2018, 2, 14, 5))], "file string, ts timestamp_ntz")
+    with pytest.raises(Exception, match="other.csv"):
+        clean.within_capture(df, capture_calendar(spark)).collect()
+
+
 def test_dimension_sizes(spark):
     truth = ground_truth(spark)
     assert truth.filter("role = 'victim'").count() == 38 and truth.filter("role = 'attacker'").count() == 31

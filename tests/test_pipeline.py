@@ -1,6 +1,7 @@
 """Sources, sinks and the whole job on the smallest tables."""
 
 import os
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,23 @@ def test_feature_csv_is_read_by_name(spark, tmp_path):
     assert df.filter("entity = '172.31.0.1'").first()["443SrcTo"] == 4.5
 
 
+def test_feature_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",SrcConnMade,T443SrcTo\n172.31.0.1,3,4.5\n")
+    (tmp_path / "b.csv").write_text("entity,T443SrcTo,T80SrcTo,SrcConnMade\n8.8.8.8,7,1,2\n")
+    got = {r.entity: r.asDict() for r in read_feature_csv(spark, str(tmp_path)).collect()}
+    assert got["8.8.8.8"] == {"entity": "8.8.8.8", "SrcConnMade": 2.0, "443SrcTo": 7.0, "80SrcTo": 1.0}
+    assert got["172.31.0.1"] == {"entity": "172.31.0.1", "SrcConnMade": 3.0, "443SrcTo": 4.5, "80SrcTo": 0.0}
+
+
+def test_features_written_as_csv_come_back_and_other_days_stay(spark, tmp_path):
+    columns = "win_start timestamp_ntz, entity string, SrcConnMade double, day int, win_sec int"
+    at = datetime(2018, 2, 14, 10)
+    for day, value in ((1, 3.0), (2, 5.0), (2, 6.0)):
+        sinks.write_features(spark.createDataFrame([(at, f"10.0.0.{day}", value, day, 600)], columns), str(tmp_path / "out"), "csv")
+    back = read_feature_csv(spark, str(tmp_path / "out"))
+    assert {(r.entity, r.SrcConnMade, r.day, r.win_sec) for r in back.collect()} == {("10.0.0.1", 3.0, 1, 600), ("10.0.0.2", 6.0, 2, 600)}
+
+
 @pytest.fixture(scope="module")
 def detection(spark):
     s = pl.Settings(method=1, x=9, minutes=(1440,), min_entities=12, restarts=2)
