@@ -117,12 +117,25 @@ def _without(words: Column, at: Column) -> Column:
     return F.concat(F.slice(words, F.lit(1), at), F.slice(words, at + 2, F.size(words)))
 
 
-def near_earlier(lines: DataFrame) -> DataFrame:
+def meeting(gone: DataFrame, whole: DataFrame, cfg: LineDedup) -> DataFrame:
+    """Those of the deletions `gone` whose key another deletion or a whole line has, too.
+
+    Most deletions meet nothing, so bare keys are counted first, and places travel
+    for the keys that occur twice only.
+    """
+    keys = gone.select("rest").unionByName(whole.select(F.col("h").alias("rest")))
+    twice = cut(keys.groupBy("rest").agg(F.count("*").alias("m")).filter("m > 1").select("rest"))
+    likely = marked(gone, F.col("rest"), bitmap(twice, F.col("rest"), cfg), "held", cfg).filter("held").drop("held")
+    return cut(likely.join(twice.hint("merge"), "rest", "left_semi"))
+
+
+def near_earlier(lines: DataFrame, cfg: LineDedup) -> DataFrame:
     """(h): those of the distinct `lines` (h, words, n, place) that are near an earlier one of them."""
     whole = lines.select("h", "place")
     places = lines.select("h", "n", "place", "words", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
     gone = cut(places.select("h", "n", "place", "at", _hash(_without(F.col("words"), F.col("at"))).alias("rest")))
     first = F.min(F.struct("place", "h")).alias("first")
+    gone = meeting(gone, whole, cfg)
     # a word replaced: the first line of each (place of the word, rest)
     other = gone.groupBy("rest", "at", "n").agg(first, F.count("*").alias("m")).filter("m > 1").drop("m")
     replaced = gone.join(other, ["rest", "at", "n"]).filter("first.place < place")
@@ -151,7 +164,7 @@ def dropped_lines(docs: DataFrame, cfg: LineDedup = LineDedup()) -> DataFrame:
     held = marked(at_spot, F.col("spot"), bitmap(some, F.col("spot"), cfg), "held", cfg).filter("held")
     held = held.select("spot", words_of(F.col("line")).alias("words"))
     expanded = cut(some.join(held.hint("merge"), "spot").dropDuplicates(["spot"]).drop("spot"))
-    near = cut(near_earlier(expanded))
+    near = cut(near_earlier(expanded, cfg))
     over = unique.join(near.withColumn("near", F.lit(True)), "h", "left").filter("rows > 1 OR near")
     over = cut(over.select("h", "h2", "place", F.coalesce("near", F.lit(False)).alias("near")))
     rows = hashes.select(*PLACE, "h", "h2")
