@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.kernels import constant, floats, matrix, nearest_in_block, row_chunks, sq_distances
 from ..functions.scalars import uniform
@@ -220,11 +220,11 @@ def nearest(points: DataFrame, keys, k: int = 1, block: int = BLOCK, ward: bool
     visitors, hosts = visits(cells, bounded, keys, ward)
     place = [*keys, "cell", "sub", "salt"]
     found = cogrouped(visitors, hosts, place).applyInArrow(across, schema)
-    both = local.unionByName(found).groupBy(*keys, "id")
-    pair = F.struct("d", "nid")
+    both = local.unionByName(found)
     if k == 1:
-        merged = both.agg(F.min(pair).alias("p"))
+        merged = both.groupBy(*keys, "id").agg(F.min(F.struct("d", "nid")).alias("p")).select(*keys, "id", "p.nid", "p.d")
     else:
-        ranked = F.slice(F.array_sort(F.collect_list(pair)), 1, k)
-        merged = both.agg(ranked.alias("ps")).select(*keys, "id", F.explode("ps").alias("p"))
-    return result.unionByName(merged.select(*keys, "id", F.col("p.nid").alias("nid"), F.col("p.d").alias("d")))
+        # every task keeps its own k best before the shuffle
+        closest = F.row_number().over(W.partitionBy(*keys, "id").orderBy("d", "nid"))
+        merged = both.withColumn("rank", closest).filter(F.col("rank") <= k).drop("rank")
+    return result.unionByName(merged.select(*keys, "id", "nid", "d"))

@@ -116,12 +116,16 @@ def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema
         return table.join(counts, keys).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     stats = placed.groupBy(*keys).agg(
-        Summarizer.metrics("variance").summary(array_to_vector("vec"), F.col("weight")).alias("s")
+        Summarizer.metrics("mean", "normL2").summary(array_to_vector("vec"), F.col("weight")).alias("s"),
+        F.sum("weight").alias("mass"),
     )
-    spread_of = F.aggregate(vector_to_array("s.variance"), F.lit(0.0), lambda a, b: a + b)
-    limits = stats.select(
-        *keys, (spread_of / F.size(vector_to_array("s.variance")) * F.lit(TOLERANCE)).alias("limit")
+    # the same unit as `_variance`
+    variances = F.zip_with(
+        vector_to_array("s.normL2"), vector_to_array("s.mean"),
+        lambda norm, mean: F.greatest(norm * norm / F.col("mass") - mean * mean, F.lit(0.0)),
     )
+    spread_of = F.aggregate(variances, F.lit(0.0), lambda a, b: a + b) / F.size(variances)
+    limits = stats.select(*keys, (spread_of * F.lit(TOLERANCE)).alias("limit"))
     start = cut(_large_seeds(placed, copies, keys, restarts, schema).join(limits, keys))
     partial = extend(
         fields(points, keys), restart="integer", k="integer", c="integer", sums="array<double>", mass="double", cost="double"

@@ -30,10 +30,10 @@ def cluster_sizes(labels: DataFrame, keys) -> DataFrame:
 
 def flagged_entities(labels: DataFrame, keys) -> DataFrame:
     """(keys, entity, algorithm, cluster) of all outliers."""
-    by = [*keys, "algorithm", "cluster"]
-    single = cluster_sizes(labels, keys).filter((F.col("size") <= 1) & (F.col("cluster") >= 0)).select(*by)
     columns = [*keys, "entity", "algorithm", "cluster"]
-    alone = labels.filter(F.col("cluster") >= 0).join(single, by, "left_semi")
+    clusters = labels.filter(F.col("cluster") >= 0).groupBy(*keys, "algorithm", "cluster")
+    # the smallest entity of a cluster of one is its only one
+    alone = clusters.agg(F.count("*").alias("size"), F.min("entity").alias("entity")).filter(is_outlier())
     return labels.filter(F.col("cluster") < 0).select(*columns).unionByName(alone.select(*columns))
 
 

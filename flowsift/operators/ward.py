@@ -21,7 +21,6 @@ from .cells import BLOCK, extend, fields, grouped, nearest, split_large
 from .components import follow
 from .density import number_clusters
 from .joins import attach
-from .kmeans import K_MAX
 
 
 def ward_clusters(distinct: DataFrame, chosen: DataFrame, keys, block: int = BLOCK) -> DataFrame:
@@ -43,12 +42,13 @@ def ward_clusters(distinct: DataFrame, chosen: DataFrame, keys, block: int = BLO
 def _finish(clusters: DataFrame, earlier: DataFrame | None, chosen: DataFrame, keys) -> DataFrame:
     """(keys, id, root, undone): completes each tree and cuts it.
 
-    The k - 1 highest merges are not made. `earlier` holds the heights of the
-    merges made before, highest first; `undone` says how many of those fall
-    among the highest.
+    The k - 1 highest merges are not made; of equal heights, those that absorb the
+    smallest ids. So the cut does not depend on how a group was spread over tasks.
+    `earlier` holds the highest merges made before, in this order; `undone` says how
+    many of those are not to be.
     """
     rows = attach(clusters, chosen, keys, "id")
-    none = F.array().cast("array<double>")
+    none = F.array().cast("array<struct<height:double,id:string>>")
     rows = rows.withColumn("before", none) if earlier is None else attach(rows, earlier, keys, "id", "left").withColumn(
         "before", F.coalesce("before", none)
     )
@@ -56,16 +56,17 @@ def _finish(clusters: DataFrame, earlier: DataFrame | None, chosen: DataFrame, k
     def complete(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
         merges = merge_closest(matrix(rows), floats(rows, "weight"), floats(rows, "height"))
-        before = rows.column("before")[0].as_py()
+        names = rows.column("id").to_pylist()
         spare = rows.column("k")[0].as_py() - 1
-        tops = [(h, 1, i) for i, (_, _, h) in enumerate(merges)] + [(h, 0, -i) for i, h in enumerate(before)]
-        tops = sorted(tops, reverse=True)[: max(spare, 0)]
-        skipped = {i for _, late, i in tops if late}
+        tops = [(-h, names[gone], i) for i, (gone, _, h) in enumerate(merges)]
+        tops += [(-b["height"], b["id"], None) for b in rows.column("before")[0].as_py()]
+        tops = sorted(tops, key=lambda t: t[:2])[: max(spare, 0)]
+        skipped = {i for _, _, i in tops if i is not None}
         root = np.arange(rows.num_rows)
         for i, (gone, kept, _) in reversed(list(enumerate(merges))):
             if i not in skipped:
                 root[gone] = root[kept]
-        undone = sum(1 for _, late, _ in tops if not late)
+        undone = len(tops) - len(skipped)
         return (
             rows.select([*keys, "id"])
             .append_column("root", rows.column("id").take(pa.array(root)))
@@ -82,7 +83,6 @@ def _large_roots(small: DataFrame, large: DataFrame, chosen: DataFrame, keys, bl
         pairs = cut(_mutual_pairs(state, keys, block))
         rounds += 1
         state, made = _merge(state, pairs, keys)
-        made = made.withColumn("round", F.lit(rounds))
         merges = made if merges is None else merges.unionByName(made)
         ended, state, _ = split_large(state, keys, block)
         done = done.unionByName(ended)
@@ -90,11 +90,10 @@ def _large_roots(small: DataFrame, large: DataFrame, chosen: DataFrame, keys, bl
             break
         state = cut(state)
     merges = cut(merges)
-    top = W.partitionBy(*keys).orderBy(F.col("height").desc(), F.col("round").desc(), F.col("id"))
-    ranked = cut(merges.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") < K_MAX))
-    earlier = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "height"))).alias("r")).select(
-        *keys, F.transform("r", lambda s: s["height"]).alias("before")
-    )
+    top = W.partitionBy(*keys).orderBy(F.col("height").desc(), F.col("id"))
+    most = chosen.agg(F.max("k")).first()[0] or 1  # a literal limit, so that few rows of a group meet
+    ranked = cut(merges.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") < most))
+    earlier = ranked.groupBy(*keys).agg(F.collect_list(F.struct("height", "id")).alias("before"))
     finished = cut(_finish(done, earlier, chosen, keys))
     undone = ranked.join(finished.select(*keys, "undone").distinct(), keys).filter(F.col("rank") <= F.col("undone"))
     kept = merges.join(undone.select(*keys, "id"), [*keys, "id"], "left_anti")

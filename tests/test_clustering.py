@@ -47,6 +47,22 @@ def test_ward_equals_one_merge_at_a_time(spark, block):
         assert sorted(got[g]) == list(range(ks[g]))
 
 
+def test_ward_ties_do_not_depend_on_the_block(spark):
+    """Four pairs of equal width: the cut at 5 and 6 splits those of the smallest absorbed ids."""
+    rows = [(g, f"p{i}", [float(10 * (i // 2) + i % 2)], 1.0) for g in (0, 1) for i in range(8)]
+    points = spark.createDataFrame(rows, "g int, id string, vec array<double>, weight double")
+    chosen = spark.createDataFrame([(0, 5), (1, 6)], "g int, k int")
+
+    def cut_at(block):
+        found = ward_clusters(points, chosen, ["g"], block).collect()
+        return {(r.g, r.id): r.cluster for r in found}
+
+    whole = cut_at(1024)
+    assert whole == cut_at(4)
+    assert [whole[0, f"p{i}"] for i in range(8)] == [0, 1, 2, 2, 3, 3, 4, 4]
+    assert [whole[1, f"p{i}"] for i in range(8)] == [0, 1, 2, 3, 4, 4, 5, 5]
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_kmeans_grid_properties(spark, block):
     groups = random_groups(seed=4, groups=2, rows=80)
