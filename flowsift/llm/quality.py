@@ -186,14 +186,24 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<float>")
 
 
-def fit(measured: DataFrame, labels: DataFrame, cfg: Quality = Quality(), folds: int = 4, fold: int = 2) -> Trees:
-    """Trees grown on at most `sample_rows` labelled rows outside the held-out fold, chosen by a hash of the id."""
+def label_sample(labels: DataFrame, cfg: Quality, folds: int, fold: int) -> DataFrame:
+    """(doc_id, y): at most `sample_rows` labels outside the held-out fold, chosen by a hash of the id."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("y"))
     known = known.filter(~held_out(F.col("doc_id"), folds, fold))
-    rows = measured.join(known, "doc_id").select("x", "y", F.xxhash64(F.lit(17), "doc_id").alias("at"), "doc_id")
-    sample = rows.orderBy("at", "doc_id", "y").limit(cfg.sample_rows).select("x", "y").toPandas()
-    x = np.array(sample["x"].tolist(), np.float32).reshape(len(sample), len(STATISTICS))
-    return grow(x, sample["y"].to_numpy(np.float64), cfg)
+    return cut(known.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id", "y").limit(cfg.sample_rows))
+
+
+def fit(docs: DataFrame, labels: DataFrame, cfg: Quality = Quality(), folds: int = 4, fold: int = 2) -> Trees:
+    """Trees grown on a bounded sample of labelled rows; only the texts of the sample are measured for it."""
+    # the sample has at most sample_rows rows of two numbers
+    sample = F.broadcast(label_sample(labels, cfg, folds, fold))
+    chosen = docs.select("doc_id", "text").join(sample.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = document_statistics(chosen).join(sample, "doc_id")
+    # repeated ids may bring more rows than labels were chosen
+    order = [F.xxhash64(F.lit(17), "doc_id"), "doc_id", "y", "x"]
+    pdf = rows.orderBy(*order).limit(cfg.sample_rows).select("x", "y").toPandas()
+    x = np.array(pdf["x"].tolist(), np.float32).reshape(len(pdf), len(STATISTICS))
+    return grow(x, pdf["y"].to_numpy(np.float64), cfg)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, cfg: Quality = Quality(), folds: int = 4, fold: int = 2) -> DataFrame:
@@ -205,15 +215,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, cfg: Quality = Quality(),
     counts twice. Without labels of both kinds all scores are the (smoothed) rate of
     label 1. An empty table gives an empty result.
     """
-    measured = cut(document_statistics(docs))
-    trees = fit(measured, labels, cfg, folds, fold)
+    trees = fit(docs, labels, cfg, folds, fold)
 
     def run(batches):
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.score(x))], ["doc_id", "score"])
+            for first, last, x in statistics(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(trees.score(x))], ["doc_id", "score"])
 
-    scored = measured.mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select(
         "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= cfg.accept).cast("int").alias("predicted")
     )
@@ -221,7 +230,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, cfg: Quality = Quality(),
 
 def keep_good(docs: DataFrame, labels: DataFrame, cfg: Quality = Quality(), folds: int = 4, fold: int = 2) -> DataFrame:
     """The rows of `docs` that are accepted, with all their columns."""
-    trees = fit(cut(document_statistics(docs)), labels, cfg, folds, fold)
+    trees = fit(docs, labels, cfg, folds, fold)
     text = docs.columns.index("text")
 
     def run(batches):
