@@ -23,11 +23,11 @@ def ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
-def floor_time(ts: Column, seconds: Column, offset: int = 0) -> Column:
+def floor_time(ts: Column, seconds: Column, offset: Column | int = 0) -> Column:
     """Start of the left-closed window of `seconds` length that holds `ts`.
 
-    Works on wall-clock timestamps and takes the length per row, so several
-    sizes can be produced by one expression.
+    Works on wall-clock timestamps and takes the length, and the offset of the
+    grid, per row, so several sizes can be produced by one expression.
     """
     since = F.timestamp_diff("SECOND", F.expr(EPOCH), ts) - F.lit(offset)
     return F.timestamp_add("SECOND", (since - F.pmod(since, seconds) + F.lit(offset)).cast("int"), F.expr(EPOCH))

@@ -45,13 +45,26 @@ def window_seconds(minutes) -> list[int]:
     return sorted({int(m * 60) for m in sizes})
 
 
-def with_window(flows: DataFrame, seconds: int, origin: int = 0) -> DataFrame:
+def _offset(origin: int | dict[int, int]):
+    """The start of a row's grid, from one origin for all rows or one per `day`."""
+    if not isinstance(origin, dict):
+        return F.lit(origin)
+    entries = [F.lit(v).cast("long" if i % 2 else "int") for i, v in enumerate(v for pair in sorted(origin.items()) for v in pair)]
+    own = F.try_element_at(F.create_map(*entries), F.col("day").cast("int")) if entries else F.lit(None).cast("long")
+    return F.coalesce(own, F.lit(0))
+
+
+def with_window(flows: DataFrame, seconds: int, origin: int | dict[int, int] = 0) -> DataFrame:
     """Adds `win_sec` and `win_start` (tumbling, left-closed).
 
     `origin` shifts the grid, in seconds after midnight 1970-01-01; it matters
-    only for lengths that do not divide a day.
+    only for lengths that do not divide a day. It may be a table day -> seconds,
+    such as `dimensions.capture_origins()`; days it does not hold count from 0.
     """
-    start = F.window("ts", f"{seconds} seconds", startTime=f"{origin % seconds} seconds")["start"]
+    if isinstance(origin, dict):
+        start = floor_time(F.col("ts"), F.lit(seconds), _offset(origin))
+    else:
+        start = F.window("ts", f"{seconds} seconds", startTime=f"{origin % seconds} seconds")["start"]
     return flows.withColumn("win_start", start).withColumn("win_sec", F.lit(seconds))
 
 
@@ -63,7 +76,7 @@ def active_windows(flows: DataFrame, min_flows: int = MIN_FLOWS) -> DataFrame:
     return flows.groupBy(*WINDOW).agg(F.count("*").alias("flows")).filter(F.col("flows") >= min_flows)
 
 
-def flow_items(flows: DataFrame, minutes=30, origin: int = 0, rates: bool = False) -> DataFrame:
+def flow_items(flows: DataFrame, minutes=30, origin: int | dict[int, int] = 0, rates: bool = False) -> DataFrame:
     """The item table for one or more window lengths.
 
     Several lengths share one pass: items are built on the longest window that
@@ -105,7 +118,7 @@ def flow_items(flows: DataFrame, minutes=30, origin: int = 0, rates: bool = Fals
         return items
     return (
         items.withColumn("win_sec", F.explode(F.array(*[F.lit(s) for s in sizes])))
-        .withColumn("win_start", floor_time(F.col("win_start"), F.col("win_sec"), origin))
+        .withColumn("win_start", floor_time(F.col("win_start"), F.col("win_sec"), _offset(origin)))
         .groupBy(*keys)
         .agg(*[F.sum(c).alias(c) for c in ["n", *totals]])
     )
@@ -240,7 +253,7 @@ def wide(profile: DataFrame, base: list[str], ports: list[int], roles: str = "bo
     )
 
 
-def extract(flows: DataFrame, ports: DataFrame | None, method: int = 1, minutes=30, origin: int = 0, key: str = "src") -> DataFrame:
+def extract(flows: DataFrame, ports: DataFrame | None, method: int = 1, minutes=30, origin: int | dict[int, int] = 0, key: str = "src") -> DataFrame:
     """Profiles of all windows of internal flows, before the activity guard."""
     items = flow_items(flows, minutes, origin, rates=method == 2)
     return profile_b(items, ports, key) if method == 2 else profile_a(items, ports)

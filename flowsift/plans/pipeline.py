@@ -28,7 +28,7 @@ class Settings:
     method: int = 1
     x: int = 100
     minutes: tuple = (30,)
-    origin: int = 0
+    origin: int | dict = 0  # or a table day -> seconds, see features.with_window
     key: str = "src"
     min_flows: int = MIN_FLOWS
     min_entities: int = MIN_ENTITIES

@@ -74,6 +74,15 @@ def capture_calendar(spark: SparkSession, files=None) -> DataFrame:
     return spark.createDataFrame(rows, "file string, day int, start timestamp_ntz, end timestamp_ntz")
 
 
+def capture_origins(files=None) -> dict[int, int]:
+    """day -> the midnight at which its capture day begins, in seconds after midnight 1970-01-01.
+
+    As `origin` of the windows, every day's grid begins at its own midnight, also
+    for lengths that do not divide a day.
+    """
+    return {day: int((datetime.fromisoformat(date) - datetime(1970, 1, 1)).total_seconds()) for _, day, date in files or CAPTURE_FILES}
+
+
 def ground_truth(spark: SparkSession) -> DataFrame:
     """(day, role, ip) of the known victims and attackers."""
     rows = [

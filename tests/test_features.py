@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from flowsift.operators import clean, features as ft, ports as pt, vectors as vc
 from flowsift.functions.scalars import label_time
-from flowsift.sources.dimensions import capture_calendar, ground_truth
+from flowsift.sources.dimensions import capture_calendar, capture_origins, ground_truth
 
 T0 = datetime(2018, 2, 14, 10, 0)
 SCHEMA = (
@@ -103,6 +103,21 @@ def test_windows_are_left_closed_and_roll_up(spark):
     assert shown == datetime(2018, 2, 14, 6, 0)
 
 
+def test_windows_begin_at_midnight_of_each_capture_day(spark):
+    assert capture_origins()[2] - capture_origins()[1] == 86400
+    late = datetime(2018, 2, 15, 0, 5)
+    f = flows(spark, flow(ts=late), flow(ts=late, day=2), flow(ts=late, day=99))
+    origins = capture_origins()
+    starts = {r.day: r.win_start for r in ft.with_window(f, 3000, origins).collect()}
+    # the 29th window of 50 minutes begins at 23:20; the second day's grid begins anew, and an unknown day counts from 1970
+    assert starts[1] == datetime(2018, 2, 14, 23, 20) and starts[2] == datetime(2018, 2, 15)
+    unknown = {r.win_start for r in ft.with_window(f.filter("day = 99"), 3000).collect()}
+    assert {starts[99]} == unknown
+    several = ft.extract(f, None, 0, [10, 50], origins).filter(F.col("entity") == IN)
+    assert {(r.day, r.win_start) for r in several.filter("win_sec = 3000").collect()} == set(starts.items())
+    assert {r.win_start for r in several.filter("win_sec = 600").collect()} == {datetime(2018, 2, 15)}
+
+
 def test_half_minute_windows(spark):
     assert ft.window_seconds([0.5, 0.9, 30]) == [30, 54, 1800]
 
