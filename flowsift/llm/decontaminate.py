@@ -1,14 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Test items are worked on in blocks of bounded size, so what a task holds of the
-benchmark never grows with it. For each block a first pass counts, over all
-documents, in how many of them each n-gram of the items occurs. The rarer half of
-every item's n-grams are its seeds: stock phrases fall away, while an item that has
-leaked everywhere keeps seeds, since rarity is relative within the item. The second
-pass aligns an item with the neighbourhood of each seed it shares with a document.
-The score is the best local alignment over words, as a share of what the whole item
-aligned with itself would get, so insertions, deletions and replaced words cost a
-little each instead of hiding the copy.
+"""Benchmark decontamination: word pair seeds that no copy can avoid, then Smith-Waterman alignment.
+
+Test items are worked on in blocks of bounded size. A seed is two words of an item in
+their order, next to each other or with a word between them, and so in the document.
+An alignment that reaches the threshold is charged for its edits, so a known number of
+its places hold such a pair, wherever the edits are (`Decontaminate.sure`); an item
+needs as seeds only one place more than an alignment may leave out. For each block a
+first pass counts, over all documents, in how many of them each pair occurs, and the
+rarest places are taken. Pairs that occur nowhere cost nothing and leave the count as
+it is. The second pass aligns an item with the neighbourhood of each seed it shares
+with a document, as wide as the threshold lets words be put in, if enough words
+and pairs of the item are in it. The score is the best local alignment over words, as a share of what
+the whole item aligned with itself would get, so insertions, deletions and replaced
+words cost a little each instead of hiding the copy.
 """
 
 from __future__ import annotations
@@ -19,12 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import ALNUM, chunks, find_words, shingles
+from .words import ALNUM, chunks, find_words, mix, seeds
 
 
 @dataclass(frozen=True)
 class Decontaminate:
-    gram: int = 3
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -32,9 +34,33 @@ class Decontaminate:
     least_words: int = 8  # items with fewer prove nothing and are left out
     block_words: int = 500_000  # of the items worked on at once
 
+    @property
+    def cost(self) -> int:
+        """What an edit takes from the score, at least."""
+        return max(1, min(-self.mismatch, -self.gap))
+
+    @property
+    def reach(self) -> int:
+        """Words from the first to the second of a pair, at most: matches further apart cost more than an alignment can spare at each of its words."""
+        return int(self.match * (1 - self.threshold) / self.cost) + 1
+
+    def sure(self, size: int) -> int:
+        """In any alignment of an item of `size` words that reaches the threshold, so many matched words have the next within `reach`.
+
+        Of m matches, m - 1 have a next one; where it is further off, `reach` edits or more
+        lie between. What is left of the score is linear in m, so its ends give the least.
+        """
+        least, far = self.threshold * self.match * size, self.reach * self.cost
+        ends = (int(np.ceil(self.threshold * size)), size)
+        return max(1, int(np.ceil(min((least - self.match * m) / far + m - 1 for m in ends) - 1e-9)))
+
+    def slack(self, size: int) -> int:
+        """Words that can be put into a copy that reaches the threshold."""
+        return int(self.match * size * (1 - self.threshold) / max(1, -self.gap))
+
 
 class Items:
-    """The words of a block of items, and which of their n-grams are seeds."""
+    """The words of a block of items, and which of their pairs are seeds."""
 
     def __init__(self, ids, texts, cfg: Decontaminate):
         column = pa.array(texts, pa.large_string())
@@ -46,39 +72,74 @@ class Items:
                 if bounds[i + 1] - bounds[i] >= cfg.least_words:
                     self.ids.append(ids[first + i])
                     self.words.append(found.hash[bounds[i] : bounds[i + 1]])
-        rows = [np.arange(len(w)) for w in self.words]
-        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.needed = np.array([len(w) - cfg.sure(len(w)) for w in self.words], np.int64)  # places with seeds
         flat = np.concatenate(self.words) if self.words else np.empty(0, np.uint64)
-        place = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        doc, grams, at = _grams(doc, flat, cfg.gram)
-        self.item, self.gram, self.place = doc, grams, place[at]
-        order = np.argsort(self.gram, kind="stable")
-        self.item, self.gram, self.place = self.item[order], self.gram[order], self.place[order]
-        self.kinds = np.unique(self.gram)
+        item, self.pair, at = _pairs(np.repeat(np.arange(len(self.words)), self.sizes), flat, cfg.reach)
+        self.item, self.place = item, at - (np.cumsum(self.sizes) - self.sizes)[item]
+        self._sort(np.argsort(self.pair, kind="stable"))
+        self.kinds = np.unique(self.pair)
+
+    def _sort(self, order) -> None:
+        self.item, self.pair, self.place = self.item[order], self.pair[order], self.place[order]
 
     def keep_rare(self, df: np.ndarray) -> None:
-        """Keep the rarer half of each item's n-grams; `df` is in the order of `kinds`."""
-        often = df[np.searchsorted(self.kinds, self.gram)]
-        order = np.lexsort((self.gram, often, self.item))
-        item = self.item[order]
+        """Keep the pairs of each item's rarest places, as many as it needs; `df` is in the order of `kinds`."""
+        often = df[np.searchsorted(self.kinds, self.pair)]
+        width = int(self.sizes.max(initial=1))
+        places, own = np.unique(self.item * width + self.place, return_inverse=True)
+        total = np.zeros(len(places), np.int64)
+        np.add.at(total, own, often)
+        item = places // width
+        order = np.lexsort((places, total, item))
+        item = item[order]
         opens = np.flatnonzero(np.diff(item, prepend=-1))
-        size = np.diff(opens, append=len(item))
-        rank = np.arange(len(item)) - np.repeat(opens, size)
-        kept = np.sort(order[rank < np.repeat((size + 1) // 2, size)])
-        self.item, self.gram, self.place = self.item[kept], self.gram[kept], self.place[kept]
-
-
-def _grams(doc, hashes, gram):
-    """(row, n-gram, index of its first word) of all n-grams within a row."""
-    n = len(hashes) - gram + 1
-    if n <= 0:
-        none = np.empty(0, np.int64)
-        return none, np.empty(0, np.uint64), none
-    at = np.flatnonzero(doc[:n] == doc[gram - 1 :])
-    from .words import Words
-
-    row, grams = shingles(Words(doc, None, None, hashes, []), gram, int(doc[-1]) + 1, short=False)
-    return row, grams, at
+        rank = np.arange(len(item)) - np.repeat(opens, np.diff(opens, append=len(item)))
+        kept = np.zeros(len(places), bool)
+        kept[order] = rank < self.needed[item]
+        self._sort(np.flatnonzero(kept[own] & (often > 0)))
+
+
+def _pairs(doc, hashes, reach):
+    """(row, fingerprint, index of the first word) of all ordered pairs of words of a row at most `reach` apart."""
+    first, second = seeds(2, 13)
+    rows, pairs, at = [], [], []
+    for apart in range(1, reach + 1):
+        n = max(0, len(hashes) - apart)
+        same = np.flatnonzero(doc[:n] == doc[apart:])
+        rows.append(doc[same])
+        pairs.append(mix(hashes[same] * first + hashes[same + apart] * second))
+        at.append(same)
+    return np.concatenate(rows), np.concatenate(pairs), np.concatenate(at)
+
+
+def _known(kinds, values):
+    """(index of a value, its first place in the sorted `kinds`) of all values among them."""
+    bits = np.uint64((1 << max(10, (16 * len(kinds)).bit_length())) - 1)
+    maybe = np.zeros(int(bits) + 1, bool)
+    maybe[(kinds & bits).astype(np.int64)] = True
+    some = np.flatnonzero(maybe[(values & bits).astype(np.int64)])
+    at = np.searchsorted(kinds, values[some])
+    good = at < len(kinds)
+    good[good] = kinds[at[good]] == values[some[good]]
+    return some[good], at[good]
+
+
+def _within(values, table):
+    """Which of `values` are in the sorted, not empty `table`."""
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def _crowded(item, windows, cfg: Decontaminate):
+    """Which windows hold as many words, and starts of pairs, of the item as every alignment that reaches the threshold has."""
+    first, second = seeds(2, 13)
+    enough = np.flatnonzero(_within(windows, np.unique(item)).sum(1) >= cfg.threshold * len(item))
+    windows = windows[enough]
+    own = np.unique(_pairs(np.zeros(len(item), np.int64), item, cfg.reach)[1])
+    begins = np.zeros(windows.shape, bool)
+    for apart in range(1, min(cfg.reach, windows.shape[1] - 1) + 1):
+        begins[:, :-apart] |= _within(mix(windows[:, :-apart] * first + windows[:, apart:] * second), own)
+    return enough[begins.sum(1) >= cfg.sure(len(item))]
 
 
 def align(item: np.ndarray, windows: np.ndarray, cfg: Decontaminate) -> tuple[np.ndarray, np.ndarray]:
@@ -108,23 +169,23 @@ def _matches(column: pa.Array, items: Items, cfg: Decontaminate):
     """(first row, last row, row, item, score, start word, end word) for runs of rows."""
     for first, last, data, offsets in chunks(column):
         words = find_words(data, offsets, ALNUM)
-        doc, grams, at = _grams(words.doc, words.hash, cfg.gram)
-        low = np.searchsorted(items.gram, grams, "left")
-        count = np.searchsorted(items.gram, grams, "right") - low
-        hit = np.flatnonzero(count)
-        many = count[hit]
-        seed = np.repeat(low[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        doc, pairs, at = _pairs(words.doc, words.hash, cfg.reach)
+        hit, low = _known(items.pair, pairs)
+        many = np.searchsorted(items.pair, pairs[hit], "right") - low
+        seed = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         row, item = np.repeat(doc[hit], many), items.item[seed]
-        sizes = np.array([len(w) for w in items.words], np.int64)
+        sizes = items.sizes
         opens = np.searchsorted(words.doc, np.arange(last - first + 1))
         begin = np.repeat(at[hit], many) - opens[row] - items.place[seed]  # where the item would start in the text
-        stripe = np.floor_divide(begin, sizes[item]) if len(item) else begin
+        stripe = np.floor_divide(begin, sizes[item]) + 1 if len(item) else begin
+        lanes_of = int(stripe.max(initial=0)) + 1
+        keys = np.unique((item * (last - first) + row) * lanes_of + stripe)
+        keys = np.stack([keys // lanes_of // (last - first), keys // lanes_of % (last - first), keys % lanes_of - 1], axis=1)
         found = []
-        keys = np.unique(np.stack([item, row, stripe], axis=1), axis=0) if len(item) else np.empty((0, 3), np.int64)
         for i in np.unique(keys[:, 0]):
             own = keys[keys[:, 0] == i]
             size = int(sizes[i])
-            pad = size // 4 + 1
+            pad = cfg.slack(size)
             for part in range(0, len(own), 512):
                 rows, lanes = own[part : part + 512, 1], own[part : part + 512, 2]
                 start = lanes * size - pad
@@ -133,6 +194,10 @@ def _matches(column: pa.Array, items: Items, cfg: Decontaminate):
                 inside = (place >= 0) & (place < length)
                 index = np.clip(opens[rows][:, None] + place, 0, max(len(words.hash) - 1, 0))
                 windows = np.where(inside, words.hash[index], np.uint64(0))
+                enough = _crowded(items.words[i], windows, cfg)
+                if not len(enough):
+                    continue
+                rows, start, windows = rows[enough], start[enough], windows[enough]
                 score, end = align(items.words[i], windows, cfg)
                 good = np.flatnonzero(score >= cfg.threshold * cfg.match * size)
                 if len(good):
@@ -172,11 +237,9 @@ def _block(rows, docs: DataFrame, cfg: Decontaminate) -> Items:
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column(0)):
                 words = find_words(data, offsets, ALNUM)
-                doc, grams, _ = _grams(words.doc, words.hash, cfg.gram)
-                at = np.searchsorted(kinds, grams)
-                known = at < len(kinds)
-                known[known] = kinds[at[known]] == grams[known]
-                once = np.unique(doc[known] * len(kinds) + at[known])
+                doc, pairs, _ = _pairs(words.doc, words.hash, cfg.reach)
+                some, at = _known(kinds, pairs)
+                once = np.unique(doc[some] * len(kinds) + at)
                 total += np.bincount(once % max(len(kinds), 1), minlength=len(kinds))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["kind", "df"])

@@ -160,6 +160,45 @@ def test_decontamination_finds_edited_copies_only(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def edited(rng, words, kind, step):
+    """A copy of an item with every `step`-th word replaced, left out or followed by a new one, or a part of it."""
+    out = []
+    for k, word in enumerate(words):
+        if kind == "replaced" and k % step == step - 1:
+            out.append(f"e{rng.randrange(10**6)}")
+        elif kind != "left out" or k % step != step - 1:
+            out.append(word)
+        if kind == "followed" and k % step == step - 1:
+            out.append(f"e{rng.randrange(10**6)}")
+    return out[: len(words) // 2 + 1] if kind == "half" else out
+
+
+def test_decontamination_equals_alignment_of_every_pair(spark):
+    rng = random.Random(11)
+    cfg = decontaminate.Decontaminate()
+    kinds = [(k, n) for k in ("replaced", "left out", "followed") for n in (2, 3, 4, 5, 6)] + [("half", 1)]
+    items = [sentence(rng, size, 3000) for size in (20, 37, 59) for _ in kinds]
+    rows = []
+    for i, item in enumerate(items):  # a copy that is the item's only trace
+        around = sentence(rng, 80, 3000)
+        rows.append((i, " ".join(around[:40] + edited(rng, item, *kinds[i % len(kinds)]) + around[40:])))
+    many = sentence(rng, 37, 3000)  # a verbatim copy and many equally edited ones
+    rows += [(1000 + i, " ".join(edited(rng, many, "replaced", 4) if i else many)) for i in range(12)]
+    items.append(many)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    code = {w: i + 1 for i, w in enumerate(sorted({w for _, t in rows for w in t.split()} | {w for x in items for w in x}))}
+    want = {}
+    for i, item in enumerate(items):
+        for j, text in rows:
+            score, _ = decontaminate.align(np.array([code[w] for w in item]), np.array([[code[w] for w in text.split()]]), cfg)
+            if score[0] >= cfg.threshold * cfg.match * len(item):
+                want[j, i] = score[0] / (cfg.match * len(item))
+    for block in (500_000, 200):
+        found = decontaminate.contaminated(table(spark, rows), bench, decontaminate.Decontaminate(block_words=block)).collect()
+        assert {(r.doc_id, r.item_id): r.score for r in found} == want
+    assert len(want) >= 45 and all((1000 + i, len(items) - 1) in want for i in range(12))
+
+
 def test_alignment_equals_the_recurrence():
     rng = np.random.default_rng(2)
     cfg = decontaminate.Decontaminate()
