@@ -3,7 +3,8 @@
 A regular expression per kind proposes spans: its matches, and the text between
 them, whose lengths add up to the positions. Validators confirm a proposal: parts of
 an address below 256, Luhn's sum for cards, mod 97 for bank accounts, digit counts
-for telephones. Words shortly before a span adjust its score. Kinds marked `base` are
+for telephones. A bank account is proposed wherever one can begin, and ends where its
+country's length or, for other countries, mod 97 says. Words shortly before a span adjust its score. Kinds marked `base` are
 reported whenever they are valid; the others only with a score of `accept` or more.
 
 The patterns use possessive repetition and, where a match can only begin at the
@@ -25,6 +26,7 @@ class Kind:
     base: bool
     score: float
     context: str  # words that raise the score, as a regular expression over lower-case text
+    group: int = 0  # of the pattern, that holds the proposal; what is matched beyond it may begin others
 
 
 KINDS = (
@@ -36,12 +38,19 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", True, 0.6, "ip|host|server|address"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", True, 0.7, "card|visa|credit|pay"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", True, 0.6, "phone|call|tel|mobile|fax"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", False, 0.7, "iban|account|bank"),
+    Kind("iban", r"(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))[A-Z]{2}", False, 0.7, "iban|account|bank", 1),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", False, 0.3, "ssn|social security|tax id"),
 )
 BASE = [k.name for k in KINDS if k.base]
 ACCEPT = 0.6
 BONUS = 0.3
+#: Characters of the accounts of each country, without spaces.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG DZ",
+    25: "LY PT ST", 26: "IS TR BI", 27: "BF CF CG CM DJ FR GA GQ GR IT KM MC MR SM TD MG ML CI SN BJ", 28: "AL AZ BY CY DO GT HU LB NI PL SV HN",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 33: "LC RU",
+}
 REACH = 40  # characters before a span that are searched for context
 
 
@@ -70,6 +79,57 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), add) == 1
 
 
+def _account_size(text: Column) -> Column:
+    """How much of a proposal is a bank account, or null.
+
+    The proposal runs on over spaces, so every part that ends before a space may be the
+    account. The length of its country decides; without one the longest part that passes
+    mod 97 does. The whole proposal may pass in any case.
+    """
+    sizes = F.create_map(*(F.lit(x) for size, names in LENGTHS.items() for name in names.split() for x in (name, size)))
+    whole = F.length(text)
+    passes = F.filter(
+        F.sequence(whole, F.lit(15), F.lit(-1)),
+        lambda e: F.when((e == whole) | (F.substring(text, e + 1, F.lit(1)) == " "), _mod97(F.substring(text, F.lit(1), e))).otherwise(False),
+    )
+
+    def plain(e):
+        return F.length(F.replace(F.substring(text, F.lit(1), e), F.lit(" "), F.lit("")))
+
+    due = F.try_element_at(sizes, F.substring(text, 1, 2))
+    of_country = F.get(F.filter(passes, lambda e: plain(e) == due), F.lit(0))
+    other = F.get(F.filter(passes, lambda e: due.isNull() | (e == whole)), F.lit(0))
+    return F.coalesce(of_country, other)
+
+
+def _accounts(seen: Column) -> Column:
+    """The bank accounts among the proposals `seen`, none of which overlap.
+
+    Inside of a proposal that failed another may begin with a word, not within one.
+    """
+    kind_of = "struct<found:string,before:int,size:int,context:string,start:int>"
+    sized = F.transform(seen, lambda p: F.struct(p.alias("p"), _account_size(p["found"]).alias("size")))
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("past"), F.array().cast(f"array<{kind_of}>").alias("seen"))
+
+    def step(state, row):
+        p, size = row["p"], row["size"]
+        opens = p["start"] >= state["past"]
+        begins = opens | p["context"].rlike(r"[^A-Za-z0-9]\z")
+        good = size.isNotNull() & (p["start"] >= state["at"]) & begins
+        end = p["start"] + F.when(good, size).otherwise(F.length(p["found"]))
+        kept = F.struct(
+            F.substring(p["found"], F.lit(1), size).alias("found"), p["before"].alias("before"), size.alias("size"),
+            p["context"].alias("context"), p["start"].alias("start"),
+        )
+        return F.struct(
+            F.when(good, end).otherwise(state["at"]).alias("at"),
+            F.when(opens, end).otherwise(state["past"]).alias("past"),
+            F.when(good, F.concat(state["seen"], F.array(kept))).otherwise(state["seen"]).alias("seen"),
+        )
+
+    return F.aggregate(sized, none, step, lambda s: s["seen"])
+
+
 def _valid(kind: str, text: Column) -> Column:
     if kind == "ip":
 
@@ -82,8 +142,6 @@ def _valid(kind: str, text: Column) -> Column:
         return F.when(F.length(_digits(text)).between(14, 19), _luhn(_digits(text))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(text)).between(10, 15)
-    if kind == "iban":
-        return _mod97(text)
     return F.lit(True)
 
 
@@ -97,7 +155,7 @@ def spans_of(text: Column, matches: Column, number: int) -> Column:
     pairs = F.transform(
         matches,
         lambda m, i: F.struct(
-            m.alias("found"), F.length(F.get(parts, i)).alias("before"), F.length(m).alias("size"),
+            m.alias("found"), F.length(F.get(parts, i)).alias("before"), (F.lit(2) if kind.group else F.length(m)).alias("size"),
             F.lower(F.substring(F.get(parts, i), -REACH, REACH)).alias("context"),
         ),
     )
@@ -111,6 +169,8 @@ def spans_of(text: Column, matches: Column, number: int) -> Column:
 
     seen = F.aggregate(pairs, none, step, lambda s: s["seen"])
 
+    seen = _accounts(seen) if kind.name == "iban" else F.filter(seen, lambda p: _valid(kind.name, p["found"]))
+
     def span(p):
         near = F.when(p["context"].rlike(kind.context), F.lit(BONUS)).otherwise(F.lit(0.0))
         return F.struct(
@@ -118,7 +178,7 @@ def spans_of(text: Column, matches: Column, number: int) -> Column:
             F.least(F.lit(1.0), F.lit(kind.score) + near).alias("score"),
         )
 
-    made = F.transform(F.filter(seen, lambda p: _valid(kind.name, p["found"])), span)
+    made = F.transform(seen, span)
     return made if kind.base else F.filter(made, lambda s: s["score"] >= ACCEPT)
 
 
@@ -134,7 +194,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     other, matches of one kind never do. An empty table gives an empty result.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = base.select("*", *(F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)).alias(f"m{i}") for i, k in enumerate(KINDS)))
+    found = base.select("*", *(F.regexp_extract_all("text", F.lit(k.pattern), F.lit(k.group)).alias(f"m{i}") for i, k in enumerate(KINDS)))
     none = F.array().cast(SPANS)
     each = [F.when(F.size(f"m{i}") > 0, spans_of(F.col("text"), F.col(f"m{i}"), i)).otherwise(none).alias(f"s{i}") for i in range(len(KINDS))]
     spans = found.select("doc_id", *each)

@@ -351,6 +351,25 @@ def test_pii_checksums_and_context(spark):
     assert got == {1: ["iban"], 2: [], 3: ["ssn"], 4: []}
 
 
+def test_pii_finds_bank_accounts_before_capitals_and_digits(spark):
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    made = {
+        1: ["IBAN ", german, " BIC COBADEFF"], 2: ["", german.replace(" ", ""), " Please pay"], 3: ["", british, " 12 May"], 4: ["", german, " ", british, " ", german, " X"],
+        5: ["REF 12 AB12 3456 7890 1234 ", german, ", then ", british], 6: ["XK99 0000 0000 0000 ", german, "\n", british, "\n12"], 7: ["é ", british, " ", "GB82WEST12345698765432"[:21], " é"],
+        8: ["", "NO93 8601 1117 947", " 20 AB"], 9: ["paid from ", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", " TO ", german, " ON 3 MAY"],
+    }
+    rows = [(i, "".join(parts)) for i, parts in made.items()] + [(20, german[:-1] + "1 BIC"), (21, "AB12 " * 400), (22, "A1" * 2000)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == "iban"] for r in pii.find_pii(table(spark, rows)).collect()}
+    for i, parts in made.items():
+        at, want = 0, []
+        for part in parts:
+            if part.replace(" ", "") in (german.replace(" ", ""), british, "NO9386011117947", "MT84MALT011000012345MTLCAST001S"):
+                want.append((at, at + len(part)))
+            at += len(part)
+        assert got[i] == want, i
+    assert got[20] == []
+
+
 def test_chat_rotates_every_participant(spark):
     rng = random.Random(9)
     names = ["ann", "bob", "eve", "system", None]
