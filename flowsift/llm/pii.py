@@ -4,7 +4,7 @@ A regular expression per kind proposes spans: its matches, and the text between
 them, whose lengths add up to the positions. Validators confirm a proposal: parts of
 an address below 256, Luhn's sum for cards, mod 97 for bank accounts, digit counts
 for telephones. A bank account is proposed wherever one can begin, and ends where its
-country's length or, for other countries, mod 97 says. Words shortly before a span adjust its score. Kinds marked `base` are
+country's length or, for other countries, mod 97 says. Words shortly before and after a span adjust its score. Kinds marked `base` are
 reported whenever they are valid; the others only with a score of `accept` or more.
 
 The patterns use possessive repetition and, where a match can only begin at the
@@ -51,7 +51,9 @@ LENGTHS = {
     25: "LY PT ST", 26: "IS TR BI", 27: "BF CF CG CM DJ FR GA GQ GR IT KM MC MR SM TD MG ML CI SN BJ", 28: "AL AZ BY CY DO GT HU LB NI PL SV HN",
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 33: "LC RU",
 }
-REACH = 40  # characters before a span that are searched for context
+REACH = 40  # characters before and after a span that are searched for context
+LONGEST = 64  # characters of a bank account with a space before each but the first four
+SEEN = "struct<found:string,before:int,size:int,context:string,after:string,start:int>"
 
 
 def _digits(text: Column) -> Column:
@@ -107,9 +109,8 @@ def _accounts(seen: Column) -> Column:
 
     Inside of a proposal that failed another may begin with a word, not within one.
     """
-    kind_of = "struct<found:string,before:int,size:int,context:string,start:int>"
     sized = F.transform(seen, lambda p: F.struct(p.alias("p"), _account_size(p["found"]).alias("size")))
-    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("past"), F.array().cast(f"array<{kind_of}>").alias("seen"))
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("past"), F.array().cast(f"array<{SEEN}>").alias("seen"))
 
     def step(state, row):
         p, size = row["p"], row["size"]
@@ -119,7 +120,7 @@ def _accounts(seen: Column) -> Column:
         end = p["start"] + F.when(good, size).otherwise(F.length(p["found"]))
         kept = F.struct(
             F.substring(p["found"], F.lit(1), size).alias("found"), p["before"].alias("before"), size.alias("size"),
-            p["context"].alias("context"), p["start"].alias("start"),
+            p["context"].alias("context"), F.substring(p["after"], size - 1, F.lit(REACH)).alias("after"), p["start"].alias("start"),
         )
         return F.struct(
             F.when(good, end).otherwise(state["at"]).alias("at"),
@@ -152,27 +153,42 @@ def spans_of(text: Column, matches: Column, number: int) -> Column:
     """
     kind = KINDS[number]
     parts = F.split(text, kind.pattern, -1)
+    wide = REACH + LONGEST
     pairs = F.transform(
         matches,
         lambda m, i: F.struct(
             m.alias("found"), F.length(F.get(parts, i)).alias("before"), (F.lit(2) if kind.group else F.length(m)).alias("size"),
-            F.lower(F.substring(F.get(parts, i), -REACH, REACH)).alias("context"),
+            F.substring(F.get(parts, i), -REACH, REACH).alias("context"), F.substring(F.get(parts, i), 1, wide).alias("after"), F.lit(0).alias("start"),
         ),
     )
-    kind_of = "struct<found:string,before:int,size:int,context:string,start:int>"
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind_of}>").alias("seen"))
+
+    def taken(p):
+        return F.substring(p["found"], F.lit(1), p["size"])
+
+    def row_of(p, **new):
+        return F.struct(*(new.get(c, p[c]).alias(c) for c in ("found", "before", "size", "context", "after", "start")))
+
+    none = F.array().cast(f"array<{SEEN}>").alias("seen")
+
+    def back(state, p):
+        head = F.substring(F.concat(p["after"], taken(p), state["head"]), 1, wide)
+        return F.struct(head.alias("head"), F.concat(state["seen"], F.array(row_of(p, after=state["head"]))).alias("seen"))
+
+    end = F.struct(F.substring(F.get(parts, F.size(matches)), 1, wide).alias("head"), none)
+    pairs = F.reverse(F.aggregate(F.reverse(pairs), end, back, lambda s: s["seen"]))
 
     def step(state, p):
         start = state["at"] + p["before"]
-        row = F.struct(p["found"].alias("found"), p["before"].alias("before"), p["size"].alias("size"), p["context"].alias("context"), start.alias("start"))
-        return F.struct((start + p["size"]).alias("at"), F.concat(state["seen"], F.array(row)).alias("seen"))
-
-    seen = F.aggregate(pairs, none, step, lambda s: s["seen"])
+        context = F.substring(F.concat(state["tail"], p["context"]), -REACH, REACH)
+        tail = F.substring(F.concat(context, taken(p)), -REACH, REACH)
+        row = row_of(p, context=context, start=start)
+        return F.struct((start + p["size"]).alias("at"), tail.alias("tail"), F.concat(state["seen"], F.array(row)).alias("seen"))
 
+    seen = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none), step, lambda s: s["seen"])
     seen = _accounts(seen) if kind.name == "iban" else F.filter(seen, lambda p: _valid(kind.name, p["found"]))
 
     def span(p):
-        near = F.when(p["context"].rlike(kind.context), F.lit(BONUS)).otherwise(F.lit(0.0))
+        near = F.when(F.lower(F.concat(p["context"], F.lit("\n"), F.substring(p["after"], 1, REACH))).rlike(kind.context), F.lit(BONUS)).otherwise(F.lit(0.0))
         return F.struct(
             p["start"].alias("start"), F.lit(number).alias("number"), (p["start"] + p["size"]).alias("end"), F.lit(kind.name).alias("kind"),
             F.least(F.lit(1.0), F.lit(kind.score) + near).alias("score"),

@@ -370,6 +370,24 @@ def test_pii_finds_bank_accounts_before_capitals_and_digits(spark):
     assert got[20] == []
 
 
+def test_pii_context_is_on_both_sides_and_across_matches(spark):
+    far = "x" * 41
+    rows = [
+        (1, "SSN: 123-45-6789, 234-56-7890"), (2, "123-45-6789 is my social security number"), (3, f"SSN {far} 123-45-6789 {far} SSN"),
+        (4, "123-45-6789" * 2 + " 234-56-7890 (tax id)"), (5, "é 123-45-6789"), (6, "123-45-6789, 234-56-7890, 345-67-8901, 456-78-9012, ssn"),
+    ]
+    got = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == "ssn"] for r in pii.find_pii(table(spark, rows)).collect()}
+    want = {}
+    for i, text in rows:
+        spans = [m.span() for m in re.finditer("[0-9]{3}-[0-9]{2}-[0-9]{4}", text)]
+        want[i] = [(a, b) for a, b in spans if re.search("ssn|social security|tax id", (text[max(0, a - 40) : a] + "\n" + text[b : b + 40]).lower())]
+    assert got == want and [len(got[i]) for i in range(1, 7)] == [2, 1, 0, 3, 0, 3]
+    account = "DE89 3704 0044 0532 0130 00"
+    texts = [(1, account + " " * 34 + "iban"), (2, account + " " * 38 + "iban"), (3, "iban" + " " * 40 + account)]
+    scores = {r.doc_id: [s.score for s in r.found if s.kind == "iban"] for r in pii.find_pii(table(spark, texts)).collect()}
+    assert scores == {1: [1.0], 2: [0.7], 3: [0.7]}
+
+
 def test_chat_rotates_every_participant(spark):
     rng = random.Random(9)
     names = ["ann", "bob", "eve", "system", None]
