@@ -175,21 +175,25 @@ def _mask(turn: int, cfg: NearDup):
 def _stars(rows: DataFrame, bits: DataFrame, turn: int, cfg: NearDup) -> DataFrame:
     """(a, b): each member of a bucket with the bucket's leader, if they are of different components."""
     mask = _mask(turn, cfg)
-    leaders = rows.groupBy("key").agg(F.min(F.col("doc_id").bitwiseXOR(mask)).alias("place"))
-    met = rows.join(leaders, "key").select("doc_id", "root", F.col("place").bitwiseXOR(mask).alias("lead")).distinct()
+    leaders = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").bitwiseXOR(mask).alias("place"), F.col("part").alias("lead_part"))).alias("first"))
+    met = rows.join(leaders, "key").select("doc_id", "part", "root", F.col("first.place").bitwiseXOR(mask).alias("lead"), "first.lead_part").distinct()
     roots = rows.select(F.col("doc_id").alias("lead"), F.col("root").alias("lead_root")).distinct()
     met = met.join(roots, "lead").filter("root <> lead_root")
-    met = met.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+    ends = F.array_sort(F.array(F.struct("doc_id", "part"), F.struct(F.col("lead").alias("doc_id"), F.col("lead_part").alias("part"))))
+    met = met.select(ends.alias("ends")).select(
+        F.col("ends")[0]["doc_id"].alias("a"), F.col("ends")[0]["part"].alias("pa"), F.col("ends")[1]["doc_id"].alias("b"), F.col("ends")[1]["part"].alias("pb")
+    ).distinct()
     x, y = bits.alias("x"), bits.alias("y")
     return (
-        met.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))
-        .filter(_alike("x", "y", cfg)).select("a", "b")
+        met.join(x, (F.col("a") == F.col("x.doc_id")) & (F.col("pa") == F.col("x.part")))
+        .join(y, (F.col("b") == F.col("y.doc_id")) & (F.col("pb") == F.col("y.part")))
+        .filter(_alike("x", "y", cfg)).select("a", "b").distinct()
     )
 
 
 def _open_pairs(rows: DataFrame, bits: DataFrame, cfg: NearDup) -> DataFrame:
     """(a, b): all pairs of a bucket that lie in different components and pass the screen."""
-    full = rows.join(bits, "doc_id")
+    full = rows.join(bits, ["doc_id", "part"])
     x, y = full.alias("x"), full.alias("y")
     unlike = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _alike("x", "y", cfg)
     a, b = F.col("x.doc_id"), F.col("y.doc_id")
@@ -282,10 +286,13 @@ def _open_count(rows: DataFrame) -> float:
 def links(docs: DataFrame, made: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
     """(id, root) for every document of `made` linked with another; root is the smallest id of its component.
 
-    `made` holds the sketches of one document per distinct non-empty set.
+    `made` holds the sketches of one document per distinct non-empty set. An id may have
+    several; `part` tells which of them a band key is from, so that it is they that are screened.
     """
-    bits = made.select("doc_id", "n", *(f"b{i}" for i in range(cfg.coordinates // 64))).dropDuplicates(["doc_id"])
-    rows = made.select("doc_id", F.explode("bands").alias("key"))
+    words = ["n", *(f"b{i}" for i in range(cfg.coordinates // 64))]
+    made = made.withColumn("part", F.pmod(F.xxhash64(*words), F.lit(1 << 15)).cast("short"))
+    bits = made.select("doc_id", "part", *words).distinct()
+    rows = made.select("doc_id", "part", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     rows = cut(rows.join(shared.hint("merge"), "key").distinct())
     state, roots, tried, before = rows.withColumn("root", F.col("doc_id")), None, None, math.inf
@@ -304,7 +311,7 @@ def links(docs: DataFrame, made: DataFrame, cfg: NearDup = NearDup()) -> DataFra
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         good = verified(docs, pairs, cfg)
         if not stars and not crowds.isEmpty():
-            good = good.unionByName(_crowd_links(docs, crowds, cfg))
+            good = good.unionByName(_crowd_links(docs, crowds.drop("part").distinct(), cfg))
         if roots is not None:
             good = good.unionByName(roots.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
         roots = connected(good, [])

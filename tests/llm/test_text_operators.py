@@ -73,6 +73,18 @@ def test_crowd_blocks_find_what_pairs_find(spark):
     assert plain == {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, few).collect()}
 
 
+def test_an_id_is_linked_through_each_of_its_texts(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(0, 60, 6):
+        texts = [sentence(rng, size, 5000) for size in (60, 200, 600)]
+        rows += [(i, " ".join(t)) for t in texts] + [(i + k + 1, " ".join(t[:-1])) for k, t in enumerate(texts)]
+        want |= {i + k: i for k in range(4)}
+    for cfg in (minhash.NearDup(), minhash.NearDup(small=2, block=8, star_rounds=1), minhash.NearDup(star_rounds=0)):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, rows), cfg).collect()}
+        assert got == want
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 900).astype(np.uint64)
