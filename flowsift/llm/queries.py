@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, lines, minhash, packing, pii, quality, rabitq, sharding, toxicity
+from . import chat, decontaminate, lines, minhash, packing, pii, quality, rabitq, runs, sharding, toxicity
 from .tables import table
 
 SHINGLE_SETS_SQL = r"""
@@ -209,6 +209,60 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs of words, and its text without their repeats."""
+    found = runs.find_runs(runs.with_tails(table(spark, sf_dir, "documents")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws("", r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))))
+    return found.withColumn("best", first).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-1000 * best.less div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH hashed AS (
+  SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+      flatten(list_transform(range(1, length(id) + 1), lambda i: [CAST(ascii(id[i]) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS h
+  FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+planned AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS turned, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM hashed),
+docs AS (
+  SELECT doc_id, n, CASE WHEN turned THEN list_transform(range(0, n), lambda i:
+    CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // parts) + 1] END) ELSE w END AS w FROM planned),
+places AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM docs),
+same AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM places x JOIN places y ON x.doc_id = y.doc_id AND x.word = y.word
+  WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+stretches AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM stretches x WHERE NOT EXISTS (
+    SELECT 1 FROM stretches y WHERE y.doc_id = x.doc_id AND y.q < x.q AND x.q % y.q = 0 AND y.s <= x.s AND y.s + y.len >= x.s + x.len)),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, s, q) AS k FROM runs),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY doc_id),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+short AS (
+  SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS t FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i
+  WHERE g.i IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.q AS period, 1000 * b.len // b.q AS exponent_milli,
+  sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(t.t, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN best b ON b.doc_id = d.doc_id AND b.k = 1
+LEFT JOIN short t ON t.doc_id = d.doc_id
+"""
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
@@ -220,5 +274,6 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_sharding": op9_sharding,
     "op10_lines": op10_lines,
+    "op11_runs": op11_runs,
 }
-ORACLES = {"op4_minhash": OP4_SQL, "op6_embeddings": OP6_SQL, "op7_pii": _pii_sql(), "op8_chat": OP8_SQL, "op10_lines": OP10_SQL}
+ORACLES = {"op4_minhash": OP4_SQL, "op6_embeddings": OP6_SQL, "op7_pii": _pii_sql(), "op8_chat": OP8_SQL, "op10_lines": OP10_SQL, "op11_runs": OP11_SQL}
