@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, lines, minhash, packing, pii, quality, rabitq, runs, sharding, toxicity
+from . import chat, decontaminate, licenses, lines, minhash, packing, pii, quality, rabitq, runs, sharding, toxicity
 from .tables import table
 
 SHINGLE_SETS_SQL = r"""
@@ -263,6 +263,59 @@ LEFT JOIN short t ON t.doc_id = d.doc_id
 """
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and the notices that its text blocks meet."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+    def joined(*labels):
+        return F.array_join(F.array_sort(F.array_distinct(F.concat(*labels))), ",")
+
+    said, met = F.col("phrases.label"), F.col("blocks.label")
+    score = F.greatest(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)), F.when(F.size("phrases") > 0, 1.0).otherwise(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min("phrases.start").alias("first_word"),
+        F.array_max("phrases.start").alias("last_word"),
+        joined(said).alias("base_labels"),
+        joined(said, met).alias("labels"),
+        score.alias("score"),
+    )
+
+
+def _licenses_sql() -> str:
+    def listed(words):
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    notices = [(label, licenses.notice_words(t)) for label, texts in licenses.NOTICES.items() for t in texts]
+    templates = ", ".join(f"('{label}', {listed(sorted(set(w)))}, {licenses.needed(w, licenses.PERCENT)}, {licenses.span_of(w)})" for label, w in notices)
+    phrases = ", ".join(f"('{label}', {listed(licenses.notice_words(p))})" for p, label in licenses.PHRASES.items())
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+phrases(label, p) AS (VALUES {phrases}),
+templates(label, t, need, span) AS (VALUES {templates}),
+said AS (
+  SELECT doc_id, label, i - 1 AS s FROM (SELECT doc_id, label, w, p, unnest(range(1, n - len(p) + 2)) AS i FROM docs JOIN phrases ON list_has_all(w, p))
+  WHERE w[i:i + len(p) - 1] = p),
+blocks AS (
+  SELECT doc_id, label, t, need, w[i:i + span - 1] AS b
+  FROM (SELECT *, unnest(range(1, greatest(n - span, 0) + 2)) AS i FROM docs JOIN templates ON len(list_intersect(list_distinct(w), t)) >= need)),
+met AS (
+  SELECT doc_id, label, max(len(list_intersect(list_distinct(b), t)) / len(t)) AS c FROM blocks
+  WHERE len(list_intersect(list_distinct(b), t)) >= need GROUP BY doc_id, label),
+b AS (SELECT doc_id, count(*) AS n, min(s) AS lo, max(s) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM said GROUP BY doc_id),
+m AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(c) AS c
+  FROM (SELECT doc_id, label, c FROM met UNION ALL SELECT doc_id, label, 1.0 FROM said) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word,
+  coalesce(b.l, '') AS base_labels, coalesce(m.l, '') AS labels, CAST(coalesce(m.c, 0) AS DOUBLE) AS score
+FROM docs d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
@@ -275,5 +328,6 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_lines": op10_lines,
     "op11_runs": op11_runs,
+    "op12_licenses": op12_licenses,
 }
-ORACLES = {"op4_minhash": OP4_SQL, "op6_embeddings": OP6_SQL, "op7_pii": _pii_sql(), "op8_chat": OP8_SQL, "op10_lines": OP10_SQL, "op11_runs": OP11_SQL}
+ORACLES = {"op4_minhash": OP4_SQL, "op6_embeddings": OP6_SQL, "op7_pii": _pii_sql(), "op8_chat": OP8_SQL, "op10_lines": OP10_SQL, "op11_runs": OP11_SQL, "op12_licenses": _licenses_sql()}
