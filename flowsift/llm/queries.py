@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, licenses, lines, minhash, packing, pii, quality, rabitq, runs, sharding, toxicity
+from . import chat, decontaminate, licenses, lines, minhash, packing, pii, quality, rabitq, runs, sharding, toxicity, whitening
 from .tables import table
 
 SHINGLE_SETS_SQL = r"""
@@ -316,6 +316,22 @@ FROM docs d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_i
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the leading components of the covariance, whitened."""
+    found, model, error = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    explained = [] if model is None else model.explained.tolist()
+    shares = F.array(*[F.lit(v) for v in explained]).cast("array<double>")
+    return found.select("vec_id", F.expr("try_cast(deviation AS bigint)").alias("deviation"), F.posexplode("whitened").alias("place", "whitened")).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, "place").alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
@@ -329,5 +345,6 @@ QUERIES = {
     "op10_lines": op10_lines,
     "op11_runs": op11_runs,
     "op12_licenses": op12_licenses,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {"op4_minhash": OP4_SQL, "op6_embeddings": OP6_SQL, "op7_pii": _pii_sql(), "op8_chat": OP8_SQL, "op10_lines": OP10_SQL, "op11_runs": OP11_SQL, "op12_licenses": _licenses_sql()}
