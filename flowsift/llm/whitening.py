@@ -8,7 +8,7 @@ Phys. Rev. B 79 (2009). The solutions of complex shifted systems, summed over th
 a quadrature on a circle, project a block of vectors onto the eigenvalues inside it;
 Rayleigh-Ritz extracts the pairs, and this repeats until they settle. Where circles go, and that no
 eigenvalue inside was missed, is told by inertia: the signs of the pivots of a shifted
-symmetric elimination (Bunch and Parlett) count the eigenvalues below the shift. Each circle is
+symmetric elimination (Bunch and Kaufman) count the eigenvalues below the shift. Each circle is
 a task. A last pass projects all vectors.
 """
 
@@ -125,68 +125,81 @@ def count_below(matrix: np.ndarray, shift: float) -> int:
     """How many eigenvalues of a symmetric matrix lie below `shift`: its inertia, by pivots of size one and two."""
     m = matrix - shift * np.eye(len(matrix))
     alpha = (1 + math.sqrt(17)) / 8
-    below = 0
-    while len(m):
-        diagonal = np.abs(np.diag(m))
-        i = int(diagonal.argmax())
-        off = np.abs(m - np.diag(np.diag(m)))
-        r, s = divmod(int(off.argmax()), len(m))
-        if diagonal[i] >= alpha * off[r, s]:
-            pivot = m[i, i]
-            if pivot == 0:
-                break
+    below, k = 0, len(m)
+
+    def swap(i, j):
+        m[[i, j]] = m[[j, i]]
+        m[:, [i, j]] = m[:, [j, i]]
+
+    while k:
+        j, single = k - 1, True
+        column = np.abs(m[:j, j])
+        r = int(column.argmax()) if j else 0
+        if j and abs(m[j, j]) < alpha * column[r]:
+            row = np.abs(m[r, :k])
+            row[r] = 0
+            widest = row.max()
+            if abs(m[j, j]) * widest < alpha * column[r] ** 2:
+                single = abs(m[r, r]) >= alpha * widest
+                swap(r, j if single else j - 1)
+        if single:
+            pivot, column = m[j, j], m[:j, j].copy()
             below += pivot < 0
-            column = np.delete(m[i], i)
-            m = np.delete(np.delete(m, i, 0), i, 1) - np.outer(column, column / pivot)
+            if pivot:
+                m[:j, :j] -= np.outer(column, column / pivot)
+            k -= 1
         else:
             below += 1  # such a pivot has one eigenvalue of each sign
-            both = [r, s]
-            columns = np.delete(m[both], both, 1)
-            m = np.delete(np.delete(m, both, 0), both, 1) - columns.T @ np.linalg.solve(m[np.ix_(both, both)], columns)
-        m = (m + m.T) / 2
+            columns = m[: k - 2, k - 2 : k].copy()
+            m[: k - 2, : k - 2] -= columns @ np.linalg.solve(m[k - 2 : k, k - 2 : k], columns.T)
+            k -= 2
     return int(below)
 
 
 def circles(matrix: np.ndarray, wanted: int, floor: float) -> list[tuple[float, float, int]]:
-    """(low, high, count) of adjoining intervals from the top down, until `wanted` eigenvalues or all above `floor` are held.
+    """(low, high, count) of intervals from the top down that hold the `wanted` greatest eigenvalues, or all above `floor`.
 
-    An interval ends in a gap between eigenvalues; those too close to part share an interval.
+    An interval ends in gaps between eigenvalues that are wide beside it; eigenvalues too close to part share an interval.
     """
     d = len(matrix)
     top = float(np.abs(matrix).sum(1).max()) * 1.01  # no eigenvalue is greater (Gershgorin)
     tight = 1e-9 * top
-    above: dict = {}
+    above: dict = {}  # shift to how many eigenvalues are greater
 
     def held(shift):
         if shift not in above:
             above[shift] = d - count_below(matrix, shift)
         return above[shift]
 
-    def edge(rank):
-        """An interval of width `tight` that holds the eigenvalue of that rank, the greatest being 1; or the floor."""
-        low, high = floor, top
-        for s in above:
-            if held(s) >= rank:
-                low = max(low, s)
-            else:
-                high = min(high, s)
+    def place(rank):
+        """An interval of width `tight` at most that holds the eigenvalue of that rank, the greatest being 1."""
+        low = max((s for s, m in above.items() if m >= rank), default=floor)
+        high = min((s for s, m in above.items() if m < rank), default=top)
         while high - low > tight:
             middle = (low + high) / 2
             low, high = (middle, high) if held(middle) >= rank else (low, middle)
         return low, high
 
-    out, high, before, all_held = [], top, 0, held(floor)
+    all_held = held(floor)
     wanted = min(wanted, all_held)
+    places = [place(rank) for rank in range(1, wanted + 1)]
+
+    def gap(rank):
+        """How far the eigenvalue of that rank is from the next."""
+        while rank >= len(places):
+            places.append(place(len(places) + 1) if len(places) < all_held else (0.0, floor))
+        return places[rank - 1][0] - places[rank][1]
+
+    out, before, over = [], 0, math.inf
     while before < wanted:
-        rank = min(before + PER_CIRCLE, wanted)
-        while rank < all_held:
-            low, up = edge(rank)[0], edge(rank + 1)[1]
-            if low - up > tight:
-                break
+        first = places[before][1]
+        ends = [r for r in range(before + 1, min(before + PER_CIRCLE, wanted) + 1) if gap(r) > max(tight, (first - places[r - 1][0]) / 4)]
+        rank = ends[-1] if ends else before + 1
+        while rank < all_held and gap(rank) <= tight:
             rank += 1
-        low = (low + up) / 2 if rank < all_held else floor
-        out.append((low, high, rank - before))
-        high, before = low, rank
+        under = gap(rank)
+        out.append((places[rank - 1][0] - under / 2, first + min(under, over) / 2, rank - before))
+        over, before = under, rank
     return out
 
 
@@ -199,26 +212,28 @@ def feast(matrix: np.ndarray, low: float, high: float, count: int, seed: int = 0
     nodes, weights = np.polynomial.legendre.leggauss(NODES)
     angles = np.exp(-0.5j * np.pi * (nodes - 1))
     size = np.abs(matrix).sum(1).max()
-    best = None
+    error, values, vectors = math.inf, None, None
     for _ in range(ROUNDS):
         projected = np.zeros_like(block)
         for turn, weight in zip(angles, weights):
             shifted = (centre + radius * turn) * np.eye(d) - matrix
             projected += 0.5 * weight * (radius * turn * np.linalg.solve(shifted, block)).real
         basis, _ = np.linalg.qr(projected)
-        values, inner = np.linalg.eigh(basis.T @ matrix @ basis)
+        ritz, inner = np.linalg.eigh(basis.T @ matrix @ basis)
         block = basis @ inner
-        inside = np.flatnonzero((values > low) & (values < high))
-        if len(inside) < count:
-            continue
-        error = np.abs(matrix @ block[:, inside] - block[:, inside] * values[inside]).max()
-        if len(inside) == count and (best is None or error < best[0]):
-            best = (error, values[inside][::-1], block[:, inside][:, ::-1])
-        elif best is not None and best[0] <= 64 * EPS * size:
-            break  # as settled as rounding lets it be
-    if best is None or best[0] > 1e-10 * size:
-        raise ArithmeticError(f"eigenvalues in ({low}, {high}) did not settle")
-    return best[1], best[2]
+        residual = np.abs(matrix @ block - block * ritz).max(0)
+        inside = np.flatnonzero((ritz > low) & (ritz < high))
+        inside = np.sort(inside[np.argsort(residual[inside], kind="stable")[:count]])[::-1]
+        if len(inside) == count:
+            now = residual[inside].max()
+            settled = now <= 4 * EPS * size or (error <= 64 * EPS * size and now >= error / 2)
+            if now < error:
+                error, values, vectors = now, ritz[inside], block[:, inside]
+            if settled:
+                break
+    if error > 1e-12 * size:
+        raise ArithmeticError(f"the {count} eigenvalues in ({low}, {high}) did not settle: {error / size}")
+    return values, vectors
 
 
 def leading_pairs(spark, matrix: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
