@@ -159,17 +159,59 @@ def seed_centres(x, w, seed, count):
 
 
 def closest_centres(x, centres):
-    """Position of the closest centre for each row, and the squared distance."""
-    score = (centres**2).sum(axis=1)[None, :] - 2 * (x @ centres.T)
+    """Position of the closest centre for each row, and the squared distance; the first of equally close ones.
+
+    Products propose the closest; where two are as close as their rounding could
+    tell, direct differences decide. So a row's answer does not depend on the rows beside it.
+    """
+    own = (centres**2).sum(axis=1)
+    score = own[None, :] - 2 * (x @ centres.T)
     at = score.argmin(axis=1)
+    if len(centres) > 1:
+        least = score[np.arange(len(x)), at]
+        unsure = 1e-11 * ((x**2).sum(axis=1) + own.max())
+        close = np.flatnonzero((score <= (least + unsure)[:, None]).sum(axis=1) > 1)
+        for rows in row_chunks(len(close), len(centres)):
+            at[close[rows]] = sq_distances(x[close[rows]], centres).argmin(axis=1)
     return at, ((x - centres[at]) ** 2).sum(axis=1)
 
 
-def centre_sums(x, w, at, count):
-    """Per centre: weighted sum of its rows, and their weight."""
-    share = np.zeros((len(x), count))
-    share[np.arange(len(x)), at] = w
-    return share.T @ x, share.sum(axis=0)
+def limb_bits(total: float) -> int:
+    """Bits a limb may have so that limbs times weights adding up to `total` sum exactly in a double."""
+    return max(8, 52 - int(np.ceil(np.log2(max(total, 1.0)))))
+
+
+def limbs(values: np.ndarray, unit: float, bits: int) -> np.ndarray:
+    """Numbers up to `unit`, a power of two, as two whole numbers each: the high limbs, then the low ones.
+
+    Sums of whole numbers are the same in any order, which sums of fractions are not.
+    """
+    scaled = values / unit * 2.0**bits
+    high = np.rint(scaled)
+    return np.hstack([high, np.rint((scaled - high) * 2.0**bits)])
+
+
+def from_limbs(sums: np.ndarray, unit: float, bits: int) -> np.ndarray:
+    high, low = np.split(sums, 2, axis=-1)
+    return (high + low / 2.0**bits) / 2.0**bits * unit
+
+
+def power_above(top: float) -> float:
+    """The smallest power of two that is not below `top`; 1 for 0."""
+    return 2.0 ** np.ceil(np.log2(top)) if top > 0 else 1.0
+
+
+def centre_sums(parts, w, at, count):
+    """Per centre: weighted sum of its rows' limbs, and their weight."""
+    share = np.zeros((len(parts), count))
+    share[np.arange(len(parts)), at] = w
+    return share.T @ parts, share.sum(axis=0)
+
+
+def cost_limbs(w, d, at, count, unit, bits):
+    """Per centre: weighted sum of squared distances, as two limbs."""
+    parts = limbs(d[:, None], unit, bits)
+    return np.stack([np.bincount(at, weights=w * parts[:, j], minlength=count) for j in (0, 1)], axis=1)
 
 
 def merge_closest(x, w, height):

@@ -4,8 +4,10 @@ Centres for k = 2..29 of all groups and restarts form one table. A group of at
 most `block` distinct vectors is a single block, whose steps are repeated in
 place by one task. Larger groups are spread over blocks: each step joins the
 blocks with the centres still moving and sums the partial results per centre.
-Their seeding draws candidates over a few passes and thins them out afterwards:
-Bahmani et al., "Scalable k-means++", PVLDB 5(7), 2012.
+
+Both go the same way: k-means++ picks by a race of hashed numbers that any block can run for
+its own vectors, and sums of whole numbers, which are the same in any order. So neither
+centres nor inertia depend on how a group is spread.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.kernels import centre_sums, closest_centres, constant, floats, hash_uniform, matrix, seed_centres, vectors
+from ..functions.kernels import (
+    centre_sums, closest_centres, constant, cost_limbs, floats, from_limbs, hash_uniform, limb_bits, limbs, matrix, power_above,
+    seed_centres, vectors,
+)
 from ..session import cut, cut_placed
 from .cells import BLOCK, cogrouped, extend, fields, grouped, split_large
 from .elbow import elbow
@@ -26,7 +31,6 @@ K_MIN, K_MAX = 2, 29
 RESTARTS = 10
 TOLERANCE = 1e-4
 MAX_STEPS = 300
-SEED_PASSES = 3
 STEP_STRIDE = 1000  # step numbers of one restart
 
 
@@ -41,227 +45,236 @@ def _seeds(rows: pa.Table, restart: int):
         return x[seed_centres(x, w, _restart_hash(h, restart), K_MAX)]
 
 
+class _Scale:
+    """The whole-number arithmetic of one group, from its total weight, greatest magnitude and dimensions."""
+
+    def __init__(self, total: float, top: float, dims: int):
+        self.total, self.dims, self.bits = total, dims, limb_bits(total)
+        self.unit = power_above(top)
+        self.square = self.unit**2 * power_above(4.0 * dims)  # no squared distance is greater
+
+    def sums(self, x, w, at, count):
+        return centre_sums(limbs(x, self.unit, self.bits), w, at, count)
+
+    def costs(self, w, d, at, count):
+        return cost_limbs(w, d, at, count, self.square, self.bits)
+
+    def moved(self, sums, mass, centres):
+        """The means; a centre without rows stays where it is."""
+        means = from_limbs(sums, self.unit, self.bits) / np.maximum(mass, 1e-300)[:, None]
+        return np.where(mass[:, None] > 0, means, centres)
+
+    def inertia(self, costs):
+        return float(from_limbs(costs.sum(axis=0), self.square, self.bits)[0])
+
+    def limit(self, inertia):
+        """How far the centres may still move together; `inertia` is that of the group's mean."""
+        return TOLERANCE * inertia / self.total / self.dims
+
+
 def _centre_rows(rows: pa.Table, keys, found) -> pa.Table:
-    """`found`: (restart, k, centres, inertia) → one row per centre."""
-    n = sum(len(c) for _, _, c, _ in found)
+    """`found`: (restart, k, centres, inertia, converged) → one row per centre."""
+    n = sum(len(f[2]) for f in found)
     return pa.table(
         {
             **constant(rows, keys, n),
-            "restart": pa.array(np.concatenate([np.full(len(c), r) for r, _, c, _ in found]), pa.int32()),
-            "k": pa.array(np.concatenate([np.full(len(c), k) for _, k, c, _ in found]), pa.int32()),
-            "c": pa.array(np.concatenate([np.arange(len(c)) for _, _, c, _ in found]), pa.int32()),
-            "centre": vectors(np.concatenate([c for _, _, c, _ in found])),
-            "inertia": pa.array(np.concatenate([np.full(len(c), float(i)) for _, _, c, i in found])),
+            "restart": pa.array(np.concatenate([np.full(len(f[2]), f[0]) for f in found]), pa.int32()),
+            "k": pa.array(np.concatenate([np.full(len(f[2]), f[1]) for f in found]), pa.int32()),
+            "c": pa.array(np.concatenate([np.arange(len(f[2])) for f in found]), pa.int32()),
+            "centre": vectors(np.concatenate([f[2] for f in found])),
+            "inertia": pa.array(np.concatenate([np.full(len(f[2]), float(f[3])) for f in found])),
+            "converged": pa.array(np.concatenate([np.full(len(f[2]), bool(f[4])) for f in found])),
         }
     )
 
 
-def kmeans_grid(distinct: DataFrame, keys, restarts: int = RESTARTS, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """(keys, restart, k, c, centre, inertia): the best restart for each k = 2..29.
+def kmeans_grid(distinct: DataFrame, keys, restarts: int = RESTARTS, seed: int = 0, block: int = BLOCK, steps: int = MAX_STEPS) -> DataFrame:
+    """(keys, restart, k, c, centre, inertia, converged): the best restart for each k = 2..29.
 
-    `distinct` has (keys, id, vec, weight). A group with fewer than k distinct
-    vectors gets one centre per vector and inertia 0.
+    `distinct` has (keys, id, vec, weight), weights being counts. A group with fewer than k
+    distinct vectors gets one centre per vector and inertia 0. `converged` is false
+    where the centres still moved after `steps` steps.
     """
     keys = list(keys)
     points = distinct.select(*keys, "id", "vec", "weight", F.xxhash64(F.lit(seed), "id").alias("h"))
     schema = extend(
-        fields(points, keys), restart="integer", k="integer", c="integer", centre="array<double>", inertia="double"
+        fields(points, keys), restart="integer", k="integer", c="integer", centre="array<double>", inertia="double", converged="boolean"
     )
 
     def sweep(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
         x, w = matrix(rows), floats(rows, "weight")
-        limit = TOLERANCE * _variance(x, w)
+        scale = _Scale(w.sum(), np.abs(x).max(initial=0), x.shape[1])
+        parts = limbs(x, scale.unit, scale.bits)
+        whole = np.zeros(len(x), int)
+        mean = scale.moved(*centre_sums(parts, w, whole, 1), np.zeros((1, x.shape[1])))
+        limit = scale.limit(scale.inertia(scale.costs(w, ((x - mean) ** 2).sum(axis=1), whole, 1)))
         best = {}
         for restart in range(restarts):
             seeds = _seeds(rows, restart)
             for k in range(K_MIN, K_MAX + 1):
-                centres = seeds[:k]
-                for _ in range(MAX_STEPS):
+                centres, converged = seeds[:k], False
+                for _ in range(steps):
                     at, _ = closest_centres(x, centres)
-                    sums, mass = centre_sums(x, w, at, len(centres))
-                    moved = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-300)[:, None], centres)
+                    moved = scale.moved(*centre_sums(parts, w, at, len(centres)), centres)
                     shift = ((moved - centres) ** 2).sum()
                     centres = moved
                     if shift <= limit:
+                        converged = True
                         break
-                inertia = (w * closest_centres(x, centres)[1]).sum()
+                at, d = closest_centres(x, centres)
+                inertia = scale.inertia(scale.costs(w, d, at, len(centres)))
                 if k not in best or inertia < best[k][3]:
-                    best[k] = (restart, k, centres, inertia)
+                    best[k] = (restart, k, centres, inertia, converged)
         return _centre_rows(rows, keys, list(best.values()))
 
     small, large, sizes = split_large(points, keys, block)
     result = grouped(small, keys).applyInArrow(sweep, schema)
     if large is None:
         return result
-    return result.unionByName(_large_grid(large, sizes, keys, restarts, schema))
+    return result.unionByName(_large_grid(large, sizes, keys, restarts, schema, steps))
 
 
-def _variance(x, w):
-    """Mean variance of the coordinates, the unit of the stopping tolerance."""
-    mean = (w[:, None] * x).sum(axis=0) / w.sum()
-    return ((w[:, None] * (x - mean) ** 2).sum(axis=0) / w.sum()).mean()
-
-
-def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema) -> DataFrame:
+def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema, steps: int) -> DataFrame:
     blocks = F.ceil(F.col("n") / F.col("lim")).cast("int")
-    placed = attach(points, sizes.select(*keys, "n", "lim"), keys, "id").withColumn("blocks", blocks)
     here = [*keys, "blk"]
+    stats = points.groupBy(*keys).agg(
+        F.sum("weight").alias("total"), F.max(F.array_max(F.transform("vec", F.abs))).alias("top")
+    )
+    known = cut(sizes.select(*keys, blocks.alias("blocks")).join(stats, keys))
+    placed = attach(points, known, keys, "id")
     # stored already split by block, so that the passes below need not move the vectors
-    placed = placed.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("n", "lim")
+    placed = placed.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
     placed = cut_placed(spread(placed, here))
-    counts = cut(placed.select(*keys, "blocks").distinct())
+    counts = known.select(*keys, "blocks")
 
     def copies(table: DataFrame) -> DataFrame:
         return table.join(counts, keys).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
-    stats = placed.groupBy(*keys).agg(
-        Summarizer.metrics("mean", "normL2").summary(array_to_vector("vec"), F.col("weight")).alias("s"),
-        F.sum("weight").alias("mass"),
-    )
-    # the same unit as `_variance`
-    variances = F.zip_with(
-        vector_to_array("s.normL2"), vector_to_array("s.mean"),
-        lambda norm, mean: F.greatest(norm * norm / F.col("mass") - mean * mean, F.lit(0.0)),
-    )
-    spread_of = F.aggregate(variances, F.lit(0.0), lambda a, b: a + b) / F.size(variances)
-    limits = stats.select(*keys, (spread_of * F.lit(TOLERANCE)).alias("limit"))
-    start = cut(_large_seeds(placed, copies, keys, restarts, schema).join(limits, keys))
-    partial = extend(
-        fields(points, keys), restart="integer", k="integer", c="integer", sums="array<double>", mass="double", cost="double"
-    )
+    run = [*keys, "restart", "k"]
+    partial = extend(fields(points, keys), restart="integer", k="integer", c="integer", adds="array<double>")
 
     def step(rows: pa.Table, centres: pa.Table) -> pa.Table:
-        centres = centres.sort_by([("restart", "ascending"), ("k", "ascending"), ("c", "ascending")])
+        """Of each centre, what this block's vectors add to its sums, its weight and its cost."""
         if not rows.num_rows or not centres.num_rows:
-            return _partial_rows(centres.slice(0, 0), keys, np.zeros((0, 1)), np.zeros(0), np.zeros(0))
+            return centres.slice(0, 0).select([*run, "c"]).append_column("adds", vectors(np.zeros((0, 1))))
+        centres = centres.sort_by([("restart", "ascending"), ("k", "ascending"), ("c", "ascending")])
         x, w, c = matrix(rows), floats(rows, "weight"), matrix(centres, "centre")
-        sums, mass, cost = np.zeros_like(c), np.zeros(len(c)), np.zeros(len(c))
+        scale = _Scale(rows.column("total")[0].as_py(), rows.column("top")[0].as_py(), x.shape[1])
+        parts = limbs(x, scale.unit, scale.bits)
+        adds = np.zeros((len(c), parts.shape[1] + 3))
         tag = centres.column("restart").to_numpy().astype(int) * STEP_STRIDE + centres.column("k").to_numpy()
         starts = np.flatnonzero(np.r_[True, tag[1:] != tag[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(c)]):
             at, d = closest_centres(x, c[a:b])
-            sums[a:b], mass[a:b] = centre_sums(x, w, at, b - a)
-            cost[a:b] = np.bincount(at, weights=w * d, minlength=b - a)
-        return _partial_rows(centres, keys, sums, mass, cost)
+            sums, mass = centre_sums(parts, w, at, b - a)
+            adds[a:b] = np.column_stack([sums, mass, scale.costs(w, d, at, b - a)])
+        return centres.select([*run, "c"]).append_column("adds", vectors(adds))
 
-    run = [*keys, "restart", "k"]
+    gone = extend(fields(points, keys), restart="integer", k="integer", c="integer", centre="array<double>", shift="double", limit="double", inertia="double")
 
-    def advance(centres: DataFrame) -> DataFrame:
-        sums = (
-            cogrouped(placed, copies(centres.select(*run, "c", "centre")), here, placed=True)
-            .applyInArrow(step, partial)
-            .groupBy(*run, "c")
-            .agg(
-                Summarizer.metrics("sum").summary(array_to_vector("sums")).alias("s"),
-                F.sum("mass").alias("mass"),
-                F.sum("cost").alias("cost"),
-            )
-        )
-        moved = F.when(
-            F.col("mass") > 0, F.transform(vector_to_array("s.sum"), lambda v: v / F.col("mass"))
-        ).otherwise(F.col("centre"))
-        return centres.select(*run, "c", "centre", "limit").join(sums, [*run, "c"]).select(
-            *run, "c", "limit", F.col("centre").alias("old"), moved.alias("centre"), "cost"
-        )
+    def settle(centres: pa.Table, sums: pa.Table) -> pa.Table:
+        """The moved centres of one (group, restart, k), at most 29, and its inertia before the move."""
+        centres = centres.sort_by("c")
+        old = matrix(centres, "centre")
+        scale = _Scale(centres.column("total")[0].as_py(), centres.column("top")[0].as_py(), old.shape[1])
+        adds = np.zeros((len(old), 2 * old.shape[1] + 3))
+        adds[sums.column("c").to_numpy(), sums.column("pos").to_numpy()] = sums.column("v").to_numpy()
+        new = scale.moved(adds[:, :-3], adds[:, -3], old)
+        inertia = scale.inertia(adds[:, -2:])
+        out = centres.select([*run, "c"]).append_column("centre", vectors(new))
+        for name, value in (("shift", ((new - old) ** 2).sum()), ("limit", scale.limit(inertia)), ("inertia", inertia)):
+            out = out.append_column(name, pa.array(np.full(len(old), float(value))))
+        return out
 
-    gap = F.aggregate(F.zip_with("centre", "old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    shift = F.sum(gap).over(W.partitionBy(*run))  # at most 29 centres
-    moving, settled = start, None
-    for _ in range(MAX_STEPS):
+    def advance(centres: DataFrame) -> DataFrame:
+        """`centres` moved by one step. What blocks add is summed per coordinate, in whole numbers."""
+        centres = centres.select(*run, "c", "centre")
+        added = cogrouped(placed, copies(centres), here, placed=True).applyInArrow(step, partial)
+        sums = added.select(*run, "c", F.posexplode("adds").alias("pos", "v")).groupBy(*run, "c", "pos").agg(F.sum("v").alias("v"))
+        return cogrouped(centres.join(known.drop("blocks"), keys), sums, run).applyInArrow(settle, gone)
+
+    middle = placed.groupBy(*keys).agg(F.first("vec").alias("centre")).select(
+        *keys, F.lit(0).alias("restart"), F.lit(1).alias("k"), F.lit(0).alias("c"), F.transform("centre", lambda v: v * 0.0).alias("centre")
+    )
+    limits = cut(advance(cut(advance(cut(middle)))).select(*keys, F.col("limit").alias("most")))
+    moving, settled = cut(_large_seeds(placed, copies, keys, restarts)), None
+    for _ in range(steps):
         stepped = cut(
-            advance(moving).withColumn("moves", shift > F.col("limit")).select(*run, "c", "centre", "limit", "moves")
+            advance(moving).join(limits, keys).select(*run, "c", "centre", (F.col("shift") <= F.col("most")).alias("converged"))
         )
-        moving = stepped.filter("moves").drop("moves")
-        rested = stepped.filter("not moves").drop("moves")
+        moving = stepped.filter("not converged")
+        rested = stepped.filter("converged")
         settled = rested if settled is None else settled.unionByName(rested)
         if moving.isEmpty():
             break
-    settled = cut(settled.unionByName(moving))
-    inertia = advance(settled).groupBy(*run).agg(F.sum("cost").alias("inertia"))
+    settled = cut(settled.unionByName(moving) if settled is not None else moving.withColumn("converged", F.lit(False)))
+    inertia = cut(advance(settled).filter("c = 0").select(*run, "inertia"))
     best = inertia.groupBy(*keys, "k").agg(F.min(F.struct("inertia", "restart")).alias("b"))
     best = best.select(*keys, "k", F.col("b.restart").alias("restart"), F.col("b.inertia").alias("inertia"))
     return settled.join(best, run).select(*schema.names)
 
 
-def _partial_rows(centres: pa.Table, keys, sums, mass, cost) -> pa.Table:
-    out = centres.select([*keys, "restart", "k", "c"])
-    for name, column in (("sums", vectors(sums)), ("mass", pa.array(mass)), ("cost", pa.array(cost))):
-        out = out.append_column(name, column)
-    return out
-
-
-def _large_seeds(placed: DataFrame, copies, keys, restarts: int, schema) -> DataFrame:
-    """First centres of the large groups, from candidates drawn over a few passes.
+def _large_seeds(placed: DataFrame, copies, keys, restarts: int) -> DataFrame:
+    """(keys, restart, k, c, centre): first centres of the large groups, by k-means++ as for small ones.
 
-    A pass draws up to 2 × 29 vectors per restart by weight × squared distance
-    to the candidates so far. Each block offers its best draws, so what leaves
-    a block and what meets in one task is bounded.
+    A pick is the vector that wins a race by weight × squared distance to the picks
+    before it; each block sends its winner of each restart, and the best of those is the pick.
+    Picks are nested, so one sequence seeds every k. A block finds the distances to all
+    earlier picks anew in each round, which is a few hundredths of what the steps after it take.
     """
-    draw = 2 * K_MAX
-    here = [*keys, "blk"]
-    offer = extend(fields(placed, keys), restart="integer", id="string", vec="array<double>", h="long", race="double")
+    offer = extend(fields(placed, keys), restart="integer", loss="double", id="string", vec="array<double>")
 
-    def pick(step: int):
-        def offers(rows: pa.Table, candidates: pa.Table | None) -> pa.Table:
+    def offers(step: int):
+        def best(rows: pa.Table, picks: pa.Table | None) -> pa.Table:
             rows = rows.sort_by("id")
             x, w, h = matrix(rows), floats(rows, "weight"), rows.column("h").to_numpy()
-            out = []
+            found, loss, tag = [], [], []
             for restart in range(restarts):
-                mass = w
-                if candidates is not None and candidates.num_rows:
-                    mine = candidates.column("restart").to_numpy() == restart
-                    if mine.any():
-                        mass = w * closest_centres(x, matrix(candidates.filter(pa.array(mine))))[1]
+                near = np.full(len(x), np.inf)
+                if picks is not None:
+                    mine = picks.filter(pa.array(picks.column("restart").to_numpy() == restart)).sort_by("c")
+                    if not mine.num_rows:
+                        continue
+                    for pick in matrix(mine):
+                        near = np.minimum(near, ((x - pick) ** 2).sum(axis=1))
+                mass = w if picks is None else w * near
                 with np.errstate(divide="ignore", over="ignore"):
-                    u = hash_uniform(_restart_hash(h, restart), STEP_STRIDE // 2 + step)
-                    race = np.where(mass > 0, np.log(u) / mass, -np.inf)
-                top = np.argsort(-race, kind="stable")[: draw if step else 1]
-                top = top[np.isfinite(race[top])]
-                part = rows.select([*keys, "id", "vec", "h"]).take(pa.array(top))
-                part = part.append_column("restart", pa.array(np.full(len(top), restart), pa.int32()))
-                out.append(part.append_column("race", pa.array(race[top])))
-            return pa.concat_tables(out).select([*keys, "restart", "id", "vec", "h", "race"])
-
-        return offers
-
-    first = pick(0)
-    rank = F.row_number().over(W.partitionBy(*keys, "restart").orderBy(F.col("race").desc(), "id"))
-    drawn = placed.groupBy(*here).applyInArrow(lambda rows: first(rows, None), offer)
-    chosen = cut(drawn.withColumn("r", rank).filter("r <= 1").drop("r", "race"))
-    for step in range(1, SEED_PASSES + 1):
-        drawn = cogrouped(placed, copies(chosen.select(*keys, "restart", "id", "vec")), here, placed=True).applyInArrow(pick(step), offer)
-        more = drawn.withColumn("r", rank).filter(F.col("r") <= draw).drop("r", "race")
-        chosen = cut(chosen.unionByName(more).dropDuplicates([*keys, "restart", "id"]))
-
-    served = extend(fields(placed, keys), restart="integer", id="string", weight="double")
-
-    def shares(rows: pa.Table, candidates: pa.Table) -> pa.Table:
-        x, w = matrix(rows), floats(rows, "weight")
-        out = []
-        for restart in range(restarts):
-            mine = candidates.filter(pa.array(candidates.column("restart").to_numpy() == restart))
-            at, _ = closest_centres(x, matrix(mine))
-            weight = np.bincount(at, weights=w, minlength=mine.num_rows)
-            out.append(mine.select([*keys, "restart", "id"]).append_column("weight", pa.array(weight)))
-        return pa.concat_tables(out)
-
-    weights = (
-        cogrouped(placed, copies(chosen.select(*keys, "restart", "id", "vec")), here, placed=True)
-        .applyInArrow(shares, served)
-        .groupBy(*keys, "restart", "id")
-        .agg(F.sum("weight").alias("weight"))
-    )
+                    race = np.where(mass > 0, np.log(hash_uniform(_restart_hash(h, restart), step)) / mass, -np.inf)
+                at = int(race.argmax())
+                if mass[at] > 0:
+                    found.append(at)
+                    loss.append(-race[at])
+                    tag.append(restart)
+            out = rows.select([*keys, "id", "vec"]).take(pa.array(found, pa.int64()))
+            out = out.append_column("restart", pa.array(tag, pa.int32())).append_column("loss", pa.array(loss, pa.float64()))
+            return out.select([*keys, "restart", "loss", "id", "vec"])
+
+        return best
+
+    here = [*keys, "blk"]
+    chosen = None
+    for step in range(K_MAX):
+        kernel = offers(step)
+        if chosen is None:
+            sent = placed.groupBy(*here).applyInArrow(lambda rows: kernel(rows, None), offer)
+        else:
+            both = cogrouped(placed, copies(chosen.select(*keys, "restart", "c", "vec")), here, placed=True)
+            sent = both.applyInArrow(lambda rows, picks: kernel(rows, picks) if rows.num_rows else _no_offer(picks, keys), offer)
+        won = sent.groupBy(*keys, "restart").agg(F.min(F.struct("loss", "id", "vec")).alias("p"))
+        won = cut(won.select(*keys, "restart", F.lit(step).alias("c"), "p.vec"))
+        if won.isEmpty():
+            break
+        chosen = won if chosen is None else chosen.unionByName(won)
+    k = F.explode(F.sequence(F.greatest(F.col("c") + 1, F.lit(K_MIN)), F.lit(K_MAX))).alias("k")
+    return chosen.select(*keys, "restart", k, "c", F.col("vec").alias("centre"))
 
-    def settle(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("id")
-        restart = rows.column("restart")[0].as_py()
-        seeds = _seeds(rows, restart)
-        found = [(restart, k, seeds[:k], 0.0) for k in range(K_MIN, K_MAX + 1)]
-        return _centre_rows(rows, keys, found)
 
-    weighted = chosen.join(weights, [*keys, "restart", "id"])
-    return cut(grouped(weighted, [*keys, "restart"]).applyInArrow(settle, schema).drop("inertia"))
+def _no_offer(picks: pa.Table, keys) -> pa.Table:
+    none = picks.slice(0, 0)
+    return none.select([*keys, "restart"]).append_column("loss", pa.array([], pa.float64())).append_column(
+        "id", pa.array([], pa.string())
+    ).append_column("vec", none.column("vec"))
 
 
 def inertia_curve(grid: DataFrame, keys) -> DataFrame:

@@ -100,6 +100,21 @@ def test_kmeans_grid_properties(spark, block):
             assert d[label[g, name]] == pytest.approx(d.min(), abs=1e-12)
 
 
+def test_kmeans_does_not_depend_on_the_block(spark):
+    """One seeding and one arithmetic at every size: equal centres and inertia, bit for bit, with ties and copies."""
+    groups = random_groups(seed=14, groups=1, rows=150)
+    groups[2] = {f"q{i:03d}": np.array([float(i % 7), float(i // 7 % 6), 0.25 * (i % 2), 1.0]) for i in range(120)}
+    unique = cut(distinct_vectors(as_vectors(spark, groups), ["g"]))
+
+    def grid(block):
+        rows = kmeans_grid(unique, ["g"], restarts=2, block=block, steps=5).collect()
+        return {(r.g, r.k, r.c): (r.restart, tuple(r.centre), r.inertia, r.converged) for r in rows}
+
+    whole = grid(1024)
+    assert whole == grid(32)
+    assert {r[3] for r in whole.values()} == {False, True}
+
+
 def test_kmeans_does_not_depend_on_partitions(spark):
     vectors = as_vectors(spark, random_groups(seed=9, groups=2, rows=60))
     runs = []
