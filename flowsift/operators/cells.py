@@ -1,14 +1,16 @@
 """Exact neighbour search over groups of any size.
 
 A group with at most `block` vectors is one cell, handled by one task. A larger
-group is cut into Voronoi cells around pivots drawn from its own vectors, so
-dense regions get more pivots and every cell stays near sqrt(n) vectors. The
+group is cut into about sqrt(n) Voronoi cells around pivots from its own vectors: half of them drawn by chance, so
+that dense regions get more, half the farthest from those before, so that no region goes without. The
 triangle inequality then tells which cells can hold anything within a given
-distance of a vector; only those are visited. All results are exact, whatever
+distance of a vector; only those are visited, the most promising first, and each round
+of visits lowers the distance beyond which nothing matters. What is stored of visits are ids. All results are exact, whatever
 the pivots: they decide the amount of work only.
 
 Voronoi pruning for nearest-neighbour joins: Lu, Shen, Chen and Ooi, "Efficient
-processing of k nearest neighbor joins using MapReduce", PVLDB 5(10), 2012.
+processing of k nearest neighbor joins using MapReduce", PVLDB 5(10), 2012; spread pivots:
+Gonzalez, "Clustering to minimize the maximum intercluster distance", 1985.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from .joins import attach, spread
 
 BLOCK = 1024
 SLACK = 1e-9  # keeps rounding from pruning a cell that holds a tie
+SAMPLE = 4  # vectors drawn per pivot to choose
+FIRST_VISITS, MORE_VISITS = 4, 8  # cells a vector looks into in the first round, and how much further each later one reaches
+SALT_ROWS = 4096  # visitors of a cell that meet in one task
 
 
 @dataclass
@@ -74,20 +79,50 @@ def split_large(points: DataFrame, keys, block: int = BLOCK):
     return attach(points, names, keys, "id", "left_anti"), attach(points, names, keys, "id", "left_semi"), large
 
 
-def build_cells(points: DataFrame, keys, sizes: DataFrame) -> Cells:
-    """Assigns every vector of the large groups to its nearest pivot.
+def choose_pivots(points: DataFrame, keys, sizes: DataFrame) -> DataFrame:
+    """(keys, cell, pivot, blocks, lim): about sqrt(n) vectors of each large group.
 
-    Vectors travel in hash blocks of at most about `lim` rows; each block meets
-    a copy of its group's pivots, of which there are about n / lim.
+    One task per group sees a sample of some SAMPLE x sqrt(n) vectors.
     """
     keys = list(keys)
     tagged = attach(points, sizes, keys, "id").withColumn("u", uniform("id"))
-    blocks = F.ceil(F.col("n") / F.col("lim")).cast("int")
-    tagged = tagged.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    pivots = tagged.filter((F.col("u") * F.col("lim") < 1) | (F.col("u") == F.col("u0"))).select(
-        *keys, F.col("id").alias("cell"), F.col("vec").alias("pivot"), blocks.alias("blocks"), "lim"
+    wanted = F.ceil(F.sqrt("n")).cast("int").alias("wanted")
+    sample = tagged.filter((F.col("u") * F.sqrt("n") < SAMPLE) | (F.col("u") == F.col("u0"))).select(
+        *keys, "id", "vec", "u", wanted, F.ceil(F.col("n") / F.col("lim")).cast("int").alias("blocks"), "lim"
     )
-    pivots = cut(pivots)
+
+    def pick(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("u", "ascending"), ("id", "ascending")])
+        taken = spread_picks(matrix(rows), rows.column("wanted")[0].as_py())
+        out = rows.take(pa.array(taken)).select([*keys, "id", "vec", "blocks", "lim"])
+        return out.rename_columns([*keys, "cell", "pivot", "blocks", "lim"])
+
+    schema = extend(fields(points, keys), cell="string", pivot="array<double>", blocks="integer")
+    schema = T.StructType([*schema.fields, T.StructField("lim", sizes.schema["lim"].dataType)])
+    return cut(grouped(sample, keys).applyInArrow(pick, schema))
+
+
+def spread_picks(x: np.ndarray, wanted: int) -> list[int]:
+    """Positions of up to `wanted` rows: the first half of them in order, then always the row farthest from all before."""
+    taken = list(range(min(len(x), (wanted + 1) // 2)))
+    near = np.full(len(x), np.inf)
+    for i in taken:
+        near = np.minimum(near, sq_distances(x[i : i + 1], x)[0])
+    while len(taken) < wanted and near.max(initial=0) > 0:
+        taken.append(int(near.argmax()))
+        near = np.minimum(near, sq_distances(x[taken[-1] : taken[-1] + 1], x)[0])
+    return taken
+
+
+def place(points: DataFrame, pivots: DataFrame, keys) -> DataFrame:
+    """`points` of large groups with `blk`, `cell` (their nearest pivot's) and `own`, the distance to it.
+
+    Vectors travel in hash blocks of at most about `lim` rows; each block meets
+    a copy of its group's pivots.
+    """
+    keys = list(keys)
+    blocks = pivots.groupBy(*keys).agg(F.max("blocks").alias("blocks"))
+    tagged = attach(points, blocks, keys, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     columns = [*points.columns, "blk"]
     schema = extend(fields(tagged, columns), cell="string", own="double")
 
@@ -101,7 +136,12 @@ def build_cells(points: DataFrame, keys, sizes: DataFrame) -> Cells:
         )
 
     copies = pivots.select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), "cell", "pivot")
-    placed = cut(cogrouped(tagged.select(*columns), copies, [*keys, "blk"]).applyInArrow(nearest_pivot, schema))
+    return cut(cogrouped(tagged.select(*columns), copies, [*keys, "blk"]).applyInArrow(nearest_pivot, schema))
+
+
+def as_cells(placed: DataFrame, pivots: DataFrame, keys) -> Cells:
+    """Cells of vectors that `place` has placed; cells of more than `lim` vectors have several parts, `sub`."""
+    keys = list(keys)
     stats = placed.groupBy(*keys, "cell").agg(
         F.count("*").alias("count"), F.max("own").alias("radius"), F.min("weight").alias("lightest")
     )
@@ -113,34 +153,43 @@ def build_cells(points: DataFrame, keys, sizes: DataFrame) -> Cells:
     return Cells(cut(points), table)
 
 
+def build_cells(points: DataFrame, keys, sizes: DataFrame) -> Cells:
+    """Assigns every vector of the large groups to its nearest pivot."""
+    pivots = choose_pivots(points, keys, sizes)
+    return as_cells(place(points, pivots, keys), pivots, keys)
+
+
 def schema_empty(rows: pa.Table, **more) -> pa.Table:
     for name, kind in more.items():
         rows = rows.append_column(name, pa.array([], type=kind))
     return rows
 
 
-def visits(cells: Cells, bounded: DataFrame, keys, ward: bool = False, salt_rows: int = 4096):
-    """Which vectors must look into which other cells: (visitors, hosts).
+def reach(cells: Cells, bounded: DataFrame, keys, first: int = 0, last: int | None = None, ward: bool = False) -> DataFrame:
+    """(keys, id, cell): which cells vectors must look into; of each vector's list the places from `first` to before `last`.
 
-    `bounded` are the vectors of `cells.points` with `bound`, the value beyond
-    which nothing matters. Both results carry (keys, cell, sub, salt) to be
-    cogrouped on; visitors of a popular cell are salted over several copies.
+    `bounded` are vectors of `cells.points` with `bound`, the value beyond which nothing
+    matters. A vector's own cell comes first, the others by what they could hold at best. With a column
+    `root` in `bounded` and `low_root`, `high_root` in the cells' table, cells that
+    hold only vectors of the vector's own root are left out.
     """
     keys = list(keys)
-    here = ["blk", "cell", "sub", "own"]
-    columns = [c for c in bounded.columns if c not in here]
-    schema = extend(fields(bounded, columns), home="string", home_sub="integer", cell="string")
+    schema = extend(fields(bounded, [*keys, "id"]), cell="string")
+    rooted = "root" in bounded.columns
 
-    def reach(rows: pa.Table, cells_: pa.Table) -> pa.Table:
-        cells_ = cells_.sort_by("cell")
-        home, own = rows.column("cell"), floats(rows, "own")
-        plain = rows.select(columns).append_column("home", home).append_column("home_sub", rows.column("sub"))
+    def lists(rows: pa.Table, cells_: pa.Table) -> pa.Table:
+        plain = rows.select([*keys, "id"])
         if not rows.num_rows:
             return schema_empty(plain, cell=pa.string())
+        cells_ = cells_.sort_by("cell")
+        own = floats(rows, "own")
         x, pivots = matrix(rows), matrix(cells_, "pivot")
         names = {c: i for i, c in enumerate(cells_.column("cell").to_pylist())}
-        at = np.array([names[c] for c in home.to_pylist()])
+        at = np.array([names[c] for c in rows.column("cell").to_pylist()])
         bound, radius = floats(rows, "bound"), floats(cells_, "radius")
+        if rooted:
+            low_root, high_root, root = (np.array(c.to_pylist(), object) for c in (cells_.column("low_root"), cells_.column("high_root"), rows.column("root")))
+            single = np.where(low_root == high_root, low_root, None)
         taken = []
         for part in row_chunks(len(x), len(pivots)):
             d = np.sqrt(sq_distances(x[part], pivots))
@@ -152,30 +201,123 @@ def visits(cells: Cells, bounded: DataFrame, keys, ward: bool = False, salt_rows
             if ward:
                 w, light = floats(rows, "weight")[part, None], floats(cells_, "lightest")[None, :]
                 low = low**2 * (w * light / (w + light))
-            i, j = np.nonzero(low <= bound[part, None] * (1 + SLACK))
-            taken.append((i + part.start, j))
+            wanted = low <= bound[part, None] * (1 + SLACK)
+            if rooted:
+                wanted &= single[None, :] != root[part, None]
+            i, j = np.nonzero(wanted)
+            order = np.lexsort((j, np.where(j == at[part][i], -1.0, low[i, j]), i))
+            i, j = i[order], j[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            seen = (rank >= first) & (rank < (len(pivots) if last is None else last))
+            taken.append((i[seen] + part.start, j[seen]))
         i, j = (np.concatenate(c) for c in zip(*taken))
         return plain.take(pa.array(i)).append_column("cell", cells_.column("cell").take(pa.array(j)))
 
+    more = ["low_root", "high_root"] if rooted else []
     copies = cells.table.select(
-        *keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), "cell", "pivot", "radius", "lightest"
+        *keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), "cell", "pivot", "radius", "lightest", *more
     )
-    going = (
-        cogrouped(bounded, copies, [*keys, "blk"])
-        .applyInArrow(reach, schema)
-        .join(cells.table.select(*keys, "cell", "subs"), [*keys, "cell"])
+    return cut(cogrouped(bounded, copies, [*keys, "blk"]).applyInArrow(lists, schema))
+
+
+def meet(cells: Cells, visitors: DataFrame, going: DataFrame, hosts: DataFrame, keys, salt_rows: int = SALT_ROWS):
+    """Visitors and hosts, both with (keys, cell, sub, salt) to be cogrouped on.
+
+    `going` are the lists of `reach`, `visitors` and `hosts` vectors of `cells.points` with what
+    the kernel needs. A vector does not visit the part of a cell that it lies in; visitors of a popular cell
+    are salted over several copies of it.
+    """
+    keys = list(keys)
+    parts = cells.table.select(*keys, "cell", "subs")
+    theirs = visitors.withColumnRenamed("cell", "home").withColumnRenamed("sub", "home_sub").drop("blk", "own")
+    arriving = (
+        going.join(parts, [*keys, "cell"])
         .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        .filter((F.col("cell") != F.col("home")) | (F.col("sub") != F.col("home_sub")))
         .drop("subs")
+        .join(theirs, [*keys, "id"])
+        .filter((F.col("cell") != F.col("home")) | (F.col("sub") != F.col("home_sub")))
+    )
+    spot = [*keys, "cell", "sub"]
+    counts = going.groupBy(*keys, "cell").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
+    salts = parts.join(counts, [*keys, "cell"]).select(
+        *keys, "cell", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "salts"
     )
-    going = cut(going)
-    place = [*keys, "cell", "sub"]
-    salts = going.groupBy(*place).agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
-    visitors = going.join(salts, place).withColumn(
+    arriving = arriving.join(salts, spot).withColumn(
         "salt", F.pmod(F.xxhash64(F.lit("salt"), F.col("id")), F.col("salts")).cast("int")
     )
-    hosts = cells.points.join(salts, place).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    return visitors.drop("salts"), hosts.drop("salts", "blk", "own")
+    waiting = hosts.join(salts, spot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return arriving.drop("salts"), waiting.drop("salts", "blk", "own")
+
+
+class Search:
+    """Nearest-neighbour kernels for one set of keys and one measure."""
+
+    def __init__(self, points: DataFrame, keys, k: int, ward: bool, digits: int | None):
+        self.keys, self.k, self.ward, self.digits = list(keys), k, ward, digits
+        self.schema = extend(fields(points, [*self.keys, "id"]), nid="string", d="double")
+
+    def best(self, a: pa.Table, b: pa.Table, own) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return schema_empty(a.slice(0, 0).select([*self.keys, "id"]), nid=pa.string(), d=pa.float64())
+        weights = (floats(a, "weight"), floats(b, "weight")) if self.ward else (None, None)
+        at, d = nearest_in_block(matrix(a), matrix(b), own, self.k, *weights)
+        i, j = np.nonzero(np.isfinite(d))
+        out = a.select([*self.keys, "id"]).take(pa.array(i))
+        value = d[i, j] if self.digits is None else np.round(d[i, j], self.digits)
+        return out.append_column("nid", b.column("id").take(pa.array(at[i, j]))).append_column("d", pa.array(value))
+
+    def within(self, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        return self.best(rows, rows, np.arange(rows.num_rows))
+
+    def across(self, visitors: pa.Table, hosts: pa.Table) -> pa.Table:
+        return self.best(visitors, hosts.sort_by("id"), np.full(visitors.num_rows, -1))
+
+    def merged(self, found: DataFrame) -> DataFrame:
+        """The k best of what was found per vector; every task keeps its own k best before the shuffle."""
+        if self.k == 1:
+            one = found.groupBy(*self.keys, "id").agg(F.min(F.struct("d", "nid")).alias("p"))
+            return one.select(*self.keys, "id", "p.nid", "p.d")
+        closest = F.row_number().over(W.partitionBy(*self.keys, "id").orderBy("d", "nid"))
+        return found.withColumn("rank", closest).filter(F.col("rank") <= self.k).drop("rank")
+
+    def among(self, cells: Cells, queries: DataFrame | None = None) -> DataFrame:
+        """(keys, id, nid, d) for the vectors of `cells`, or for those of `queries` (keys, id) only.
+
+        A vector starts in its own cell; each round visits further cells, the most
+        promising first, with the bound that the rounds before have left.
+        """
+        keys = self.keys
+        asking = cells.points if queries is None else cells.points.join(queries.select(*keys, "id"), [*keys, "id"], "left_semi")
+        if queries is None:
+            found = cut(grouped(asking, [*keys, "cell", "sub"]).applyInArrow(lambda rows: self.within(rows), self.schema))
+        else:
+            asking = cut(asking)
+            names = asking.select(*keys, "cell", "sub").distinct()
+            hosts = cells.points.join(names, [*keys, "cell", "sub"], "left_semi")
+            kernel = cogrouped(asking, hosts, [*keys, "cell", "sub"])
+            found = cut(kernel.applyInArrow(lambda asking, hosts: self.at_home(asking, hosts), self.schema))
+        first, last = 0, FIRST_VISITS
+        while True:
+            kth = found.groupBy(*keys, "id").agg(F.max("d").alias("bound"), F.count("*").alias("have"))
+            bound = F.when(F.col("have") >= self.k, F.col("bound")).otherwise(F.lit(float("inf")))
+            bound = bound if self.digits is None else bound + F.lit(10.0**-self.digits)
+            bounded = asking.join(kth, [*keys, "id"], "left").withColumn("bound", bound).drop("have")
+            going = reach(cells, bounded, keys, first, last, self.ward)
+            if going.isEmpty():
+                return found
+            visitors, hosts = meet(cells, asking, going, cells.points, keys)
+            more = cogrouped(visitors, hosts, [*keys, "cell", "sub", "salt"]).applyInArrow(lambda visitors, hosts: self.across(visitors, hosts), self.schema)
+            found = cut(self.merged(found.unionByName(more)))
+            first, last = last, last * MORE_VISITS
+
+    def at_home(self, asking: pa.Table, hosts: pa.Table) -> pa.Table:
+        """Neighbours of `asking` in the part of the cell that they lie in themselves."""
+        if not asking.num_rows:
+            return self.best(asking, hosts, None)
+        hosts = hosts.sort_by("id")
+        names = {v: i for i, v in enumerate(hosts.column("id").to_pylist())}
+        return self.best(asking, hosts, np.array([names[v] for v in asking.column("id").to_pylist()]))
 
 
 def nearest(points: DataFrame, keys, k: int = 1, block: int = BLOCK, ward: bool = False, digits: int | None = None) -> DataFrame:
@@ -184,47 +326,10 @@ def nearest(points: DataFrame, keys, k: int = 1, block: int = BLOCK, ward: bool
     `points` has (keys, id, vec, weight) and should be cheap to read again.
     Ties go to the smaller id. With `ward`, d is the Ward merge cost.
     """
-    keys = list(keys)
     points = points.select(*keys, "id", "vec", "weight")
-    schema = extend(fields(points, [*keys, "id"]), nid="string", d="double")
-
-    def within(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("id")
-        return best(rows, rows, np.arange(rows.num_rows))
-
-    def across(visitors: pa.Table, hosts: pa.Table) -> pa.Table:
-        return best(visitors, hosts.sort_by("id"), np.full(visitors.num_rows, -1))
-
-    def best(a: pa.Table, b: pa.Table, own) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            empty = a.slice(0, 0).select([*keys, "id"])
-            return schema_empty(empty, nid=pa.string(), d=pa.float64())
-        weights = (floats(a, "weight"), floats(b, "weight")) if ward else (None, None)
-        at, d = nearest_in_block(matrix(a), matrix(b), own, k, *weights)
-        i, j = np.nonzero(np.isfinite(d))
-        out = a.select([*keys, "id"]).take(pa.array(i))
-        value = d[i, j] if digits is None else np.round(d[i, j], digits)
-        return out.append_column("nid", b.column("id").take(pa.array(at[i, j]))).append_column("d", pa.array(value))
-
+    search = Search(points, keys, k, ward, digits)
     small, large, sizes = split_large(points, keys, block)
-    result = grouped(small, keys).applyInArrow(within, schema)
+    result = grouped(small, keys).applyInArrow(lambda rows: search.within(rows), search.schema)
     if large is None:
         return result
-    cells = build_cells(large, keys, sizes)
-    local = cut(grouped(cells.points, [*keys, "cell", "sub"]).applyInArrow(within, schema))
-    kth = local.groupBy(*keys, "id").agg(F.max("d").alias("bound"), F.count("*").alias("have"))
-    bound = F.when(F.col("have") >= k, F.col("bound")).otherwise(F.lit(float("inf")))
-    bounded = cells.points.join(kth, [*keys, "id"], "left").withColumn("bound", bound).drop("have")
-    if digits is not None:
-        bounded = bounded.withColumn("bound", F.col("bound") + F.lit(10.0**-digits))
-    visitors, hosts = visits(cells, bounded, keys, ward)
-    place = [*keys, "cell", "sub", "salt"]
-    found = cogrouped(visitors, hosts, place).applyInArrow(across, schema)
-    both = local.unionByName(found)
-    if k == 1:
-        merged = both.groupBy(*keys, "id").agg(F.min(F.struct("d", "nid")).alias("p")).select(*keys, "id", "p.nid", "p.d")
-    else:
-        # every task keeps its own k best before the shuffle
-        closest = F.row_number().over(W.partitionBy(*keys, "id").orderBy("d", "nid"))
-        merged = both.withColumn("rank", closest).filter(F.col("rank") <= k).drop("rank")
-    return result.unionByName(merged.select(*keys, "id", "nid", "d"))
+    return result.unionByName(search.among(build_cells(large, keys, sizes)))

@@ -2,9 +2,13 @@
 
 Ward linkage is reducible, so all clusters that are each other's nearest can
 merge in one round without changing the tree. Groups above `block` distinct
-vectors merge in distributed rounds, each an exact neighbour search over the
-clusters left, until at most `block` are left; the rest of the tree is built by
+vectors merge in distributed rounds until at most `block` are left; the rest of the tree is built by
 one task per group, as for groups that were small to begin with.
+
+Nearest clusters are kept from round to round. For the same reason that rounds are allowed, a merged
+cluster is never closer to a third one than both its parts were, so a cluster whose nearest did not
+merge still has its nearest. Only new clusters and those whose nearest merged search again, in
+cells that only new clusters enter anew.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.kernels import floats, matrix, merge_closest
 from ..session import cut
-from .cells import BLOCK, extend, fields, grouped, nearest, split_large
+from .cells import BLOCK, Cells, Search, as_cells, choose_pivots, extend, fields, grouped, place, split_large
 from .components import follow
 from .density import number_clusters
 from .joins import attach
@@ -30,11 +34,11 @@ def ward_clusters(distinct: DataFrame, chosen: DataFrame, keys, block: int = BLO
     """
     keys = list(keys)
     points = distinct.select(*keys, "id", "vec", "weight").withColumn("height", F.lit(0.0))
-    small, large, _ = split_large(points, keys, block)
+    small, large, sizes = split_large(points, keys, block)
     if large is None:
         roots = _finish(small, None, chosen, keys).select(*keys, "id", "root")
     else:
-        roots = _large_roots(small, large, chosen, keys, block)
+        roots = _large_roots(small, large, sizes, chosen, keys, block)
     roots = cut(roots)
     return roots.join(number_clusters(roots, keys), [*keys, "root"]).select(*keys, "id", "cluster")
 
@@ -77,10 +81,14 @@ def _finish(clusters: DataFrame, earlier: DataFrame | None, chosen: DataFrame, k
     return grouped(rows, keys).applyInArrow(complete, schema)
 
 
-def _large_roots(small: DataFrame, large: DataFrame, chosen: DataFrame, keys, block: int) -> DataFrame:
+def _large_roots(small: DataFrame, large: DataFrame, sizes: DataFrame, chosen: DataFrame, keys, block: int) -> DataFrame:
     state, done, merges, rounds = cut(large), small, None, 0
+    search = Search(state, keys, 1, True, None)
+    pivots = choose_pivots(state, keys, sizes)
+    cells = as_cells(place(state, pivots, keys), pivots, keys)
+    near = search.among(cells)
     while True:
-        pairs = cut(_mutual_pairs(state, keys, block))
+        pairs = cut(_mutual_pairs(near, keys))
         rounds += 1
         state, made = _merge(state, pairs, keys)
         merges = made if merges is None else merges.unionByName(made)
@@ -89,6 +97,7 @@ def _large_roots(small: DataFrame, large: DataFrame, chosen: DataFrame, keys, bl
         if state is None:
             break
         state = cut(state)
+        cells, near = _next_nearest(search, cells, near, state, pairs, pivots, keys)
     merges = cut(merges)
     top = W.partitionBy(*keys).orderBy(F.col("height").desc(), F.col("id"))
     most = chosen.agg(F.max("k")).first()[0] or 1  # a literal limit, so that few rows of a group meet
@@ -104,9 +113,23 @@ def _large_roots(small: DataFrame, large: DataFrame, chosen: DataFrame, keys, bl
     return outer.join(ends, [*keys, "outer"], "left").select(*keys, "id", F.coalesce("end", "outer").alias("root"))
 
 
-def _mutual_pairs(state: DataFrame, keys, block: int) -> DataFrame:
+def _next_nearest(search: Search, cells: Cells, near: DataFrame, state: DataFrame, pairs: DataFrame, pivots: DataFrame, keys):
+    """The cells of the clusters left, and their nearest (keys, id, nid, d), after merging `pairs`."""
+    ids = [*keys, "id"]
+    touched = cut(pairs.select(*ids).unionByName(pairs.select(*keys, F.col("other").alias("id"))))
+    alive = state.select(*ids)
+    new = state.join(pairs.select(*ids), ids, "left_semi")
+    still = alive.join(touched, ids, "left_anti")
+    kept = cells.points.drop("sub").join(still, ids, "left_semi")
+    cells = as_cells(cut(kept.unionByName(place(new, pivots, keys).select(*kept.columns))), pivots, keys)
+    old = near.join(still, ids, "left_semi")
+    valid = cut(old.join(touched.withColumnRenamed("id", "nid"), [*keys, "nid"], "left_anti").select(*near.columns))
+    asking = cut(alive.join(valid.select(*ids), ids, "left_anti"))
+    return cells, cut(valid.unionByName(search.among(cells, asking)))
+
+
+def _mutual_pairs(near: DataFrame, keys) -> DataFrame:
     """(keys, id, other, cost): clusters that are each other's nearest, id < other."""
-    near = cut(nearest(state, keys, 1, block, ward=True))
     back = near.select(*keys, F.col("id").alias("nid"), F.col("nid").alias("id"))
     return near.join(back, [*keys, "id", "nid"], "left_semi").filter("id < nid").select(
         *keys, "id", F.col("nid").alias("other"), F.col("d").alias("cost")

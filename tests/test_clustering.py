@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowsift.operators import ward
 from flowsift.operators.kmeans import choose_k, cluster_profile, inertia_curve, kmeans_grid, kmeans_labels
 from flowsift.operators.vectors import distinct_vectors, members
 from flowsift.operators.ward import ward_clusters
@@ -47,6 +48,25 @@ def test_ward_equals_one_merge_at_a_time(spark, block):
         assert sorted(got[g]) == list(range(ks[g]))
 
 
+def test_ward_searches_grow_with_merges(spark, monkeypatch):
+    """Each merge sends its cluster and those that had a part of it as nearest to search again, and no other."""
+    points = as_vectors(spark, random_groups(seed=31, groups=1, rows=90, copies=False))
+    unique = cut(distinct_vectors(points, ["g"]))
+    asked, plain = [], ward.Search.among
+
+    def counted(self, cells, queries=None):
+        asked.append((cells.points if queries is None else queries).count())
+        return plain(self, cells, queries)
+
+    monkeypatch.setattr(ward.Search, "among", counted)
+    chosen = spark.createDataFrame([(0, 5)], "g int, k int")
+    many = {r.id: r.cluster for r in ward_clusters(unique, chosen, ["g"], 24).collect()}
+    monkeypatch.undo()
+    assert many == {r.id: r.cluster for r in ward_clusters(unique, chosen, ["g"], 1024).collect()}
+    merges = 90 - 24
+    assert asked[0] == 90 and sum(asked[1:]) <= 3 * merges and sum(asked) < 90 * len(asked) / 2
+
+
 def test_ward_ties_do_not_depend_on_the_block(spark):
     """Four pairs of equal width: the cut at 5 and 6 splits those of the smallest absorbed ids."""
     rows = [(g, f"p{i}", [float(10 * (i // 2) + i % 2)], 1.0) for g in (0, 1) for i in range(8)]

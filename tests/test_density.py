@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowsift.operators import density
 from flowsift.operators.components import connected
 from flowsift.operators.density import (
     density_clusters, density_noise, distance_curve, eps_components, nearest_distances, number_clusters,
@@ -117,3 +118,30 @@ def test_lof_equals_brute_force(spark, block):
         want = -(lrd[near] / lrd[:, None]).mean(axis=1)
         for i, n in enumerate(ids):
             assert got[g, n] == pytest.approx(want[i], rel=1e-6), (g, n)
+
+
+def test_the_largest_component_and_noise_look_nowhere(spark, monkeypatch):
+    """A long bent chain, a few short ones and scattered noise: same components, few visits."""
+    rng = np.random.default_rng(12)
+    t = np.linspace(0, 20, 500)
+    chain = np.stack([t, np.sin(t)], 1)
+    short = np.concatenate([np.stack([np.linspace(k, k + 0.5, 12), np.full(12, 4.0 + k % 3)], 1) for k in range(8)])
+    noise = rng.uniform(-40, -5, (60, 2))
+    x = np.concatenate([chain, short, noise])
+    rows = [(0, f"e{i:04d}", [float(c) for c in v], 1.0) for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "g int, id string, vec array<double>, weight double")
+    eps = spark.createDataFrame([(0, 0.25)], "g int, eps double")
+    near = nearest_distances(points, ["g"], 32)
+    made, plain = [], density.reach
+
+    def counted(at, asking, *args):
+        lists = plain(at, asking, *args)
+        made.append((asking.count(), lists.count(), at.table.count()))
+        return lists
+
+    monkeypatch.setattr(density, "reach", counted)
+    got = {r.id: r.root for r in eps_components(points, eps, ["g"], 32, None, near).collect()}
+    label = components(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 0.25)
+    assert [got[r[1]] for r in rows] == [rows[i][1] for i in label]
+    asked, visits, n = made[0]
+    assert asked < 120 and visits < len(x) * n / 20

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from flowsift.operators.cells import nearest
+from flowsift.operators import cells
+from flowsift.operators.cells import nearest, spread_picks
 
 from .helpers import as_points, distance_matrix, random_groups
 
@@ -37,3 +38,33 @@ def test_ward_cost_neighbours(spark, block):
         np.fill_diagonal(cost, np.inf)
         for i, name in enumerate(ids):
             assert got[g, name] == pytest.approx(cost[i].min(), abs=1e-12)
+
+
+def test_visits_are_few_and_stored_without_vectors(spark, monkeypatch):
+    """Clumps far apart: a vector looks into few of the cells, and lists of visits hold ids only."""
+    rng = np.random.default_rng(3)
+    centres = rng.random((40, 3)) * 100
+    rows = [(0, f"e{i:04d}", [float(c) for c in centres[i % 40] + rng.normal(0, 0.5, 3)], 1.0) for i in range(900)]
+    points = spark.createDataFrame(rows, "g int, id string, vec array<double>, weight double")
+    made, pivots, plain = [], [], cells.reach
+
+    def counted(at, *args, **more):
+        lists = plain(at, *args, **more)
+        assert lists.columns == ["g", "id", "cell"]
+        made.append(lists.count())
+        pivots.append(at.table.count())
+        return lists
+
+    monkeypatch.setattr(cells, "reach", counted)
+    found = {r.id: r.d for r in nearest(points, ["g"], block=64).collect()}
+    x = np.array([r[2] for r in rows])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose([found[r[1]] for r in rows], d.min(1))
+    assert 25 <= pivots[0] <= 30 and sum(made) < 900 * pivots[0] / 5
+
+
+def test_picks_are_spread():
+    x = np.array([[0.0], [0.1], [0.2], [0.3], [9.0], [5.0], [0.4]])
+    assert spread_picks(x, 4) == [0, 1, 4, 5]
+    assert spread_picks(np.zeros((5, 2)), 4) == [0, 1]
