@@ -88,12 +88,16 @@ def _centre_rows(rows: pa.Table, keys, found) -> pa.Table:
     )
 
 
-def kmeans_grid(distinct: DataFrame, keys, restarts: int = RESTARTS, seed: int = 0, block: int = BLOCK, steps: int = MAX_STEPS) -> DataFrame:
+def kmeans_grid(
+    distinct: DataFrame, keys, restarts: int = RESTARTS, seed: int = 0, block: int = BLOCK, steps: int = MAX_STEPS,
+    starts: DataFrame | None = None,
+) -> DataFrame:
     """(keys, restart, k, c, centre, inertia, converged): the best restart for each k = 2..29.
 
     `distinct` has (keys, id, vec, weight), weights being counts. A group with fewer than k
     distinct vectors gets one centre per vector and inertia 0. `converged` is false
-    where the centres still moved after `steps` steps.
+    where the centres still moved after `steps` steps. With `starts` (keys, k, c, centre)
+    the centres begin there, for the k that it has, instead of being drawn.
     """
     keys = list(keys)
     points = distinct.select(*keys, "id", "vec", "weight", F.xxhash64(F.lit(seed), "id").alias("h"))
@@ -101,7 +105,7 @@ def kmeans_grid(distinct: DataFrame, keys, restarts: int = RESTARTS, seed: int =
         fields(points, keys), restart="integer", k="integer", c="integer", centre="array<double>", inertia="double", converged="boolean"
     )
 
-    def sweep(rows: pa.Table) -> pa.Table:
+    def sweep(rows: pa.Table, given: pa.Table | None = None) -> pa.Table:
         rows = rows.sort_by("id")
         x, w = matrix(rows), floats(rows, "weight")
         scale = _Scale(w.sum(), np.abs(x).max(initial=0), x.shape[1])
@@ -110,10 +114,15 @@ def kmeans_grid(distinct: DataFrame, keys, restarts: int = RESTARTS, seed: int =
         mean = scale.moved(*centre_sums(parts, w, whole, 1), np.zeros((1, x.shape[1])))
         limit = scale.limit(scale.inertia(scale.costs(w, ((x - mean) ** 2).sum(axis=1), whole, 1)))
         best = {}
-        for restart in range(restarts):
-            seeds = _seeds(rows, restart)
-            for k in range(K_MIN, K_MAX + 1):
-                centres, converged = seeds[:k], False
+        for restart in range(restarts if given is None else 1):
+            if given is None:
+                seeds = _seeds(rows, restart)
+                begin = {k: seeds[:k] for k in range(K_MIN, K_MAX + 1)}
+            else:
+                k_of = given.column("k").to_numpy()
+                begin = {int(k): matrix(given.filter(pa.array(k_of == k)).sort_by("c"), "centre") for k in np.unique(k_of)}
+            for k, centres in begin.items():
+                converged = False
                 for _ in range(steps):
                     at, _ = closest_centres(x, centres)
                     moved = scale.moved(*centre_sums(parts, w, at, len(centres)), centres)
@@ -129,13 +138,26 @@ def kmeans_grid(distinct: DataFrame, keys, restarts: int = RESTARTS, seed: int =
         return _centre_rows(rows, keys, list(best.values()))
 
     small, large, sizes = split_large(points, keys, block)
-    result = grouped(small, keys).applyInArrow(sweep, schema)
+    if starts is None:
+        result = grouped(small, keys).applyInArrow(lambda rows: sweep(rows), schema)
+    else:
+        starts = starts.select(*keys, F.col("k").cast("int").alias("k"), F.col("c").cast("int").alias("c"), "centre")
+        both = cogrouped(small, starts, keys)
+        empty = lambda given: given.slice(0, 0).select(keys)
+        result = both.applyInArrow(lambda rows, given: sweep(rows, given) if rows.num_rows and given.num_rows else _no_centres(empty(given)), schema)
     if large is None:
         return result
-    return result.unionByName(_large_grid(large, sizes, keys, restarts, schema, steps))
+    return result.unionByName(_large_grid(large, sizes, keys, restarts, schema, steps, starts))
 
 
-def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema, steps: int) -> DataFrame:
+def _no_centres(none: pa.Table) -> pa.Table:
+    kinds = {"restart": pa.int32(), "k": pa.int32(), "c": pa.int32(), "centre": pa.list_(pa.float64()), "inertia": pa.float64(), "converged": pa.bool_()}
+    for name, kind in kinds.items():
+        none = none.append_column(name, pa.array([], kind))
+    return none
+
+
+def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema, steps: int, starts: DataFrame | None) -> DataFrame:
     blocks = F.ceil(F.col("n") / F.col("lim")).cast("int")
     here = [*keys, "blk"]
     stats = points.groupBy(*keys).agg(
@@ -198,7 +220,12 @@ def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema
         *keys, F.lit(0).alias("restart"), F.lit(1).alias("k"), F.lit(0).alias("c"), F.transform("centre", lambda v: v * 0.0).alias("centre")
     )
     limits = cut(advance(cut(advance(cut(middle)))).select(*keys, F.col("limit").alias("most")))
-    moving, settled = cut(_large_seeds(placed, copies, keys, restarts)), None
+    if starts is None:
+        moving = cut(_large_seeds(placed, copies, keys, restarts))
+    else:
+        mine = starts.join(counts.select(*keys), keys, "left_semi")
+        moving = cut(mine.select(*keys, F.lit(0).alias("restart"), "k", "c", "centre"))
+    settled = None
     for _ in range(steps):
         stepped = cut(
             advance(moving).join(limits, keys).select(*run, "c", "centre", (F.col("shift") <= F.col("most")).alias("converged"))

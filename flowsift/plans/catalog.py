@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators import cells, clean, density, elbow, features as ft, kmeans, lof, outliers, ports, vectors as vc, ward
 from ..session import cut
@@ -282,6 +282,63 @@ def q_ward_clusters(spark, sf):
     return ward.ward_clusters(unique, cut(kmeans.choose_k(grid, GROUP)), GROUP)
 
 
+def q_nn_distance_blocks(spark, sf):
+    """As nn_distance, with groups of more than 32 vectors cut into cells."""
+    scaled, unique = daily_distinct(spark, sf)
+    near = density.nearest_distances(unique, GROUP, 32, digits=9)
+    return vc.members(scaled, unique).join(near, [*GROUP, "id"]).select(*GROUP, "entity", "d")
+
+
+def q_density_clusters_blocks(spark, sf):
+    """As density_clusters, with groups of more than 32 vectors cut into cells."""
+    return daily_clusters(spark, sf, replace(DAILY, block=32)).labels.select(*GROUP, "entity", "cluster")
+
+
+GIVEN_K = (3, 6)
+
+
+def _given(spark, sf, block=cells.BLOCK):
+    """K-means that starts from the first vectors of each group by id."""
+    unique = daily_distinct(spark, sf)[1]
+    order = F.row_number().over(W.partitionBy(*GROUP).orderBy("id")) - 1
+    first = unique.select(*GROUP, F.col("vec").alias("centre"), order.alias("c")).filter(F.col("c") < max(GIVEN_K))
+    ks = F.explode(F.array(*[F.lit(k) for k in GIVEN_K])).alias("k")
+    starts = cut(first.select(*GROUP, ks, "c", "centre").filter("c < k"))
+    return unique, cut(kmeans.kmeans_grid(unique, GROUP, block=block, starts=starts))
+
+
+def q_kmeans_given_inertia(spark, sf):
+    return rounded(kmeans.inertia_curve(_given(spark, sf)[1], GROUP), 6, "inertia")
+
+
+def q_kmeans_given_inertia_blocks(spark, sf):
+    """The same, with groups of more than 32 vectors spread over blocks."""
+    return rounded(kmeans.inertia_curve(_given(spark, sf, 32)[1], GROUP), 6, "inertia")
+
+
+def _given_labels(spark, sf):
+    unique, grid = _given(spark, sf)
+    chosen = unique.select(*GROUP).distinct().withColumn("k", F.lit(max(GIVEN_K)))
+    return unique, kmeans.kmeans_labels(unique, grid, chosen, GROUP)
+
+
+def q_kmeans_given_labels(spark, sf):
+    return _given_labels(spark, sf)[1]
+
+
+def q_kmeans_given_profile(spark, sf):
+    unique, labels = _given_labels(spark, sf)
+    return rounded(kmeans.cluster_profile(unique.join(labels, [*GROUP, "id"]), GROUP), 6, "mean")
+
+
+PORTED = pl.Settings(method=0, minutes=(DAY_MINUTES // 2, DAY_MINUTES), digits=9, algorithms=("dbscan",))
+
+
+def q_pipeline_density_scores(spark, sf):
+    """The whole job over two window lengths, with port features, by density alone."""
+    return rounded(pl.detect(event_flows(spark, sf), truth(spark, sf), PORTED).scores, 6, "accuracy", "precision", "recall", "f1", "max_score")
+
+
 def q_pipeline_scores(spark, sf):
     return pl.detect(event_flows(spark, sf), truth(spark, sf), FULL).scores
 
@@ -402,15 +459,50 @@ LOF_CTES = [
     *LABEL_CTES,
     *lof_sql(f"SELECT {K4}, entity AS id, raw AS vec FROM raw_vec SEMI JOIN noise USING ({K4}, entity)", K4),
 ]
+G4 = K4.split(", ")
+
+
+def same_group(*names: str) -> str:
+    """That rows of the named tables are of one group."""
+    return " AND ".join(f"{names[0]}.{c} = {n}.{c}" for n in names[1:] for c in G4)
+
+
+GIVEN_CTES = [
+    *VECTOR_CTES,
+    ("vec", f"SELECT {K4}, entity, list(value ORDER BY feature) AS vec FROM scaled GROUP BY ALL"),
+    ("uniq", f"SELECT {K4}, vec, MIN(entity) AS id, CAST(COUNT(*) AS DOUBLE) AS weight FROM vec GROUP BY ALL"),
+    ("most", f"SELECT {K4}, 1e-4 * AVG(v) AS most FROM (SELECT {K4}, feature, VAR_POP(value) AS v FROM scaled GROUP BY ALL) GROUP BY ALL"),
+    ("ordered", f"SELECT *, ROW_NUMBER() OVER (PARTITION BY {K4} ORDER BY id) - 1 AS c FROM uniq"),
+    ("lloyd", f"""SELECT 0 AS step, {K4}, k, c, vec AS centre, true AS moves
+        FROM ordered JOIN (VALUES {", ".join(f"({k})" for k in GIVEN_K)}) t(k) ON c < k
+      UNION ALL
+      SELECT step + 1, {K4}, k, c, new, SUM(list_distance(centre, new) * list_distance(centre, new)) OVER (PARTITION BY {K4}, k) > most
+      FROM (SELECT l.*, COALESCE(m.new, l.centre) AS new FROM lloyd l LEFT JOIN (
+          SELECT {K4}, k, c, list(mean ORDER BY feature) AS new FROM (
+            SELECT {K4}, k, c, feature, SUM(weight * value) / SUM(weight) AS mean FROM (
+              SELECT {", ".join(f"n.{c}" for c in G4)}, k, place.c AS c, weight, unnest(vec) AS value, unnest(range(len(vec))) AS feature FROM (
+                SELECT {", ".join(f"u.{c}" for c in G4)}, k, u.vec, u.weight, MIN({{'d': ROUND(list_distance(u.vec, z.centre), 12), 'c': z.c}}) AS place
+                FROM lloyd z JOIN uniq u ON {same_group("z", "u")} WHERE z.moves GROUP BY ALL) n)
+            GROUP BY ALL) GROUP BY ALL) m
+          ON {same_group("l", "m")} AND l.k = m.k AND l.c = m.c WHERE l.moves) JOIN most USING ({K4})"""),
+    ("settled", f"SELECT * FROM lloyd WHERE NOT moves"),
+    ("placed", f"""SELECT {", ".join(f"u.{c}" for c in G4)}, k, id, u.vec, weight,
+       MIN({{'d': ROUND(list_distance(u.vec, z.centre), 12), 'c': z.c}}) AS place, MIN(list_distance(u.vec, z.centre)) AS d
+       FROM settled z JOIN uniq u ON {same_group("z", "u")} GROUP BY ALL"""),
+    ("profile_cell", f"""SELECT {K4}, CAST(place.c AS INT) AS cluster, weight, unnest(vec) AS value, CAST(unnest(range(len(vec))) AS INT) AS feature
+       FROM placed WHERE k = {max(GIVEN_K)}"""),
+    ("cluster_mean", f"SELECT {K4}, cluster, feature, SUM(weight * value) / SUM(weight) AS mean FROM profile_cell GROUP BY ALL"),
+]
+GIVEN_INERTIA = _with(*GIVEN_CTES, final=f"SELECT {K4}, CAST(k AS INT) AS k, ROUND(SUM(weight * d * d), 6) AS inertia FROM placed GROUP BY ALL")
 EMBEDDING_POINTS = (
     "SELECT 0 AS g, CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings"
 )
 
 
-def confusion_sql(mode: str) -> str:
+def confusion_sql(mode: str, ctes=None) -> str:
     fn = "0" if mode == "reference" else "present - hits"
     return _with(
-        *LOF_CTES,
+        *(ctes or LOF_CTES),
         ("total", f"""SELECT {K4}, algorithm, CAST(SUM(size) AS BIGINT) AS entities,
            CAST(SUM(CASE WHEN outlier THEN size ELSE 0 END) AS BIGINT) AS flagged FROM sized GROUP BY ALL"""),
         ("hit", f"""SELECT {K4}, role, algorithm, COUNT(*) AS present,
@@ -498,6 +590,30 @@ WIDE_CELLS = ", ".join(
 )
 SIZES = [1800, 3600, 86400]
 
+
+def ported_ctes() -> list[tuple[str, str]]:
+    """LOF_CTES over two window lengths, with the port features behind the others."""
+    ports = [22, 25, 80, 194]
+    wide = ", ".join(
+        f"COALESCE(SUM(value) FILTER (feature = '{p}{s}'), 0.0) AS f{p}{s}" for p in ports for _, _, s, _ in PORT_BLOCKS
+    )
+    columns = [*(f"CAST({c} AS DOUBLE)" for c in ft.SET_A), *(f"COALESCE(f{p}{s}, 0.0)" for p in ports for _, _, s, _ in PORT_BLOCKS)]
+    changed = {
+        "w": " UNION ALL ".join(windowed(60 * m) for m in PORTED.minutes),
+        "raw_vec": f"""SELECT {K4}, entity, [{", ".join(columns)}] AS raw
+           FROM viewed SEMI JOIN populated USING ({K4}) LEFT JOIN wide_ports USING ({K3}, entity)""",
+        "cell": f"SELECT {K4}, entity, unnest(range({len(columns)})) AS feature, unnest(raw) AS v FROM raw_vec",
+    }
+    before = {
+        "raw_vec": [
+            ("chosen", "SELECT day, unnest([80, 194, 25, 22]) AS port FROM (SELECT DISTINCT day FROM flows)"),
+            ("port_cells", PORT_LONG),
+            ("wide_ports", f"SELECT {K3}, entity, {wide} FROM port_cells GROUP BY {K3}, entity"),
+        ],
+    }
+    return [x for name, text in LOF_CTES for x in [*before.get(name, []), (name, changed.get(name, text))]]
+
+
 ORACLES = {
     "clean_flows": _with(
         FLOWS, ("dirty", DIRTY_SQL),
@@ -579,6 +695,19 @@ ORACLES = {
         final=f"""SELECT {", ".join(f"lof.{c}" for c in K4.split(", "))}, role, id AS entity, ROUND(score, 6) AS score
           FROM lof JOIN truth ON lof.day = truth.day AND id = ip""",
     ),
+    "nn_distance_blocks": _with(*NEAR_CTES, final=f"SELECT {K4}, entity, d FROM near"),
+    "density_clusters_blocks": _with(*LABEL_CTES, final=f"SELECT {K4}, entity, cluster FROM label"),
+    "kmeans_given_inertia": GIVEN_INERTIA,
+    "kmeans_given_inertia_blocks": GIVEN_INERTIA,
+    "kmeans_given_labels": _with(
+        *GIVEN_CTES, final=f"SELECT {K4}, id, CAST(place.c AS INT) AS cluster FROM placed WHERE k = {max(GIVEN_K)}"
+    ),
+    "kmeans_given_profile": _with(
+        *GIVEN_CTES,
+        final=f"""SELECT {K4}, cluster, feature, ROUND(mean, 6) AS mean FROM cluster_mean
+          SEMI JOIN (SELECT {K4}, feature FROM cluster_mean WHERE mean > 0.2) USING ({K4}, feature)""",
+    ),
+    "pipeline_density_scores": confusion_sql("standard", ported_ctes()),
     "embedding_neighbors": _with(
         ("p", EMBEDDING_POINTS),
         final="""SELECT a.id AS id, ROUND(list_distance(a.vec, b.vec), 6) AS d FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id
