@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.components import connected
 from ..session import cut
-from .tables import fresh
+from .tables import by_ids, fresh
 from .words import ODD, chunks, distinct, find_words, mix, seeds, shingles
 
 EMPTY_SLOT = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -147,7 +147,7 @@ def shingle_sets(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; only their documents' texts are read again."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id", "left_semi")
+    wanted = by_ids(docs.select("doc_id", "text"), ends)
     sets = cut(shingle_sets(wanted, cfg)).hint("merge")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")), "b"
@@ -253,7 +253,7 @@ def _crowd_links(docs: DataFrame, rows: DataFrame, cfg: NearDup) -> DataFrame:
     threshold would make a pair for each two of them; here no pair is written.
     """
     ends = rows.select("doc_id").distinct()
-    wanted = docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id", "left_semi")
+    wanted = by_ids(docs.select("doc_id", "text"), ends)
     sets = cut(shingle_sets(wanted, cfg))
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / cfg.block).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -365,7 +365,7 @@ def keep_one(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
     twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select("doc_id")
     ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select("doc_id")
     repeated = cut(twice.unionByName(ids).distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = by_ids(docs, gone, "left_anti")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))

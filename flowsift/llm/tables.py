@@ -15,6 +15,20 @@ def wide_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Ids that may be sent to all executors; as a hash table some 150 MB.
+FEW_IDS = 1 << 22
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """`rows` with a `doc_id` that is in the one column of `ids`, or with `how="left_anti"` those without.
+
+    Up to FEW_IDS ids, counted first, go to the rows, so that no text moves; more are
+    joined by a shuffle of both sides.
+    """
+    ids = cut(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids.hint("merge"), "doc_id", how)
+
+
 def spread_ranks(df: DataFrame, keys, by, rows_per_block: int = 4096) -> DataFrame:
     """`df` with `_rank`, gapless from 0 within each value of `keys`, in no given order.
 
