@@ -12,8 +12,10 @@ number of documents; nothing else comes to the driver.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+import zlib
 from array import array
 from dataclasses import dataclass
 
@@ -94,11 +96,12 @@ def byte_signs() -> dict:
     return signs
 
 
-def token_pieces(docs: DataFrame, definition: str, cfg: Packing = Packing()) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids): every document's ids, cut every `tokens` ids.
+def token_pieces(docs: DataFrame, definition: str, cfg: Packing = Packing(), kind: str = "<u4") -> DataFrame:
+    """(doc_id, start, length, doc_tokens, ids_crc32, ids): every document's ids, cut every `tokens` ids.
 
     `definition` is the tokenizer's JSON. A null text counts as empty; every document
-    ends with `end_id`, so each has a piece. `ids` are little-endian unsigned 32-bit.
+    ends with `end_id`, so each has a piece. `ids` are of type `kind`; the check sum is
+    always that of little-endian unsigned 32-bit ids.
     """
     shared = docs.sparkSession.sparkContext.broadcast(definition)
     end = np.array([cfg.end_id], "<u4").tobytes()
@@ -111,21 +114,44 @@ def token_pieces(docs: DataFrame, definition: str, cfg: Packing = Packing()) ->
         width = 4 * cfg.tokens
         for batch in batches:
             for first, last, _, _ in chunks(batch.column(1)):
-                doc, start, length, total, ids = [], [], [], [], []
+                doc, start, length, total, sums, ids = [], [], [], [], [], []
                 for row, text in enumerate(batch.column(1).slice(first, last - first).to_pylist(), first):
                     coded = tokenizer.encode(text or "") + end
                     parts = [coded[i : i + width] for i in range(0, len(coded), width)]
-                    ids += parts
+                    ids += parts if kind == "<u4" else [np.frombuffer(p, "<u4").astype(kind).tobytes() for p in parts]
+                    sums += [zlib.crc32(p) for p in parts]
                     length += [len(p) // 4 for p in parts]
                     start += range(0, len(coded) // 4, cfg.tokens)
                     doc += [row] * len(parts)
                     total += [len(coded) // 4] * len(parts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc)), *(pa.array(a, pa.int64()) for a in (start, length, total)), pa.array(ids, pa.binary())],
-                    ["doc_id", "start", "length", "doc_tokens", "ids"],
+                    [batch.column(0).take(pa.array(doc)), *(pa.array(a, pa.int64()) for a in (start, length, total, sums)), pa.array(ids, pa.binary())],
+                    ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary")
+
+
+def narrow_kind(definition: str) -> str:
+    """The smaller of two number types that holds every id of a tokenizer."""
+    parts = json.loads(definition)
+    ids = [*parts["model"]["vocab"].values(), *(t["id"] for t in parts.get("added_tokens") or [])]
+    return "<u2" if max(ids, default=0) < 1 << 16 else "<u4"
+
+
+def widened(packed: DataFrame, kind: str) -> DataFrame:
+    """`packed` with its ids of type `kind` as unsigned 32-bit ones."""
+    if kind == "<u4":
+        return packed
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("ids")
+            ids = [np.frombuffer(b, kind).astype("<u4").tobytes() for b in batch.column(at).to_pylist()]
+            columns = [pa.array(ids, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return packed.mapInArrow(run, packed.schema)
 
 
 def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -236,14 +262,15 @@ def pack(docs: DataFrame, definition: str, cfg: Packing = Packing(), with_ids: b
     their own. A sequence holds at most `tokens` ids; ties are broken by the order of reading.
     An empty table gives an empty result.
     """
-    pieces = token_pieces(docs, definition, cfg).withColumn("ids_crc32", F.crc32("ids"))
+    kind = narrow_kind(definition) if with_ids else "<u4"
+    pieces = token_pieces(docs, definition, cfg, kind)
     pieces = cut((pieces if with_ids else pieces.drop("ids")).withColumn("piece", F.monotonically_increasing_id()))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     placed = place(pieces.drop("ids"), cfg)
     if not with_ids:
         return placed.select(*columns)
-    # only now do the ids travel, once
-    return placed.hint("merge").join(pieces.select("piece", "ids"), "piece").select(*columns, "ids")
+    # only now do the ids travel, once and in as few bytes as they need
+    return widened(placed.hint("merge").join(pieces.select("piece", "ids"), "piece").select(*columns, "ids"), kind)
 
 
 def sequences(packed: DataFrame, cfg: Packing = Packing()) -> DataFrame:
