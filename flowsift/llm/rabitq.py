@@ -241,19 +241,29 @@ def embedding_duplicates(vectors: DataFrame, cfg: EmbeddingDup = EmbeddingDup())
     zero vectors, those with null or non-finite components, and those with a null id
     link with nothing (the component of a null id is null). Vectors of different lengths
     never link. Rows with equal id and vector count once; an id with several vectors has
-    a row for each and its links are those of all of them. An empty table gives an
-    empty result.
+    a row for each, with that vector's own links, and belongs to one component through all of them. An
+    empty table gives an empty result.
     """
     good = cut(usable(vectors).distinct())
     reps = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
-    reps = cut(reps.join(good, ["h1", "h2", "vec_id"]))
+    reps = cut(reps.join(good, ["h1", "h2", "vec_id"]).withColumn("rep", F.monotonically_increasing_id()))
     bits, count = bands(reps.count(), cfg)
-    coded = cut(codes(reps, bits, count, cfg))
+    # vectors are compared under numbers of their own: an id may have several
+    numbered = reps.drop("vec_id").withColumnRenamed("rep", "vec_id").select(*[c for c in reps.columns if c != "rep"])
+    coded = cut(codes(numbered, bits, count, cfg))
     found = compare_buckets(coded, cfg)
-    links = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
-    roots = connected(found.filter("b IS NOT NULL").select("a", "b"), []).withColumnRenamed("id", "vec_id")
+    links = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    names = reps.select("rep", "vec_id")
+    edges = found.filter("b IS NOT NULL").select("a", "b")
+    for end in ("a", "b"):
+        edges = edges.join(names.withColumnsRenamed({"rep": end, "vec_id": f"{end}_id"}), end)
+    edges = edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    several = good.groupBy("vec_id").agg(F.count("*").alias("m")).filter("m > 1").select("vec_id")
+    theirs = good.select("h1", "h2", "vec_id").join(several, "vec_id", "left_semi").withColumnRenamed("vec_id", "a")
+    edges = edges.unionByName(theirs.join(reps.select("h1", "h2", F.col("vec_id").alias("b")), ["h1", "h2"]).select("a", "b"))
+    roots = connected(edges, []).withColumnRenamed("id", "vec_id")
     total = (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")
-    named = reps.join(links, "vec_id", "left").join(roots, "vec_id", "left")
+    named = reps.join(links, "rep", "left").join(roots, "vec_id", "left")
     named = named.select("h1", "h2", total, F.coalesce("root", "vec_id").alias("root"))
     linked = good.join(named, ["h1", "h2"]).select("vec_id", "n_links", F.col("root").alias("component_id"))
     other = vectors.select("vec_id").join(good.select("vec_id"), "vec_id", "left_anti").distinct()

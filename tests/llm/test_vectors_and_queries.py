@@ -38,6 +38,19 @@ def test_embeddings_equal_brute_force(spark, block):
     assert got == brute(rows)
 
 
+def test_an_id_with_several_vectors(spark):
+    """A row for each of its vectors with that vector's links, one component through all, and no neighbour counted twice."""
+    rng = np.random.default_rng(5)
+    one, two = rng.normal(size=(2, 24))
+    near = lambda v: [float(c) for c in v + rng.normal(0, 0.01, 24)]
+    rows = [(i, near(one)) for i in range(1, 42)] + [(7, near(one))]
+    rows += [(50, near(two)), (51, near(two)), (41, near(two)), (60, [float(c) for c in -one]), (61, [float(c) for c in -one]), (61, [float(c) for c in -two])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in rabitq.embedding_duplicates(df.repartition(5)).collect())
+    want = [(i, 41, 1) for i in range(1, 42)] + [(7, 41, 1), (41, 2, 1), (50, 2, 1), (51, 2, 1), (60, 1, 60), (61, 0, 60), (61, 1, 60)]
+    assert got == sorted(want)
+
+
 def test_embeddings_of_an_empty_table(spark):
     assert rabitq.embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
