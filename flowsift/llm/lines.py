@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .tables import fresh
+from .tables import fresh, wide_partitions
 
 
 @dataclass(frozen=True)
@@ -41,15 +41,31 @@ PLACE = ["doc_id", "line_no", "text_hash"]
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, text_hash, line): what stands between newlines."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, line_no, text_hash, line): what stands between newlines, all other white space as spaces.
+
+    White space is replaced once per text; plain searches are far cheaper here than a pattern.
+    """
+    text = F.col("text")
+    for other in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(other), F.lit(" "))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
 def words_of(line: Column) -> Column:
-    """The words of a line, divided by ASCII white space; plain text searches are far cheaper here than a pattern."""
-    for other in "\t\x0b\x0c\r":
-        line = F.replace(line, F.lit(other), F.lit(" "))
-    return F.array_remove(F.split(line, " "), "")
+    """The words of a line with one space between them; only lines with double spaces are taken apart."""
+    apart = F.array_join(F.array_remove(F.split(line, " "), ""), " ")
+    return F.when(F.contains(line, F.lit("  ")), apart).otherwise(F.trim(line))
+
+
+def _count(words: Column) -> Column:
+    """How many words there are in a text of words with one space between them."""
+    gaps = F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
+    return F.when(words == "", F.lit(0)).otherwise(gaps + 1)
+
+
+def _first(words: Column, k: Column) -> Column:
+    """The first `k` words; the last ones if `k` is below 0."""
+    return F.call_function("substring_index", words, F.lit(" "), k)
 
 
 def _hash(words: Column, own: Column | None = None) -> Column:
@@ -67,13 +83,13 @@ def hashed(docs: DataFrame, cfg: LineDedup) -> DataFrame:
     has w words the halves have (w - 1) div 2 words each. A line is the longer one or a
     word shorter, so it has two pairs of halves.
     """
-    lines = split_lines(docs).select(*PLACE, words_of(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
+    lines = split_lines(docs).select(*PLACE, words_of(F.col("line")).alias("words")).withColumn("n", _count(F.col("words"))).filter("n > 0")
     own = F.when(F.col("n") < cfg.min_words, F.xxhash64("doc_id", "text_hash")).otherwise(F.lit(0).cast("long"))
     halves = []
     for more in (0, 1):
         w = F.col("n") + more
         k = F.floor((w - 1) / 2).cast("int")
-        halves += [F.xxhash64(w, F.lit(1), F.slice("words", F.lit(1), k)), F.xxhash64(w, F.lit(2), F.slice("words", F.col("n") - k + 1, k))]
+        halves += [F.xxhash64(w, F.lit(1), _first(F.col("words"), k)), F.xxhash64(w, F.lit(2), _first(F.col("words"), -k))]
     near = F.col("n") >= cfg.near_words
     return lines.select(
         *PLACE, "n", _hash(F.col("words"), own).alias("h"), F.xxhash64(F.lit(7), "words", own).alias("h2"),
@@ -114,7 +130,7 @@ def marked(df: DataFrame, key: Column, bits: DataFrame, name: str, cfg: LineDedu
 
 def _without(words: Column, at: Column) -> Column:
     """`words` without the one at `at`, counted from 0."""
-    return F.concat(F.slice(words, F.lit(1), at), F.slice(words, at + 2, F.size(words)))
+    return F.trim(F.concat(_first(words, at), F.lit(" "), _first(words, at + 1 - _count(words))))
 
 
 def meeting(gone: DataFrame, whole: DataFrame, cfg: LineDedup) -> DataFrame:
@@ -163,7 +179,8 @@ def dropped_lines(docs: DataFrame, cfg: LineDedup = LineDedup()) -> DataFrame:
     at_spot = split_lines(docs).withColumn("spot", _spot())
     held = marked(at_spot, F.col("spot"), bitmap(some, F.col("spot"), cfg), "held", cfg).filter("held")
     held = held.select("spot", words_of(F.col("line")).alias("words"))
-    expanded = cut(some.join(held.hint("merge"), "spot").dropDuplicates(["spot"]).drop("spot"))
+    expanded = some.join(held.hint("merge"), "spot").dropDuplicates(["spot"]).drop("spot")
+    expanded = cut(expanded.repartition(wide_partitions(docs.sparkSession), "h"))  # few lines, but many deletions
     near = cut(near_earlier(expanded, cfg))
     over = unique.join(near.withColumn("near", F.lit(True)), "h", "left").filter("rows > 1 OR near")
     over = cut(over.select("h", "h2", "place", F.coalesce("near", F.lit(False)).alias("near")))
@@ -173,8 +190,8 @@ def dropped_lines(docs: DataFrame, cfg: LineDedup = LineDedup()) -> DataFrame:
     return cut(late.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("drops")))
 
 
-def dedup_lines(docs: DataFrame, cfg: LineDedup = LineDedup()) -> DataFrame:
-    """`docs` with shorter texts, and columns lines_before and lines_dropped.
+def dedup_lines(docs: DataFrame, cfg: LineDedup = LineDedup(), before: str = "lines_before", dropped: str = "lines_dropped") -> DataFrame:
+    """`docs` with shorter texts, and two more columns, the numbers of lines there were and that went.
 
     A line is what stands between newlines; its words are divided by ASCII white space.
     Lines of `min_words` words or more go if an equal line, or for `near_words` or more
@@ -182,9 +199,11 @@ def dedup_lines(docs: DataFrame, cfg: LineDedup = LineDedup()) -> DataFrame:
     only as repeats within their document. Blank lines stay. A null text stays null and
     an empty one empty, both without lines. Rows with the same id and text are one
     document and are treated alike; a null id comes before all others. All other
-    columns are kept as they are, whatever their names; an empty table gives an empty
-    one.
+    columns are kept as they are, whatever their names: if `docs` has a column `before`
+    or `dropped`, the new one's name gets underscores at its end. An empty table gives
+    an empty one.
     """
+    before, dropped = fresh(docs, before), fresh(docs, dropped)
     drops = dropped_lines(docs, cfg)
     key, seen, own = fresh(docs, "text_hash"), fresh(docs, "seen"), fresh(docs, "row_id")
     keyed = docs.withColumn(key, F.xxhash64("text"))
@@ -194,16 +213,19 @@ def dedup_lines(docs: DataFrame, cfg: LineDedup = LineDedup()) -> DataFrame:
     hit = flagged.filter(F.col(seen)).join(
         gone.hint("merge"), (F.col(key) == F.col(key + "_")) & F.col("doc_id").eqNullSafe(F.col(own)), "left"
     )
-    parts = F.split("text", "\n")
-    lines = F.when(F.coalesce("text", F.lit("")) == "", F.lit(0)).otherwise(F.size(parts))
+    none = F.coalesce("text", F.lit("")) == ""
+    # the text is split once per row, not once per line
+    parts = own + "_parts"
+    hit = hit.withColumn(parts, F.split("text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(key + "_drops"))
-    hit = hit.withColumn(own + "_lines", lines)
+    hit = hit.withColumn(own + "_lines", F.when(none, F.lit(0)).otherwise(F.size(parts)))
     text = F.when(F.col(key + "_drops").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(F.split(F.col("text"), "\n"), i)), "\n")
+        F.array_join(F.transform(stay, lambda i: F.get(F.col(parts), i)), "\n")
     )
-    kept = [c for c in docs.columns if c not in ("lines_before", "lines_dropped")]
     short = hit.withColumn("text", text).select(
-        *kept, F.col(own + "_lines").alias("lines_before"), F.coalesce(F.size(key + "_drops"), F.lit(0)).alias("lines_dropped")
+        *docs.columns, F.col(own + "_lines").alias(before), F.coalesce(F.size(key + "_drops"), F.lit(0)).alias(dropped)
     )
-    same = flagged.filter(~F.col(seen)).select(*kept, lines.alias("lines_before"), F.lit(0).alias("lines_dropped"))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    count = F.when(none, F.lit(0)).otherwise(ends + 1)
+    same = flagged.filter(~F.col(seen)).select(*docs.columns, count.alias(before), F.lit(0).alias(dropped))
     return short.unionByName(same)

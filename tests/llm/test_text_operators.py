@@ -145,6 +145,20 @@ def test_lines_equal_brute_force(spark):
     assert got == Counter((i, s) for j, u in rows for i, t, s in brute_lines(rows) if (i, t) == (j, u))
 
 
+def test_line_counts_leave_columns_of_the_same_name(spark):
+    rows = [(1, "a b c d e f\nx", 777, 888), (2, "a b c d e f\n  a  b\tc d e f", 777, 888), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines_before long, Lines_Dropped long")
+    out = lines.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "lines_before_", "lines_dropped_"]
+    assert sorted(map(tuple, out.collect())) == [
+        (1, "a b c d e f\nx", 777, 888, 2, 0), (2, "", 777, 888, 2, 2), (3, None, None, None, 0, 0),
+    ]
+    import corpus_pipeline
+
+    kept = corpus_pipeline.line_dedup(spark, docs, "")
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f\nx", 777, 888), (3, None, None, None)]
+
+
 def test_decontamination_finds_edited_copies_only(spark):
     rng = random.Random(1)
     items = [(i, " ".join(sentence(rng, 30, 3000))) for i in range(20)] + [(90, "too short"), (91, None), (92, "")]
