@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsift.llm import decontaminate, lines, minhash, packing, quality
 from flowsift.llm.queries import word_tokenizer
-from flowsift.llm.tables import table
+from flowsift.llm.tables import fresh, table
 from flowsift.session import ensure_checkpoint_dir
 
 
@@ -23,11 +23,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat earlier ones go, and documents of which nothing but white space is left by that."""
-    short = lines.dedup_lines(docs)
-    left = (F.col("lines_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    dropped = fresh(docs, "lines_dropped")
+    short = lines.dedup_lines(docs, dropped=dropped)
+    left = (F.col(dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     out = short.filter(F.coalesce(left, F.lit(True)))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("lines_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        changed = F.when(F.col(dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", F.coalesce(changed, "n_chars"))
     return out.select(*docs.columns)
 
