@@ -83,9 +83,14 @@ def dynamic_ports(flows: DataFrame, x: int = 100, below: int = RARE_BELOW) -> Da
     )
 
 
-def choose_ports(flows: DataFrame, method: int = 1, x: int = 100) -> DataFrame:
-    """(day, port) for feature method 0, 1 or 2."""
+def choose_ports(flows: DataFrame, method: int = 1, x: int = 100, calendar: DataFrame | None = None) -> DataFrame:
+    """(day, port) for feature method 0, 1 or 2.
+
+    The fixed lists of methods 0 and 2 go to the days of `calendar`; without one the
+    days are looked up in the flows, which reads that column of all of them.
+    """
     if method == 1:
         return dynamic_ports(flows, x)
     listed = F.array(*[F.lit(p) for p in STATIC_PORTS[method]])
-    return flows.select("day").distinct().select("day", F.explode(listed).alias("port"))
+    days = flows if calendar is None else calendar
+    return days.select("day").distinct().select("day", F.explode(listed).alias("port"))

@@ -19,6 +19,7 @@ from ..operators.ports import choose_ports
 from ..operators.vectors import GROUP, MIN_ENTITIES, distinct_vectors, keep_populated, members, min_max, raw_vectors
 from ..operators.ward import ward_clusters
 from ..session import cut
+from ..sources.flows import FEATURE_KEYS
 
 
 @dataclass
@@ -83,9 +84,9 @@ class Detection:
     known_scores: DataFrame
 
 
-def build_features(flows: DataFrame, s: Settings = Settings()) -> Features:
+def build_features(flows: DataFrame, s: Settings = Settings(), calendar: DataFrame | None = None) -> Features:
     """Ports are chosen from all flows of a day, profiles from internal flows."""
-    ports = cut(choose_ports(flows, s.method, s.x))
+    ports = cut(choose_ports(flows, s.method, s.x, calendar))
     profiles = cut(extract(internal_flows(flows), ports, s.method, list(s.minutes), s.origin, s.key))
     return Features(ports, keep_active(profiles, s.flows_column, s.min_flows))
 
@@ -109,8 +110,31 @@ def vectors_from_table(features: DataFrame, day: int, win_sec: int, win_start, s
     return keep_populated(rows, GROUP, s.min_entities)
 
 
-def cluster(raw: DataFrame, s: Settings = Settings(), keys=GROUP) -> Clusters:
-    """Clusters the vectors of every group with the chosen algorithms."""
+def vectors_from_tables(features: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(group, entity, raw) of all the windows of a table of wide features, as stored by `sinks.write_features`.
+
+    The table has day, win_sec and win_start; all other columns but the entity, its view
+    and role, the window's label and the file are features. Columns of ports that other
+    days have chosen are 0 throughout a group, so they leave distances as they are.
+    """
+    keys = {"entity", "day", "win_sec", "window", *FEATURE_KEYS}
+    names = [c for c in features.columns if c not in keys]
+    rows = features.select(
+        F.col("day").cast("int").alias("day"),
+        F.col("win_sec").cast("int").alias("win_sec"),
+        F.col("win_start").cast("timestamp_ntz").alias("win_start"),
+        view_of().alias("view"),
+        "entity",
+        F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in names]).alias("raw"),
+    )
+    return keep_populated(rows, GROUP, s.min_entities)
+
+
+def cluster(raw: DataFrame, s: Settings = Settings(), keys=GROUP, names: DataFrame | None = None) -> Clusters:
+    """Clusters the vectors of every group with the chosen algorithms.
+
+    With `names` (see `feature_names`) the profile names its features; otherwise it has their positions.
+    """
     keys = list(keys)
     vectors = cut(min_max(raw, keys))
     unique = cut(distinct_vectors(vectors, keys))
@@ -125,7 +149,7 @@ def cluster(raw: DataFrame, s: Settings = Settings(), keys=GROUP) -> Clusters:
         grid = cut(kmeans_grid(unique, keys, s.restarts, s.seed, s.block))
         chosen = cut(choose_k(grid, keys))
         by_id["kmeans"] = cut(kmeans_labels(unique, grid, chosen, keys, s.block))
-        profile = cluster_profile(unique.join(by_id["kmeans"], [*keys, "id"]), keys)
+        profile = cluster_profile(unique.join(by_id["kmeans"], [*keys, "id"]), keys, names)
     if "agglomerative" in s.algorithms:
         by_id["agglomerative"] = ward_clusters(unique, chosen, keys, s.block)
     long = None
@@ -155,12 +179,12 @@ def feature_names(features: Features, s: Settings = Settings()) -> DataFrame:
     return days.select("day", F.posexplode(F.concat(base, F.flatten(rank))).alias("feature", "name"))
 
 
-def detect(flows: DataFrame, truth: DataFrame, s: Settings = Settings()) -> Detection:
-    """Runs everything on typed flows with a `day`; `truth` is (day, role, ip)."""
+def detect(flows: DataFrame, truth: DataFrame, s: Settings = Settings(), calendar: DataFrame | None = None) -> Detection:
+    """Runs everything on typed flows with a `day`; `truth` is (day, role, ip), and `calendar` may give the days."""
     if not s.score_noise:
         raise ValueError("detect needs scored noise")
-    features = build_features(flows, s)
-    clusters = cluster(feature_vectors(features, s), s)
+    features = build_features(flows, s, calendar)
+    clusters = cluster(feature_vectors(features, s), s, names=feature_names(features, s))
     scores = evaluate(clusters.labels, truth, GROUP, s.mode)
     return Detection(
         features,

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Column names of the flow files, with our names and types.
@@ -23,22 +28,50 @@ RATE_COLUMNS = {
 }
 
 
+def header_catalogue(spark: SparkSession, path) -> dict[tuple[str, ...], list[str]]:
+    """header -> the files that have it. Of every file the first line is read; empty files are left out."""
+    files = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in spark.read.text(path).inputFiles()]
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda f: tuple(spark.read.option("header", True).csv(f).columns), files))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for header, file in sorted(zip(headers, files)):
+        if header:
+            found.setdefault(header, []).append(file)
+    return found
+
+
 def read_flow_csv(spark: SparkSession, path, columns=None) -> DataFrame:
     """Raw flows as text, plus the name of the file each row came from.
 
-    A CSV scan with a given schema matches by position, so the header of the
-    first file found supplies the column order; only names are read for that.
+    A CSV scan with a given schema matches by position, so files are grouped by their
+    headers and each group is one scan under its own. Files may differ in the order of
+    their columns and have others besides. A rate column that only some files have is
+    null in the others; a file without one of the other columns stops the read.
     """
-    header = spark.read.option("header", True).csv(path).limit(0).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
-    wanted = columns or [c for c in [*RAW_COLUMNS, *RATE_COLUMNS] if c in header]
-    return raw.select(*[F.col(f"`{c}`") for c in wanted], F.col("_metadata.file_name").alias("file"))
+    catalogue = header_catalogue(spark, path)
+    if not catalogue:
+        raise ValueError(f"no flow file with a header in {path}")
+    wanted = columns or [*RAW_COLUMNS, *(c for c in RATE_COLUMNS if any(c in header for header in catalogue))]
+    scans = []
+    for header, files in catalogue.items():
+        lacking = [c for c in wanted if c not in header and c not in RATE_COLUMNS]
+        if lacking:
+            raise ValueError(f"{files[0]} has no column {', '.join(lacking)}")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(files)
+        cells = [F.col(f"`{c}`") if c in header else F.lit(None).cast("string").alias(c) for c in wanted]
+        scans.append(raw.select(*cells, F.col("_metadata.file_name").alias("file")))
+    return reduce(DataFrame.unionByName, scans)
 
 
-def read_flow_parquet(spark: SparkSession, path) -> DataFrame:
-    """Flows already stored under our names and types."""
-    return spark.read.parquet(path)
+def read_flow_parquet(spark: SparkSession, path, calendar: DataFrame | None = None) -> DataFrame:
+    """Flows already stored under our names and types (see `sinks.write_flows`).
+
+    With a filtered `calendar` only the folders of its days are read: the days reach
+    the scan as a filter on partitions while the job runs.
+    """
+    flows = spark.read.parquet(path)
+    return flows if calendar is None else flows.join(calendar.select("day").distinct(), "day", "left_semi")
 
 
 FEATURE_KEYS = ("win_start", "view", "role", "file")

@@ -22,6 +22,11 @@ def _save(df: DataFrame, path: str, by, fmt: str, mode: str) -> None:
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 
+def write_flows(flows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Typed flows of capture days, one folder per day, so that later jobs parse no text and read their days only."""
+    _save(flows, path, ["day"], "parquet", mode)
+
+
 def write_features(features: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", hours: int = LABEL_OFFSET_HOURS) -> None:
     """Wide features (see `features.wide`) or profiles, one folder per day and window.
 
@@ -41,7 +46,7 @@ def write_labelled(found: DataFrame, path: str, fmt: str = "parquet", mode: str
 
 
 def write_profiles(profiles: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Mean scaled feature by cluster (see `kmeans.cluster_profile`)."""
+    """Mean scaled feature by cluster, under its name if the profile has it (see `kmeans.cluster_profile`)."""
     _save(with_label(profiles), path, ["day", "win_sec", "view"], fmt, mode)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from flowsift.plans import catalog, pipeline as pl
 from flowsift.plans.fixture import event_flows
 from flowsift.operators import clean, features as ft
-from flowsift.sources import sinks
+from flowsift.sources import flows, sinks
 from flowsift.sources.flows import read_feature_csv, read_flow_csv
 
 SF = "/root/testdata/sf0.001"
@@ -26,6 +26,62 @@ def test_flow_csv_round_trip(spark, tmp_path):
     assert back.exceptAll(clean.clean_flows(dirty)).isEmpty() and back.count() == clean.clean_flows(dirty).count()
 
 
+def test_flow_files_of_other_column_orders(spark, tmp_path):
+    cells = {
+        "Timestamp": "14/02/2018 10:00:00 AM", "Src IP": "172.31.0.1", "Dst IP": "8.8.8.8", "Src Port": "5", "Dst Port": "80",
+        "Tot Fwd Pkts": "1", "Tot Bwd Pkts": "2", "TotLen Fwd Pkts": "3.5", "TotLen Bwd Pkts": "4.5",
+    }
+    other = {"Flow ID": "x", **dict(reversed(cells.items())), "Protocol": "6", "Src Port": "7"}
+    for name, rows in (("a b.csv", cells), ("c[1].csv", other)):
+        (tmp_path / name).write_text(",".join(rows) + "\n" + ",".join(rows.values()) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    assert sorted(map(len, flows.header_catalogue(spark, str(tmp_path)))) == [9, 11]
+    got = {r.src_port: r for r in clean.clean_flows(read_flow_csv(spark, str(tmp_path))).collect()}
+    assert {(p, r.src_ip, r.dst_port, r.bwd_bytes, r.protocol) for p, r in got.items()} == {
+        (5, "172.31.0.1", 80, 4.5, 0), (7, "172.31.0.1", 80, 4.5, 6),
+    }
+    (tmp_path / "d.csv").write_text("Timestamp,Src IP\n1,2\n")
+    with pytest.raises(ValueError, match="Dst IP"):
+        read_flow_csv(spark, str(tmp_path))
+
+
+def test_stored_flows_are_pruned_by_day(spark, tmp_path):
+    typed = event_flows(spark, SF)
+    sinks.write_flows(typed, str(tmp_path / "flows"))
+    days = sorted(r.day for r in typed.select("day").distinct().collect())
+    calendar = spark.createDataFrame([(day, f"{day}.csv") for day in days], "day int, file string").filter(F.col("file") == f"{days[0]}.csv")
+    back = flows.read_flow_parquet(spark, str(tmp_path / "flows"), calendar)
+    assert "dynamicpruningexpression" in back._jdf.queryExecution().toString()
+    mine = typed.filter(F.col("day") == days[0])
+    assert back.count() == mine.count() > 0
+    assert back.select(*typed.columns).exceptAll(mine).isEmpty()
+    assert flows.read_flow_parquet(spark, str(tmp_path / "flows")).count() == typed.count()
+
+
+def test_fixed_ports_need_no_flows(spark):
+    none = spark.createDataFrame([], "day int")
+    calendar = spark.createDataFrame([(3, "x"), (3, "y")], "day int, file string")
+    got = pl.choose_ports(none, 0, calendar=calendar).collect()
+    assert sorted((r.day, r.port) for r in got) == [(3, p) for p in (22, 25, 80, 194)]
+
+
+def test_windows_of_stored_features_give_the_same_vectors(spark, tmp_path):
+    s = pl.Settings(method=1, x=9, minutes=(1440,), min_entities=12)
+    typed = event_flows(spark, SF)
+    features = pl.build_features(typed, s)
+    direct = pl.feature_vectors(features, s)
+    listed = sorted({r.port for r in features.ports.collect()})
+    sinks.write_features(ft.wide(features.profiles, list(s.base), listed, s.roles), str(tmp_path / "f"), "csv")
+    stored = pl.vectors_from_tables(read_feature_csv(spark, str(tmp_path / "f")), s)
+
+    def total(vectors):
+        return {(r.day, r.win_sec, r.win_start, r.view, r.entity): r.t for r in vectors.select(
+            "day", "win_sec", "win_start", "view", "entity", F.aggregate("raw", F.lit(0.0), lambda a, v: a + v).alias("t")).collect()}
+
+    mine, theirs = total(direct), total(stored)
+    assert mine and mine.keys() == theirs.keys() and all(abs(mine[k] - theirs[k]) <= 1e-9 * abs(mine[k]) for k in mine)
+
+
 def test_feature_csv_is_read_by_name(spark, tmp_path):
     (tmp_path / "f.csv").write_text(",SrcConnMade,T443SrcTo,Total\n172.31.0.1,3,4.5,1\n8.8.8.8,1,0,2\n")
     df = read_feature_csv(spark, str(tmp_path / "f.csv"))
@@ -94,6 +150,8 @@ def test_sinks(spark, detection, tmp_path):
     sinks.write_features(d.features.profiles, str(tmp_path / "profiles"))
     sinks.write_labels(d.clusters.labels, str(tmp_path / "labels"))
     sinks.write_labelled(d.found, str(tmp_path / "known"))
+    assert {r.feature for r in d.clusters.profile.select("feature").distinct().collect()} <= {
+        r.name for r in pl.feature_names(d.features, s).select("name").collect()}
     sinks.write_profiles(d.clusters.profile, str(tmp_path / "heat"))
     sinks.write_scores(d.scores, str(tmp_path / "scores"))
     assert spark.read.parquet(str(tmp_path / "labels")).count() == d.clusters.labels.count()
