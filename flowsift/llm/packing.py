@@ -216,10 +216,32 @@ def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, cfg: Packing) ->
     return used
 
 
-def place(pieces: DataFrame, cfg: Packing = Packing()) -> DataFrame:
-    """`pieces` (piece, length and others) with sequence_id and offset, gapless within a sequence.
+#: What tells the pieces of documents apart, but for repeated rows.
+ORDER = ["doc_id", "start", "ids_crc32", "doc_tokens"]
 
-    Pieces must not be longer than a sequence, `piece` must be unique and the table stored.
+
+def numbered_copies(pieces: DataFrame, same) -> DataFrame:
+    """`pieces` with `copy`: 0, and numbers from 0 among rows that are equal in columns `same`.
+
+    Equal rows may be a third of all; they are numbered in blocks. `piece` must be
+    unique and the table stored.
+    """
+    if "doc_id" in same:  # joins drop nulls
+        pieces = pieces.withColumn("_doc", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        same = ["_doc", *(c for c in same if c != "doc_id")]
+    repeated = cut(pieces.groupBy(*same).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
+    if repeated.isEmpty():
+        return pieces.withColumn("copy", F.lit(0).cast("long")).drop("_doc")
+    numbers = spread_ranks(pieces.join(repeated, same, "left_semi").select("piece", *same), same, ["piece"])
+    out = pieces.join(numbers.select("piece", F.col("_rank").alias("copy")), "piece", "left")
+    return out.withColumn("copy", F.coalesce("copy", F.lit(0).cast("long"))).drop("_doc")
+
+
+def place(pieces: DataFrame, cfg: Packing = Packing(), order=("piece",)) -> DataFrame:
+    """`pieces` (length and others) with sequence_id and offset, gapless within a sequence.
+
+    Pieces must not be longer than a sequence, and the table must be stored. The columns
+    `order` must be unique together; where a piece goes depends on its length and theirs alone.
     """
     classed = pieces.withColumn("_class", F.ceil(F.col("length") / cfg.step).cast("int"))
     counts = {r["_class"]: r["n"] for r in classed.groupBy("_class").agg(F.count("*").alias("n")).collect()}
@@ -234,7 +256,7 @@ def place(pieces: DataFrame, cfg: Packing = Packing()) -> DataFrame:
         first += times
     lookup = {c: np.array(s, np.int64).reshape(-1, 3) for c, s in spans.items()}
 
-    ranked = spread_ranks(classed, ["_class"], ["piece"])
+    ranked = spread_ranks(classed, ["_class"], order)
     names = [c for c in ranked.columns if c not in ("_class", "_rank")]
 
     def run(batches):
@@ -250,7 +272,7 @@ def place(pieces: DataFrame, cfg: Packing = Packing()) -> DataFrame:
 
     schema = ranked.select(*names).withColumn("sequence_id", F.lit(0).cast("long")).schema
     placed = ranked.mapInArrow(run, schema)
-    before = W.partitionBy("sequence_id").orderBy(F.desc("length"), "piece").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("sequence_id").orderBy(F.desc("length"), *order).rowsBetween(W.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
@@ -259,14 +281,15 @@ def pack(docs: DataFrame, definition: str, cfg: Packing = Packing(), with_ids: b
 
     Reads `doc_id` and `text`, so other columns may have any names. Null and empty
     texts are documents of the end id alone. Rows with equal ids are documents of
-    their own. A sequence holds at most `tokens` ids; ties are broken by the order of reading.
-    An empty table gives an empty result.
+    their own. A sequence holds at most `tokens` ids; equal choices are settled by id, start
+    and check sum, so the order of reading changes nothing. An empty table gives an empty result.
     """
     kind = narrow_kind(definition) if with_ids else "<u4"
     pieces = token_pieces(docs, definition, cfg, kind)
     pieces = cut((pieces if with_ids else pieces.drop("ids")).withColumn("piece", F.monotonically_increasing_id()))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    placed = place(pieces.drop("ids"), cfg)
+    told = cut(numbered_copies(pieces.drop("ids"), ORDER))
+    placed = place(told, cfg, [*ORDER, "copy"])
     if not with_ids:
         return placed.select(*columns)
     # only now do the ids travel, once and in as few bytes as they need
