@@ -229,8 +229,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, cfg: Quality = Quality(),
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cfg: Quality = Quality(), folds: int = 4, fold: int = 2) -> DataFrame:
-    """The rows of `docs` that are accepted, with all their columns."""
+    """The rows of `docs` that are accepted, with all their columns.
+
+    Null and empty texts are judged as empty texts, repeated rows alike. Without labels of
+    both kinds nothing can be learnt of what is good, and all rows stay. An empty table
+    gives an empty result.
+    """
     trees = fit(docs, labels, cfg, folds, fold)
+    if not len(trees.feature):
+        return docs
     text = docs.columns.index("text")
 
     def run(batches):
