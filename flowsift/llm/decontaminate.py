@@ -11,7 +11,8 @@ it is. The second pass aligns an item with the neighbourhood of each seed it sha
 with a document, as wide as the threshold lets words be put in, if enough words
 and pairs of the item are in it. The score is the best local alignment over words, as a share of what
 the whole item aligned with itself would get, so insertions, deletions and replaced
-words cost a little each instead of hiding the copy.
+words cost a little each instead of hiding the copy. Items too short for that are looked
+for as whole sequences of words.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import ALNUM, chunks, find_words, mix, seeds
+from .words import ALNUM, Words, chunks, find_words, mix, seeds, shingles, unspaced
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,8 @@ class Decontaminate:
     mismatch: int = -1
     gap: int = -1
     threshold: float = 0.5
-    least_words: int = 8  # items with fewer prove nothing and are left out
+    least_words: int = 8  # items with fewer are found only word by word
+    exact_words: int = 3  # items with fewer are words of the language, and left out
     block_words: int = 500_000  # of the items worked on at once
 
     @property
@@ -59,19 +61,37 @@ class Decontaminate:
         return int(self.match * size * (1 - self.threshold) / max(1, -self.gap))
 
 
+def passage_words(data, offsets) -> Words:
+    """Runs of ASCII letters and digits and of other characters; those of scripts without spaces one by one."""
+    return find_words(data, offsets, ALNUM, breaks=unspaced(data))
+
+
 class Items:
-    """The words of a block of items, and which of their pairs are seeds."""
+    """The words of a block of items, which of their pairs are seeds, and the sequences of short items.
+
+    `ids` names the items to be aligned, then the short ones.
+    """
 
     def __init__(self, ids, texts, cfg: Decontaminate):
         column = pa.array(texts, pa.large_string())
-        self.ids, self.words = [], []
+        self.ids, self.words, short = [], [], {}
         for first, last, data, offsets in chunks(column):
-            found = find_words(data, offsets, ALNUM)
+            found = passage_words(data, offsets)
             bounds = np.searchsorted(found.doc, np.arange(last - first + 1))
-            for i in range(last - first):
-                if bounds[i + 1] - bounds[i] >= cfg.least_words:
+            for i, size in enumerate(np.diff(bounds).tolist()):
+                own = found.hash[bounds[i] : bounds[i + 1]]
+                if size >= cfg.least_words:
                     self.ids.append(ids[first + i])
-                    self.words.append(found.hash[bounds[i] : bounds[i + 1]])
+                    self.words.append(own)
+                elif size >= cfg.exact_words:
+                    one = found._replace(doc=np.zeros(size, np.int64), hash=own)
+                    short.setdefault(size, []).append((int(shingles(one, size, 1, False)[1][0]), ids[first + i]))
+        self.short = {}  # words -> ascending fingerprints and the items they stand for
+        for size, known in sorted(short.items()):
+            known.sort()
+            numbers = np.arange(len(self.ids), len(self.ids) + len(known))
+            self.short[size] = np.array([h for h, _ in known], np.uint64), numbers
+            self.ids += [i for _, i in known]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.needed = np.array([len(w) - cfg.sure(len(w)) for w in self.words], np.int64)  # places with seeds
         flat = np.concatenate(self.words) if self.words else np.empty(0, np.uint64)
@@ -165,10 +185,25 @@ def align(item: np.ndarray, windows: np.ndarray, cfg: Decontaminate) -> tuple[np
     return best, end
 
 
+def _verbatim(words: Words, rows: int, items: Items, best: dict) -> None:
+    """Adds the first place of every short item in each text to `best`."""
+    for size, (known, numbers) in items.short.items():
+        doc, found = shingles(words, size, rows, False)
+        hit, low = _known(known, found)
+        # shingles are in text order: those of a row follow its own first one
+        begins = np.searchsorted(doc, np.arange(rows))
+        for h, at in zip(hit.tolist(), low.tolist()):
+            row, value = int(doc[h]), known[at]
+            while at < len(known) and known[at] == value:
+                place = h - int(begins[row])
+                best.setdefault((row, int(numbers[at])), (1.0, place, place + size))
+                at += 1
+
+
 def _matches(column: pa.Array, items: Items, cfg: Decontaminate):
     """(first row, last row, row, item, score, start word, end word) for runs of rows."""
     for first, last, data, offsets in chunks(column):
-        words = find_words(data, offsets, ALNUM)
+        words = passage_words(data, offsets)
         doc, pairs, at = _pairs(words.doc, words.hash, cfg.reach)
         hit, low = _known(items.pair, pairs)
         many = np.searchsorted(items.pair, pairs[hit], "right") - low
@@ -210,6 +245,7 @@ def _matches(column: pa.Array, items: Items, cfg: Decontaminate):
             old = best.get((r, i))
             if old is None or (s, -b) > (old[0], -old[1]):
                 best[r, i] = (s, b, e)
+        _verbatim(words, last - first, items, best)
         yield first, last, best
 
 
@@ -236,7 +272,7 @@ def _block(rows, docs: DataFrame, cfg: Decontaminate) -> Items:
         total = np.zeros(len(kinds), np.int64)
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column(0)):
-                words = find_words(data, offsets, ALNUM)
+                words = passage_words(data, offsets)
                 doc, pairs, _ = _pairs(words.doc, words.hash, cfg.reach)
                 some, at = _known(kinds, pairs)
                 once = np.unique(doc[some] * len(kinds) + at)
@@ -256,10 +292,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontaminate = Dec
     """(doc_id, item_id, score, start_word, end_word): copies of items in documents, the best one per pair.
 
     Words are runs of ASCII letters and digits and of all non-ASCII characters, without
-    regard to the case of A-Z; start_word and end_word (exclusive) count them from 0.
+    regard to the case of A-Z, and single characters of Chinese, Japanese, Thai, Lao, Burmese
+    and Khmer; start_word and end_word (exclusive) count them from 0. Items with fewer than
+    `least_words` words are found where all their words stand in a row.
     Reads `doc_id` and `text` of `docs`, `item_id` and `text` of `benchmark`; other
     columns may have any names. Null and empty texts match nothing, nor do items with
-    fewer than `least_words` words. Equal rows are reported once; several items with
+    fewer than `exact_words` words. Equal rows are reported once; several items with
     one text are each reported; of equally good places the first counts. Empty tables
     give an empty result.
     """
@@ -290,7 +328,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontaminate = Dec
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, cfg: Decontaminate = Decontaminate()) -> DataFrame:
-    """The rows of `docs` in whose text no item is found, with all their columns."""
+    """The rows of `docs` in whose text no item is found, with all their columns.
+
+    Null and empty texts stay, repeated rows alike; without items all rows do.
+    """
     text = docs.columns.index("text")
     out = docs
     for items in blocks(docs.sparkSession, benchmark, docs, cfg):

@@ -72,12 +72,36 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
         first = last
 
 
-def find_words(data, offsets, inside=~SPACE, values=None, prefixes=()) -> Words:
-    """Maximal runs of the bytes marked in `inside`; a word never crosses two texts."""
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Where a character of a script that is written without spaces begins or has just ended.
+
+    Those are Chinese characters, kana, Thai, Lao, Burmese and Khmer, told by the first bytes
+    of their UTF-8 form. Such characters are words of their own where these places are breaks.
+    """
+    out = np.zeros(len(data), bool)
+    if not len(data) or data.max() < 0xE0:
+        return out
+    second = np.append(data[1:], np.uint8(0))
+    three = (data >= 0xE3) & (data <= 0xE9)
+    three |= (data == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+    three |= (data == 0xE1) & (((second >= 0x80) & (second <= 0x82)) | (second == 0x9E) | (second == 0x9F))
+    four = (data == 0xF0) & (second >= 0xA0) & (second <= 0xB3)
+    for leads, size in ((three, 3), (four, 4)):
+        at = np.flatnonzero(leads)
+        out[at] = True
+        after = at + size
+        out[after[after < len(data)]] = True
+    return out
+
+
+def find_words(data, offsets, inside=~SPACE, values=None, prefixes=(), breaks=None) -> Words:
+    """Maximal runs of the bytes marked in `inside`; a word never crosses two texts, nor a place marked in `breaks`."""
     values = byte_values() if values is None else values
     within = inside[data]
     first = within.copy()
     first[1:] &= ~within[:-1]
+    if breaks is not None:
+        first |= within & breaks
     edges = offsets[:-1][offsets[:-1] < len(data)]
     first[edges] = within[edges]
     at = np.flatnonzero(within)

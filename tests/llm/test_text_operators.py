@@ -225,6 +225,27 @@ def test_decontamination_equals_alignment_of_every_pair(spark):
     assert len(want) >= 45 and all((1000 + i, len(items) - 1) in want for i in range(12))
 
 
+def test_short_items_and_scripts_without_spaces_are_found(spark):
+    items = [
+        (1, "What is the capital city of France?"), (2, "who wrote it"), (3, "yes"), (4, "日本で一番高い山は何ですか？"),
+        (5, "ประเทศไทยมีกี่จังหวัด"), (6, "Who wrote IT"), (7, "东京"), (8, "北京在哪里"),
+    ]
+    rows = [
+        (0, "so: what is the capital city of france, they ask, and who wrote it"), (1, "what is the capital city of spain in France"),
+        (2, "昨日、日本で一番高い山は何ですか？と聞かれた。"), (3, "ถามว่าประเทศไทยมีกี่จังหวัดครับ"), (4, "yes 东京 it wrote who"),
+        (5, "问abc北京在哪里xyz"), (6, "who wrote"), (7, "it who wrote it who wrote it"), (8, None), (9, ""), (10, "北京 在 哪 里"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(0, 1), (0, 2), (0, 6), (2, 4), (3, 5), (5, 8), (7, 2), (7, 6), (10, 8)}
+    for block in (500_000, 1):
+        found = decontaminate.contaminated(table(spark, rows), bench, decontaminate.Decontaminate(block_words=block)).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+        places = {(r.doc_id, r.item_id): (r.start_word, r.end_word) for r in found}
+        assert places[0, 1] == (1, 8) and places[7, 2] == (1, 4) and places[5, 8] == (2, 7)
+    kept = decontaminate.keep_clean(table(spark, rows), bench).collect()
+    assert {r.doc_id for r in kept} == {i for i, _ in rows} - {d for d, _ in want}
+
+
 def test_alignment_equals_the_recurrence():
     rng = np.random.default_rng(2)
     cfg = decontaminate.Decontaminate()
@@ -260,6 +281,9 @@ def test_quality_learns_and_keeps(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in out if r.predicted}
     flat = quality.score_quality(table(spark, rows[:5]), marks.limit(0)).collect()
     assert {r.score for r in flat} == {0.5}
+    for one in (marks.filter("quality = 0"), marks.filter("quality = 1"), marks.limit(0)):
+        stay = quality.keep_good(table(spark, rows[:5]), one).collect()
+        assert sorted(r.doc_id for r in stay) == [i for i, _ in rows[:5]]
 
 
 def test_flattened_trees_equal_a_walk():
@@ -338,6 +362,20 @@ def test_packing_round_trip(spark):
     assert {k: len(v) // 4 for k, v in whole.items()} == {k: sum(n for _, n in v) for k, v in sequences.items()}
 
 
+def test_packing_does_not_follow_the_order_of_reading(spark):
+    rng = random.Random(8)
+    texts = [" ".join(sentence(rng, rng.randrange(1, 300))) for _ in range(80)]
+    rows = list(enumerate(texts)) + [(5, texts[5])] * 40 + [(6, "other text"), (None, texts[7]), (None, texts[7]), (None, None)]
+    seen = []
+    for parts in (1, 3, 7):
+        rng.shuffle(rows)
+        packed = packing.pack(table(spark, rows).repartition(parts), word_tokenizer(), with_ids=parts == 3)
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        seen.append(Counter(tuple(r) for r in packed.select(*names).collect()))
+        assert len({(r[5], r[6]) for r in seen[-1]}) == sum(seen[-1].values()) >= len(rows)
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_plan_takes_every_piece_and_wastes_little():
     rng = np.random.default_rng(3)
     sizes = np.unique(rng.integers(1, 257, 120))
