@@ -89,6 +89,18 @@ def q_clean_flows(spark, sf):
     return clean.clean_flows(dirty_flows(spark, sf))
 
 
+def q_quarantined_flows(spark, sf):
+    flows = dirty_flows(spark, sf)
+    sent, port, number = F.col("Tot Fwd Pkts"), F.col("Dst Port"), F.col("Dst Port").try_cast("int")
+    broken = {
+        "Dst Port": F.when(number % 89 == 0, F.concat(port, F.lit("/tcp"))).otherwise(port),
+        "Tot Fwd Pkts": F.when((sent == "7") & (number % 2 == 0), "many").otherwise(sent),
+        "Timestamp": F.regexp_replace("Timestamp", "^13/", "31/02/"),
+    }
+    found = clean.quarantine(flows.withColumns(broken))
+    return found.select(*flows.columns, F.concat_ws(",", "unreadable").alias("unreadable"))
+
+
 def q_capture_flows(spark, sf):
     flows = event_flows(spark, sf).withColumn("file", F.concat(F.lit("flows-"), F.col("day").cast("string")))
     rows = [(f"flows-{d}", d, datetime(2024, 1, d, 4), datetime(2024, 1, d + 1, 4)) for d in range(1, 31)]
@@ -626,6 +638,19 @@ ORACLES = {
           CAST("Protocol" AS INT) AS protocol
           FROM filled WHERE "Src Port" <> 'Src Port' AND "Timestamp" <> '0'""",
     ),
+    "quarantined_flows": _with(
+        FLOWS, ("dirty", DIRTY_SQL),
+        ("broken", """SELECT * REPLACE (
+          CASE WHEN TRY_CAST("Dst Port" AS INT) % 89 = 0 THEN "Dst Port" || '/tcp' ELSE "Dst Port" END AS "Dst Port",
+          CASE WHEN "Tot Fwd Pkts" = '7' AND TRY_CAST("Dst Port" AS INT) % 2 = 0 THEN 'many' ELSE "Tot Fwd Pkts" END AS "Tot Fwd Pkts",
+          regexp_replace("Timestamp", '^13/', '31/02/') AS "Timestamp") FROM dirty"""),
+        ("filled", """SELECT COALESCE(COLUMNS(*), '0') FROM broken"""),
+        ("judged", f"""SELECT *, concat_ws(',',
+          CASE WHEN try_strptime("Timestamp", '%d/%m/%Y %I:%M:%S %p') IS NULL THEN 'Timestamp' END,
+          {", ".join(f"""CASE WHEN TRY_CAST("{c}" AS {kind}) IS NULL THEN '{c}' END""" for c, (_, kind) in {**RAW_COLUMNS, **RATE_COLUMNS}.items() if kind not in ("string", "timestamp_ntz"))}
+          ) AS unreadable FROM filled WHERE "Src Port" <> 'Src Port' AND "Timestamp" <> '0'"""),
+        final="SELECT * FROM judged WHERE unreadable <> ''",
+    ),
     "capture_flows": _with(
         FLOWS,
         final="""SELECT day, 'flows-' || CAST(day AS VARCHAR) AS file, COUNT(*) AS flows, MIN(ts) AS first, MAX(ts) AS last

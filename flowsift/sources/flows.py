@@ -27,6 +27,9 @@ RATE_COLUMNS = {
     "Protocol": ("protocol", "int"),
 }
 
+#: Holds the text of lines with too many or too few cells.
+BAD_LINE = "bad_line"
+
 
 def header_catalogue(spark: SparkSession, path) -> dict[tuple[str, ...], list[str]]:
     """header -> the files that have it. Of every file the first line is read; empty files are left out."""
@@ -40,13 +43,16 @@ def header_catalogue(spark: SparkSession, path) -> dict[tuple[str, ...], list[st
     return found
 
 
-def read_flow_csv(spark: SparkSession, path, columns=None) -> DataFrame:
+def read_flow_csv(spark: SparkSession, path, columns=None, keep_lines: bool = False) -> DataFrame:
     """Raw flows as text, plus the name of the file each row came from.
 
     A CSV scan with a given schema matches by position, so files are grouped by their
     headers and each group is one scan under its own. Files may differ in the order of
     their columns and have others besides. A rate column that only some files have is
     null in the others; a file without one of the other columns stops the read.
+
+    Of a line with too many cells the last ones are left out, and where cells lack they are
+    null. With `keep_lines`, `bad_line` has the text of such lines and is null for all others.
     """
     catalogue = header_catalogue(spark, path)
     if not catalogue:
@@ -58,8 +64,15 @@ def read_flow_csv(spark: SparkSession, path, columns=None) -> DataFrame:
         if lacking:
             raise ValueError(f"{files[0]} has no column {', '.join(lacking)}")
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(files)
+        reader = spark.read.option("header", True).option("enforceSchema", False)
+        if keep_lines:
+            schema.add(BAD_LINE, T.StringType())
+            # lines are only counted against the whole header where every column is read
+            reader = reader.option("columnNameOfCorruptRecord", BAD_LINE).option("columnPruning", False)
+        raw = reader.schema(schema).csv(files)
         cells = [F.col(f"`{c}`") if c in header else F.lit(None).cast("string").alias(c) for c in wanted]
+        if keep_lines:
+            cells.append(F.col(BAD_LINE))
         scans.append(raw.select(*cells, F.col("_metadata.file_name").alias("file")))
     return reduce(DataFrame.unionByName, scans)
 

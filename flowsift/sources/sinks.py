@@ -27,6 +27,11 @@ def write_flows(flows: DataFrame, path: str, mode: str = "overwrite") -> None:
     _save(flows, path, ["day"], "parquet", mode)
 
 
+def write_quarantine(rows: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Rows that are no flows (see `clean.quarantine`), one folder per file they came from."""
+    _save(rows.withColumn("unreadable", F.concat_ws(",", "unreadable")), path, ["file"], fmt, mode)
+
+
 def write_features(features: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", hours: int = LABEL_OFFSET_HOURS) -> None:
     """Wide features (see `features.wide`) or profiles, one folder per day and window.
 

@@ -161,6 +161,8 @@ def test_cleaning(spark):
     assert clean.malformed(lenient).count() == 2 and clean.well_formed(lenient).count() == 1
     with pytest.raises(Exception):
         clean.clean_flows(bad).collect()
+    held = {tuple(r.unreadable): r for r in clean.quarantine(bad).collect()}
+    assert set(held) == {("Src Port",), ("Timestamp",)} and held["Src Port",]["Src Port"] == "x" and held["Timestamp",]["Timestamp"] == "yesterday"
 
 
 def test_capture_bounds_are_inclusive(spark):

@@ -45,6 +45,27 @@ def test_flow_files_of_other_column_orders(spark, tmp_path):
         read_flow_csv(spark, str(tmp_path))
 
 
+def test_lines_that_are_no_flows_are_kept_as_text(spark, tmp_path):
+    names = [*flows.RAW_COLUMNS, "Note"]
+    good = "14/02/2018 10:00:00 AM,172.31.0.1,8.8.8.8,5,80,1,2,3.5,4.5,fine"
+    short, wide, wrong = "14/02/2018 10:00:01 AM,172.31.0.1,8.8.8.8,6", good + ",one,more", good.replace(",80,", ",http,")
+    other = [names[-1], *names[:-1]]
+    (tmp_path / "a.csv").write_text("\n".join([",".join(names), good, short, wide, ",".join(names), wrong]) + "\n")
+    (tmp_path / "b.csv").write_text("\n".join([",".join(other), "fine," + good[:-5]]) + "\n")
+    raw = read_flow_csv(spark, str(tmp_path), keep_lines=True)
+    held = {(r.file, *r.unreadable): r for r in clean.quarantine(raw).collect()}
+    assert set(held) == {("a.csv", flows.BAD_LINE), ("a.csv", "Dst Port")} and held["a.csv", "Dst Port"].bad_line is None
+    assert sorted(r.bad_line for r in clean.quarantine(raw).filter("bad_line IS NOT NULL").collect()) == sorted([short, wide])
+    typed = clean.clean_flows(raw, strict=False)
+    assert sorted(r.file for r in clean.well_formed(typed).collect()) == ["a.csv", "b.csv"] and clean.malformed(typed).count() == 3
+    sinks.write_quarantine(clean.quarantine(raw), str(tmp_path / "held"))
+    back = spark.read.parquet(str(tmp_path / "held"))
+    assert back.count() == 3 and {(r.file, r.unreadable) for r in back.collect()} == {("a.csv", "Dst Port"), ("a.csv", flows.BAD_LINE)}
+    # without the lines, cells that lack are 0 and those beyond the header are left out
+    plain = read_flow_csv(spark, str(tmp_path / "*.csv"))
+    assert plain.columns == [*flows.RAW_COLUMNS, "file"] and clean.quarantine(plain).count() == 1
+
+
 def test_stored_flows_are_pruned_by_day(spark, tmp_path):
     typed = event_flows(spark, SF)
     sinks.write_flows(typed, str(tmp_path / "flows"))
