@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import view_of
+from ..functions.scalars import INTERNAL_PREFIX, view_of
 from .features import PORT_SUFFIXES, WINDOW
 from .joins import attach
 
@@ -14,7 +14,9 @@ GROUP = [*WINDOW, "view"]
 MIN_ENTITIES = 30
 
 
-def raw_vectors(profile: DataFrame, base: list[str], ports: DataFrame | None = None, roles: str = "both") -> DataFrame:
+def raw_vectors(
+    profile: DataFrame, base: list[str], ports: DataFrame | None = None, roles: str = "both", prefix: str = INTERNAL_PREFIX
+) -> DataFrame:
     """(group, entity, raw): features in a fixed order, the same for a whole day.
 
     The order is the base features, then the chosen ports of the day ascending.
@@ -22,7 +24,7 @@ def raw_vectors(profile: DataFrame, base: list[str], ports: DataFrame | None = N
     """
     fixed = F.array(*[F.col(c).cast("double") for c in base])
     if ports is None:
-        return profile.select(*WINDOW, view_of().alias("view"), "entity", fixed.alias("raw"))
+        return profile.select(*WINDOW, view_of(prefix=prefix).alias("view"), "entity", fixed.alias("raw"))
     suffixes = F.array(*[F.lit(s) for s in PORT_SUFFIXES[roles]])
     names = ports.groupBy("day").agg(F.sort_array(F.collect_set("port")).alias("chosen")).select(
         "day",
@@ -35,7 +37,7 @@ def raw_vectors(profile: DataFrame, base: list[str], ports: DataFrame | None = N
         lambda n: F.coalesce(F.try_element_at("ports", n), F.lit(0.0)),
     )
     return profile.join(F.broadcast(names), "day", "left").select(
-        *WINDOW, view_of().alias("view"), "entity", F.concat(fixed, seen).alias("raw")
+        *WINDOW, view_of(prefix=prefix).alias("view"), "entity", F.concat(fixed, seen).alias("raw")
     )
 
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import view_of
+from ..functions.scalars import INTERNAL_PREFIX, view_of
 from ..operators.cells import BLOCK
 from ..operators.clean import internal_flows
 from ..operators.density import density_clusters, distance_curve, nearest_distances
@@ -31,6 +31,7 @@ class Settings:
     minutes: tuple = (30,)
     origin: int | dict = 0  # or a table day -> seconds, see features.with_window
     key: str = "src"
+    prefix: str = INTERNAL_PREFIX  # of internal addresses
     min_flows: int = MIN_FLOWS
     min_entities: int = MIN_ENTITIES
     algorithms: tuple = tuple(ALGORITHMS)
@@ -39,6 +40,7 @@ class Settings:
     block: int = BLOCK
     digits: int | None = None
     mode: str = "standard"
+    strict: bool = False  # a neighbour must be nearer than eps
     score_noise: bool = True
 
     @property
@@ -87,13 +89,13 @@ class Detection:
 def build_features(flows: DataFrame, s: Settings = Settings(), calendar: DataFrame | None = None) -> Features:
     """Ports are chosen from all flows of a day, profiles from internal flows."""
     ports = cut(choose_ports(flows, s.method, s.x, calendar))
-    profiles = cut(extract(internal_flows(flows), ports, s.method, list(s.minutes), s.origin, s.key))
+    profiles = cut(extract(internal_flows(flows, s.prefix), ports, s.method, list(s.minutes), s.origin, s.key))
     return Features(ports, keep_active(profiles, s.flows_column, s.min_flows))
 
 
 def feature_vectors(features: Features, s: Settings = Settings()) -> DataFrame:
     """(group, entity, raw) of the groups large enough to cluster."""
-    return keep_populated(raw_vectors(features.profiles, s.base, features.ports, s.roles), GROUP, s.min_entities)
+    return keep_populated(raw_vectors(features.profiles, s.base, features.ports, s.roles, s.prefix), GROUP, s.min_entities)
 
 
 def vectors_from_table(features: DataFrame, day: int, win_sec: int, win_start, s: Settings = Settings()) -> DataFrame:
@@ -103,7 +105,7 @@ def vectors_from_table(features: DataFrame, day: int, win_sec: int, win_start, s
         F.lit(day).alias("day"),
         F.lit(win_sec).alias("win_sec"),
         F.lit(win_start).cast("timestamp_ntz").alias("win_start"),
-        view_of().alias("view"),
+        view_of(prefix=s.prefix).alias("view"),
         "entity",
         F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in names]).alias("raw"),
     )
@@ -123,7 +125,7 @@ def vectors_from_tables(features: DataFrame, s: Settings = Settings()) -> DataFr
         F.col("day").cast("int").alias("day"),
         F.col("win_sec").cast("int").alias("win_sec"),
         F.col("win_start").cast("timestamp_ntz").alias("win_start"),
-        view_of().alias("view"),
+        view_of(prefix=s.prefix).alias("view"),
         "entity",
         F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in names]).alias("raw"),
     )
@@ -143,7 +145,9 @@ def cluster(raw: DataFrame, s: Settings = Settings(), keys=GROUP, names: DataFra
     eps = cut(choose_epsilon(distance_curve(distances, keys), keys, digits=s.digits))
     by_id = {}
     if "dbscan" in s.algorithms:
-        by_id["dbscan"] = density_clusters(unique, distances, eps, keys, s.block, s.digits)
+        # the next smaller number, so that a distance equal to eps is beyond it
+        radius = eps.withColumn("eps", F.col("eps") * (1 - 2.0**-53)) if s.strict else eps
+        by_id["dbscan"] = density_clusters(unique, distances, radius, keys, s.block, s.digits)
     grid = chosen = profile = None
     if {"kmeans", "agglomerative"} & set(s.algorithms):
         grid = cut(kmeans_grid(unique, keys, s.restarts, s.seed, s.block))

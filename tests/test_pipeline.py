@@ -155,6 +155,16 @@ def test_feature_names_match_vector_length(spark, detection):
     assert lengths.exceptAll(names).isEmpty()
 
 
+def test_other_networks_can_be_internal(spark):
+    s = pl.Settings(method=0, minutes=(1440,), min_flows=1, min_entities=1, prefix="18.221.")
+    typed = event_flows(spark, SF)
+    vectors = pl.feature_vectors(pl.build_features(typed, s), s)
+    touched = typed.filter("src_ip LIKE '18.221.%' OR dst_ip LIKE '18.221.%'")
+    want = {a for r in touched.select("src_ip", "dst_ip").collect() for a in r}
+    got = {r.entity: r.view for r in vectors.select("entity", "view").collect()}
+    assert set(got) == want and all((v == "internal") == a.startswith("18.221.") for a, v in got.items())
+
+
 def test_method_two_runs(spark):
     s = pl.Settings(method=2, minutes=(1440,), min_entities=8, algorithms=("dbscan",))
     d = pl.detect(event_flows(spark, SF), catalog.truth(spark, SF), s)

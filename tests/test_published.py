@@ -94,6 +94,16 @@ def test_density_clusters_but_for_distances_equal_to_epsilon(clustered, view):
             assert groups_of(ours) == groups_of(theirs)
 
 
+def test_strict_density_sets_distances_equal_to_epsilon_apart(spark, clustered):
+    raw = pl.vectors_from_table(read_feature_csv(spark, MATRICES[0]), 1, 600, WINDOW)
+    strict = by_view(pl.cluster(raw, pl.Settings(minutes=(10,), algorithms=("dbscan",), strict=True, score_noise=False)).labels, "cluster")
+    near = by_view(vc.members(clustered.vectors, clustered.distinct).join(clustered.distances, [*vc.GROUP, "id"]), "d")
+    eps = {r.view: r.eps for r in clustered.eps.collect()}
+    for view, ours in by_view(clustered.labels, "cluster").items():
+        even = {e for e, d in near[view].items() if d == eps[view]}
+        assert {e for e, label in strict[view].items() if label < 0} == {e for e, label in ours.items() if label < 0} | even
+
+
 @pytest.mark.parametrize("view", ROLES)
 def test_ward_clusters_for_the_published_number(spark, clustered, view):
     unique = clustered.distinct.filter(F.col("view") == view)
