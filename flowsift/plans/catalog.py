@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..operators import cells, clean, density, elbow, features as ft, kmeans, lof, outliers, ports, vectors as vc, ward
+from ..operators import approximate, cells, clean, density, elbow, features as ft, kmeans, lof, outliers, ports, vectors as vc, ward
 from ..session import cut
 from ..sources.flows import RATE_COLUMNS, RAW_COLUMNS
 from . import pipeline as pl
@@ -265,6 +265,11 @@ def q_embedding_neighbors(spark, sf):
     return rounded(near, 6, "d").select("id", "d")
 
 
+def q_embedding_neighbors_approximate(spark, sf):
+    near = approximate.approximate_nearest(cut(embedding_points(spark, sf)), ["g"], k=5)
+    return rounded(near, 6, "d").select("id", "nid", "d", "approximate")
+
+
 def q_embedding_lof(spark, sf):
     return rounded(lof.local_outlier_factor(embedding_points(spark, sf), ["g"]).drop("g"), 6, "score")
 

@@ -1,8 +1,13 @@
+import os
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from flowsift.operators import cells
+from flowsift.operators.approximate import approximate_nearest, share_step, tables_for
 from flowsift.operators.cells import nearest, spread_picks
+from flowsift.plans.catalog import embedding_points
 
 from .helpers import as_points, distance_matrix, random_groups
 
@@ -68,3 +73,42 @@ def test_picks_are_spread():
     x = np.array([[0.0], [0.1], [0.2], [0.3], [9.0], [5.0], [0.4]])
     assert spread_picks(x, 4) == [0, 1, 4, 5]
     assert spread_picks(np.zeros((5, 2)), 4) == [0, 1]
+
+
+def recall_of(found, exact, k):
+    hits = {(r.g, r.id, r.nid) for r in found} & {(r.g, r.id, r.nid) for r in exact}
+    return len(hits) / len(exact)
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_approximate_neighbours_reach_the_recall(spark, block):
+    points = as_points(spark, random_groups(seed=3, groups=3, rows=120, copies=False)).cache()
+    exact = nearest(points, ["g"], k=3).collect()
+    true = {(r.g, r.id, r.nid): r.d for r in exact}
+    found = approximate_nearest(points, ["g"], k=3, recall=0.95, block=block).collect()
+    assert recall_of(found, exact, 3) >= 0.9 and all(r.approximate for r in found)
+    assert all(abs(true[r.g, r.id, r.nid] - r.d) < 1e-12 for r in found if (r.g, r.id, r.nid) in true)
+    assert max(Counter((r.g, r.id) for r in found).values()) <= 3
+
+
+def test_approximate_neighbours_of_copies_and_single_vectors(spark):
+    rows = [("a", f"c{i}", [1.0, 2.0], 1.0) for i in range(40)] + [("b", "alone", [0.0], 1.0)]
+    points = spark.createDataFrame(rows, "g string, id string, vec array<double>, weight double")
+    found = approximate_nearest(points, ["g"], k=2, block=16).collect()
+    assert len(found) == 80 and {r.d for r in found} == {0.0} and {r.g for r in found} == {"a"}
+    assert approximate_nearest(points.limit(0), ["g"]).count() == 0
+
+
+def test_buckets_are_shared_as_often_as_reckoned():
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(200_000, 8))
+    apart = np.abs(a @ (np.ones(8) / np.sqrt(8)))
+    assert abs((np.maximum(0, 1 - apart / 4)).mean() - share_step(4.0)) < 2e-3
+    assert tables_for(0.5, 2) < tables_for(0.95, 2) < tables_for(0.95, 6)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables not present")
+def test_approximate_neighbours_of_embeddings(spark):
+    points = embedding_points(spark, "/root/testdata/sf0.01").cache()
+    exact = nearest(points, ["g"], k=5).collect()
+    assert recall_of(approximate_nearest(points, ["g"], k=5).collect(), exact, 5) >= 0.9
