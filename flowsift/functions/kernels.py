@@ -79,6 +79,100 @@ def nearest_in_block(a, b, own, k, wa=None, wb=None):
     return positions, values if wa is not None else np.sqrt(values)
 
 
+def first_copies(rows: np.ndarray, most: int) -> np.ndarray:
+    """Positions of at most `most` rows of each run of equal ones, the first in order."""
+    seen: dict = {}
+    kept = []
+    for i, row in enumerate(rows):
+        key = row.tobytes()
+        have = seen.get(key, 0)
+        if have < most:
+            kept.append(i)
+            seen[key] = have + 1
+    return np.array(kept, dtype=int)
+
+
+def _merge_best(values, positions, rows, d, at, order):
+    """Puts the pairs (rows, at) with squared distances `d` into the best of each row; the rows that were touched."""
+    k = values.shape[1]
+    touched = np.unique(rows)
+    have = np.isfinite(values[touched])
+    row = np.concatenate([rows, np.repeat(touched, k)[have.ravel()]])
+    dist = np.concatenate([d, values[touched][have]])
+    pos = np.concatenate([at, positions[touched][have]])
+    by = np.lexsort((order[pos], dist, row))
+    row, dist, pos = row[by], dist[by], pos[by]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < k
+    values[touched] = np.inf
+    values[row[kept], place[kept]] = dist[kept]
+    positions[row[kept], place[kept]] = pos[kept]
+    return touched
+
+
+def nearest_by_products(a, b, own, k, bound, order, edges):
+    """As `nearest_in_block`, for blocks of many thousand rows: (positions, distances), exact.
+
+    Rows of `b` come in parts that begin and end at `edges`; `order` settles ties. Nothing beyond
+    `bound`, one distance per row of `a`, is looked for, and parts that are farther off are skipped. Matrix products
+    propose pairs, with room for their rounding, and direct differences decide, so the distances are those
+    of `sq_distances` bit for bit. Rows with other than finite numbers have no neighbours.
+    """
+    positions = np.zeros((len(a), k), dtype=int)
+    values = np.full((len(a), k), np.inf)
+    if not len(a) or not len(b):
+        return positions, values
+    limit = np.where(np.isfinite(bound), bound, np.inf) ** 2 * (1 + 1e-9)
+    fine = np.isfinite(b).all(axis=1)
+    shift = b[fine].mean(axis=0) if fine.any() else np.zeros(b.shape[1])
+    x, y = a - shift, np.where(fine[:, None], b - shift, 0.0)
+    sane = np.isfinite(x).all(axis=1)
+    x[~sane] = 0.0
+    xx, yy = (x**2).sum(axis=1), (y**2).sum(axis=1)
+    top = xx.max(initial=0) + yy.max(initial=0)
+    unsure = (b.shape[1] + 8) * top  # times the unit of rounding
+    near = limit[np.isfinite(limit)]
+    single = len(near) > 0 and top < 1e30 and unsure * 2.0**-22 <= 0.02 * np.median(near)
+    kind, unsure = (np.float32, unsure * 2.0**-22) if single else (np.float64, unsure * 2.0**-51)
+    x, y = x.astype(kind), (-2 * y).astype(kind)
+    yy = np.where(fine, yy, np.inf).astype(kind)
+    parts = list(zip(edges[:-1], edges[1:]))
+    centres = np.stack([b[s:e][fine[s:e]].mean(axis=0) if fine[s:e].any() else np.full(b.shape[1], np.inf) for s, e in parts])
+    with np.errstate(invalid="ignore", over="ignore"):
+        radius = np.array([np.sqrt(sq_distances(c[None], b[s:e][fine[s:e]]).max(initial=0)) for c, (s, e) in zip(centres, parts)])
+    step = max(64, CHUNK // max(e - s for s, e in parts))
+    for start in range(0, len(a), step):
+        here = np.arange(start, min(len(a), start + step))
+        with np.errstate(invalid="ignore", over="ignore"):
+            apart = np.sqrt(sq_distances(a[here], centres))
+            low = np.maximum(apart - radius - 1e-9 * (apart + radius), 0.0) ** 2
+        for j in np.argsort(low.mean(axis=0), kind="stable"):
+            first, last = parts[j]
+            rows = here[sane[here] & (low[:, j] <= limit[here])]
+            if not len(rows):
+                continue
+            score = x[rows] @ y[first:last].T
+            score += yy[first:last]
+            inside = np.flatnonzero((own[rows] >= first) & (own[rows] < last))
+            score[inside, own[rows[inside]] - first] = np.inf
+            most = np.minimum(limit[rows] - xx[rows] + unsure, np.finfo(kind).max).astype(kind)  # below infinite scores
+            hit = score <= most[:, None]
+            if last - first > k and np.count_nonzero(hit) > 4 * k * len(rows):
+                kth = np.partition(score, k - 1, axis=1)[:, k - 1] + kind(2 * unsure)
+                hit = score <= np.minimum(most, kth)[:, None]
+            pair = np.flatnonzero(hit)
+            i, at = rows[pair // (last - first)], pair % (last - first) + first
+            for some in row_chunks(len(i), b.shape[1]):
+                diff = a[i[some]] - b[at[some]]
+                diff *= diff
+                d = np.ascontiguousarray(diff.T).sum(axis=0)  # one coordinate after the other
+                kept = d <= limit[i[some]]
+                if kept.any():
+                    touched = _merge_best(values, positions, i[some][kept], d[kept], at[some][kept], order)
+                    limit[touched] = np.minimum(limit[touched], values[touched, k - 1])
+    return positions, np.sqrt(values)
+
+
 def components_in_block(x, eps, digits=None):
     """Component number per row of the graph joining rows at most `eps` apart.
 

@@ -8,6 +8,10 @@ distance of a vector; only those are visited, the most promising first, and each
 of visits lowers the distance beyond which nothing matters. What is stored of visits are ids. All results are exact, whatever
 the pivots: they decide the amount of work only.
 
+Where a vector has to look into more cells than a first round visits, a list of visits would carry it to
+most of them. Such vectors go on in tiles: cells are dealt to blocks of many thousand vectors, and a vector
+travels to each block once, however many of its cells it looks into.
+
 Voronoi pruning for nearest-neighbour joins: Lu, Shen, Chen and Ooi, "Efficient
 processing of k nearest neighbor joins using MapReduce", PVLDB 5(10), 2012; spread pivots:
 Gonzalez, "Clustering to minimize the maximum intercluster distance", 1985.
@@ -21,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ..functions.kernels import constant, floats, matrix, nearest_in_block, row_chunks, sq_distances
+from ..functions.kernels import constant, first_copies, floats, matrix, nearest_by_products, nearest_in_block, row_chunks, sq_distances
 from ..functions.scalars import uniform
 from ..session import cut
 from .joins import attach, spread
@@ -31,6 +35,9 @@ SLACK = 1e-9  # keeps rounding from pruning a cell that holds a tie
 SAMPLE = 4  # vectors drawn per pivot to choose
 FIRST_VISITS, MORE_VISITS = 4, 8  # cells a vector looks into in the first round, and how much further each later one reaches
 SALT_ROWS = 4096  # visitors of a cell that meet in one task
+MOST_TILE_PARTS = 4096
+TILE_NUMBERS = 1 << 22  # coordinates of one side of a tile
+TILE_ROWS, TILE_SIDE = 8192, 8  # groups are cut into blocks of this many vectors until there are so many blocks
 
 
 @dataclass
@@ -204,6 +211,12 @@ def reach(cells: Cells, bounded: DataFrame, keys, first: int = 0, last: int | No
             wanted = low <= bound[part, None] * (1 + SLACK)
             if rooted:
                 wanted &= single[None, :] != root[part, None]
+            if last is not None and last < len(pivots) and not ward:  # the first places only, without ordering the rest
+                low = np.where(wanted, low, np.inf)
+                low[np.arange(len(d)), at[part]] = np.where(wanted[np.arange(len(d)), at[part]], -1.0, np.inf)
+                front = low.argpartition(last - 1, axis=1)[:, :last]
+                wanted &= False
+                np.put_along_axis(wanted, front, np.isfinite(np.take_along_axis(low, front, axis=1)), axis=1)
             i, j = np.nonzero(wanted)
             order = np.lexsort((j, np.where(j == at[part][i], -1.0, low[i, j]), i))
             i, j = i[order], j[order]
@@ -249,6 +262,34 @@ def meet(cells: Cells, visitors: DataFrame, going: DataFrame, hosts: DataFrame,
     return arriving.drop("salts"), waiting.drop("salts", "blk", "own")
 
 
+def tile_sides(points: DataFrame, keys, rows: int = TILE_ROWS, side: int = TILE_SIDE) -> DataFrame:
+    """(keys, side): into how many blocks each group is cut for its tiles."""
+    volume = F.sum(F.size("vec").cast("double"))
+    return points.groupBy(*keys).agg(
+        F.greatest(
+            F.ceil(volume / TILE_NUMBERS), F.least(F.lit(side).cast("long"), F.ceil(F.count("*") / rows)), F.lit(1).cast("long")
+        ).cast("int").alias("side")
+    )
+
+
+def tile(visitors: DataFrame, hosts: DataFrame, sides: DataFrame, keys, by):
+    """Visitors and hosts grouped on (keys, row, col): every vector's block meets every block of its group.
+
+    Blocks are hashed on the columns `by`.
+    """
+    keys = list(keys)
+    count = sides.agg(F.sum(F.col("side").cast("long") * F.col("side"))).first()[0] or 1
+    parts = max(int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(count), MOST_TILE_PARTS))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        tagged = attach(df, sides, keys, "id").withColumn(own, F.pmod(F.xxhash64(F.lit("tile"), *by), F.col("side")).cast("int"))
+        copied = tagged.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("side") - 1))).drop("side")
+        copied = copied.select(*[F.col(c).alias(c) for c in copied.columns])
+        return copied.repartition(parts, *keys, "row", "col").groupBy(*keys, "row", "col")
+
+    return dealt(visitors, "row", "col").cogroup(dealt(hosts, "col", "row"))
+
+
 class Search:
     """Nearest-neighbour kernels for one set of keys and one measure."""
 
@@ -273,6 +314,47 @@ class Search:
     def across(self, visitors: pa.Table, hosts: pa.Table) -> pa.Table:
         return self.best(visitors, hosts.sort_by("id"), np.full(visitors.num_rows, -1))
 
+    def in_tile(self, visitors: pa.Table, hosts: pa.Table, part=()) -> pa.Table:
+        """The k best of `hosts` for each of `visitors`, up to its `bound` if it has one, without itself.
+
+        Hosts that are equal in columns `part` lie together and are skipped together. Of equal
+        hosts only the first k + 1 can be neighbours of anything.
+        """
+        if not visitors.num_rows or not hosts.num_rows:
+            return self.best(visitors, hosts.slice(0, 0), None)
+        hosts = hosts.sort_by("id")
+        hosts = hosts.take(pa.array(first_copies(matrix(hosts), self.k + 1)))
+        order = np.arange(hosts.num_rows)
+        edges = np.r_[np.arange(0, hosts.num_rows, BLOCK), hosts.num_rows]
+        if part:
+            hosts = hosts.append_column("_order", pa.array(order)).sort_by([(c, "ascending") for c in (*part, "id")])
+            order = hosts.column("_order").to_numpy()
+            starts = np.zeros(hosts.num_rows, dtype=bool)
+            for c in part:
+                codes = hosts.column(c).combine_chunks().dictionary_encode().indices.to_numpy()
+                starts[1:] |= codes[1:] != codes[:-1]
+            starts[0] = True
+            edges = np.r_[np.flatnonzero(starts), hosts.num_rows]
+            visitors = visitors.sort_by([(c, "ascending") for c in part])
+        x, y = matrix(visitors), matrix(hosts)
+        names = {(v, row.tobytes()): i for i, (v, row) in enumerate(zip(hosts.column("id").to_pylist(), y))}
+        own = np.array([names.get((v, row.tobytes()), -1) for v, row in zip(visitors.column("id").to_pylist(), x)])
+        bound = floats(visitors, "bound") if "bound" in visitors.column_names else np.full(len(x), np.inf)
+        at, d = nearest_by_products(x, y, own, self.k, bound, order, edges)
+        i, j = np.nonzero(np.isfinite(d))
+        out = visitors.select([*self.keys, "id"]).take(pa.array(i))
+        value = d[i, j] if self.digits is None else np.round(d[i, j], self.digits)
+        return out.append_column("nid", hosts.column("id").take(pa.array(at[i, j]))).append_column("d", pa.array(value))
+
+    def by_tiles(self, cells: Cells, bounded: DataFrame) -> DataFrame:
+        """(keys, id, nid, d) for the vectors `bounded`, from all cells within their `bound`."""
+        keys, part = self.keys, ["cell", "sub"]
+        sides = cut(tile_sides(cells.points, keys))
+        columns = [*keys, "id", "vec", *part]
+        met = tile(bounded.select(*columns, "bound"), cells.points.select(*columns), sides, keys, part)
+        found = met.applyInArrow(lambda visitors, hosts: self.in_tile(visitors, hosts, part), self.schema)
+        return self.merged(found)
+
     def merged(self, found: DataFrame) -> DataFrame:
         """The k best of what was found per vector; every task keeps its own k best before the shuffle."""
         if self.k == 1:
@@ -284,8 +366,9 @@ class Search:
     def among(self, cells: Cells, queries: DataFrame | None = None) -> DataFrame:
         """(keys, id, nid, d) for the vectors of `cells`, or for those of `queries` (keys, id) only.
 
-        A vector starts in its own cell; each round visits further cells, the most
-        promising first, with the bound that the rounds before have left.
+        A vector starts in its own cell; a round visits further cells, the most
+        promising first, with the bound that its own has left. Vectors that have yet more cells in reach
+        then go through tiles; Ward costs go on in rounds of visits instead.
         """
         keys = self.keys
         asking = cells.points if queries is None else cells.points.join(queries.select(*keys, "id"), [*keys, "id"], "left_semi")
@@ -303,9 +386,14 @@ class Search:
             bound = F.when(F.col("have") >= self.k, F.col("bound")).otherwise(F.lit(float("inf")))
             bound = bound if self.digits is None else bound + F.lit(10.0**-self.digits)
             bounded = asking.join(kth, [*keys, "id"], "left").withColumn("bound", bound).drop("have")
-            going = reach(cells, bounded, keys, first, last, self.ward)
+            listed = last if self.ward or not first else first + 1  # a vector with tiles ahead needs no list
+            going = reach(cells, bounded, keys, first, listed, self.ward)
             if going.isEmpty():
                 return found
+            if first and not self.ward:
+                asked = going.select(*keys, "id").distinct()
+                rest = self.by_tiles(cells, bounded.join(asked, [*keys, "id"], "left_semi"))
+                return found.join(asked, [*keys, "id"], "left_anti").unionByName(cut(rest))
             visitors, hosts = meet(cells, asking, going, cells.points, keys)
             more = cogrouped(visitors, hosts, [*keys, "cell", "sub", "salt"]).applyInArrow(lambda visitors, hosts: self.across(visitors, hosts), self.schema)
             found = cut(self.merged(found.unionByName(more)))

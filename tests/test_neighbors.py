@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from flowsift.operators import cells
+from flowsift.functions.kernels import nearest_by_products, nearest_in_block
 from flowsift.operators.approximate import approximate_nearest, share_step, tables_for
 from flowsift.operators.cells import nearest, spread_picks
 from flowsift.plans.catalog import embedding_points
@@ -75,6 +76,42 @@ def test_picks_are_spread():
     assert spread_picks(np.zeros((5, 2)), 4) == [0, 1]
 
 
+@pytest.mark.parametrize("k", [1, 5])
+def test_products_decide_as_differences_do(k):
+    rng = np.random.default_rng(k)
+    x = np.round(rng.normal(size=(400, 12)), 1) + 50
+    x[7:60] = x[6]
+    x[99, 3] = np.nan
+    own, edges = np.arange(400), np.array([0, 150, 151, 400])
+    good = np.flatnonzero(np.isfinite(x).all(axis=1))
+    at, d = nearest_in_block(x[good], x[good], np.arange(len(good)), k)
+    for bound in (np.full(400, np.inf), np.full(400, d.max())):
+        got, dist = nearest_by_products(x, x, own, k, bound, own, edges)
+        assert (got[good] == good[at]).all() and (dist[good] == d).all() and np.isinf(dist[99]).all()
+
+
+def test_vectors_without_structure_travel_once_per_block(spark, monkeypatch):
+    """Nothing can be pruned here: after the first visits vectors go through tiles, not to one cell after the other."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 24))
+    x[40:60] = x[39]
+    rows = [(0, f"e{i:04d}", [float(c) for c in v], 1.0) for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "g int, id string, vec array<double>, weight double").cache()
+    visits, plain = [], cells.meet
+    monkeypatch.setattr(cells, "TILE_NUMBERS", 4000)  # four blocks
+    monkeypatch.setattr(cells, "meet", lambda *args, **more: visits.append(1) or plain(*args, **more))
+    found = {}
+    for r in nearest(points, ["g"], k=3, block=32).collect():
+        found.setdefault(r.id, []).append((r.d, r.nid))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for i in range(600):
+        best = np.lexsort((np.arange(600), d[i]))[:3]
+        got = sorted(found[f"e{i:04d}"])
+        assert [n for _, n in got] == [f"e{j:04d}" for j in best] and np.allclose([v for v, _ in got], d[i, best])
+    assert len(visits) == 1
+
+
 def recall_of(found, exact, k):
     hits = {(r.g, r.id, r.nid) for r in found} & {(r.g, r.id, r.nid) for r in exact}
     return len(hits) / len(exact)
