@@ -3,9 +3,9 @@
 Vectors are projected on random directions and each line is cut into steps, so that near
 vectors often share all their steps (p-stable hashing). A table is one draw of directions;
 there are as many tables as the wanted recall takes for a pair at the group's usual
-distance of neighbours. Buckets are searched exactly by `cells.nearest`, which cuts large
-ones into cells, so none is capped and every distance reported is exact. What may be
-missing is a neighbour that shares no bucket.
+distance of neighbours. Buckets are searched exactly, large ones in tiles (`cells.tile`),
+so none is capped and every distance reported is exact. A vector travels once per table, and
+twice per block of its bucket where that is large. What may be missing is a neighbour that shares no bucket.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut
-from .cells import BLOCK, extend, fields, nearest
+from .cells import BLOCK, Search, extend, fields, grouped, split_large, tile, tile_sides
 from .joins import attach
 
 STEP = 4.0  # in distances of neighbours
+BUCKET_BLOCKS = 32  # blocks of vectors of one bucket that are searched by one task
 SAMPLE = 64  # vectors of a group whose neighbours are looked up exactly
 
 
@@ -101,7 +102,19 @@ def approximate_nearest(
     tables = tables_for(recall, directions)
     known = attach(points, usual_distance(points, keys, k), keys, "id")
     hashed = cut(bucketed(known, keys, tables, directions, seed))
-    near = nearest(hashed, [*keys, "table", "bucket"], k, block).select(*keys, "id", "nid", "d").distinct()
-    first = W.partitionBy(*keys, "id").orderBy("d", "nid")
-    best = near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).drop("n")
+    near = bucket_nearest(hashed, [*keys, "table", "bucket"], k, block * BUCKET_BLOCKS)
+    # at most k per table and vector come together here
+    best = near.groupBy(*keys, "id").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "nid"))), 1, k).alias("best"))
+    best = best.select(*keys, "id", F.explode("best").alias("p")).select(*keys, "id", "p.nid", "p.d")
     return best.withColumn("approximate", F.lit(True))
+
+
+def bucket_nearest(hashed: DataFrame, keys, k: int, rows: int) -> DataFrame:
+    """(keys, id, nid, d): the k nearest vectors of the same bucket, exactly; buckets of more than `rows` vectors in tiles."""
+    search = Search(hashed, keys, k, False, None)
+    small, large, _ = split_large(hashed, keys, rows)
+    found = grouped(small, keys).applyInArrow(lambda bucket: search.in_tile(bucket, bucket), search.schema)
+    if large is None:
+        return found
+    met = tile(large, large, cut(tile_sides(large, keys, rows, 1 << 30)), keys, ["id"])
+    return found.unionByName(search.merged(met.applyInArrow(lambda visitors, hosts: search.in_tile(visitors, hosts), search.schema)))

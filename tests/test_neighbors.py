@@ -112,6 +112,16 @@ def test_vectors_without_structure_travel_once_per_block(spark, monkeypatch):
     assert len(visits) == 1
 
 
+def test_large_buckets_are_searched_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr("flowsift.operators.approximate.BUCKET_BLOCKS", 2)
+    asked = []
+    monkeypatch.setattr(cells, "reach", lambda *args, **more: asked.append(1))
+    points = as_points(spark, random_groups(seed=4, groups=2, rows=150)).cache()
+    exact = {(r.g, r.id, round(r.d, 9)) for r in nearest(points, ["g"], k=3).collect()}
+    found = {(r.g, r.id, round(r.d, 9)) for r in approximate_nearest(points, ["g"], k=3, block=8).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and not asked
+
+
 def recall_of(found, exact, k):
     hits = {(r.g, r.id, r.nid) for r in found} & {(r.g, r.id, r.nid) for r in exact}
     return len(hits) / len(exact)
