@@ -9,7 +9,8 @@ the flows therefore feeds two shuffles and no join between feature blocks.
 
 The first shuffle hashes on the item too, after map-side combining, so neither
 an address nor a window that holds a third of all flows ends up in one task.
-The second one moves map-side partial sums only.
+The second one moves map-side partial sums only. Two addresses that talked to each other are one row
+in the first shuffle, whichever of them the item belongs to, and totals travel with the items they are read from only.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from __future__ import annotations
 from functools import reduce
 from math import gcd
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.scalars import floor_time, ratio
+from ..functions.scalars import EPOCH, floor_time, ratio
 from .joins import attach
 
 WINDOW = ["day", "win_sec", "win_start"]
@@ -27,6 +28,9 @@ PROFILE = [*WINDOW, "entity"]
 MIN_FLOWS = 10
 
 OWN_PORT, PEER_PORT, PEER_IP = 0, 1, 2
+KINDS = (OWN_PORT, PEER_PORT, PEER_IP)
+PAIR = "pair"  # the role of a row that is an item of either end
+ROLES = ("src", "dst", PAIR)
 
 SET_A = [
     "SrcIPContacted", "SrcPortUsed", "SrcPortContacted", "SrcTotLenRcv", "SrcTotLenSent", "SrcConnMade",
@@ -80,11 +84,13 @@ def flow_items(flows: DataFrame, minutes=30, origin: int | dict[int, int] = 0, r
     """The item table for one or more window lengths.
 
     Several lengths share one pass: items are built on the longest window that
-    divides them all, then summed into each requested length.
+    divides them all, then summed into each requested length. Packets are those of
+    ports, all other totals those of an end's own ports; elsewhere they are null.
     """
     sizes = window_seconds(minutes)
     base = reduce(gcd, sizes)
     windowed = with_window(flows, base, origin)
+    clock = windowed.schema["win_start"].dataType
     totals = ["fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes"]
     if rates:
         windowed = windowed.withColumn("icmp_pkts", F.when(F.col("protocol") == 1, F.col("fwd_pkts") + F.col("bwd_pkts")).otherwise(0))
@@ -92,9 +98,8 @@ def flow_items(flows: DataFrame, minutes=30, origin: int | dict[int, int] = 0, r
 
     def item(role, entity, kind, port=None, ip=None):
         return F.struct(
-            F.lit(role).alias("role"),
+            F.lit(ROLES.index(role) * len(KINDS) + kind).cast("tinyint").alias("what"),
             F.col(entity).alias("entity"),
-            F.lit(kind).cast("tinyint").alias("kind"),
             (F.col(port) if port else F.lit(None)).cast("int").alias("port"),
             (F.col(ip) if ip else F.lit(None)).cast("string").alias("ip"),
         )
@@ -102,21 +107,28 @@ def flow_items(flows: DataFrame, minutes=30, origin: int | dict[int, int] = 0, r
     touched = F.array(
         item("src", "src_ip", OWN_PORT, port="src_port"),
         item("src", "src_ip", PEER_PORT, port="dst_port"),
-        item("src", "src_ip", PEER_IP, ip="dst_ip"),
         item("dst", "dst_ip", OWN_PORT, port="dst_port"),
         item("dst", "dst_ip", PEER_PORT, port="src_port"),
-        item("dst", "dst_ip", PEER_IP, ip="src_ip"),
+        item(PAIR, "src_ip", PEER_IP, ip="dst_ip"),
     )
-    keys = [*PROFILE, "role", "kind", "port", "ip"]
+    kind = F.pmod(F.col("what"), F.lit(len(KINDS)))
+    read = {c: kind != PEER_IP if c in ("fwd_pkts", "bwd_pkts") else kind == OWN_PORT for c in totals}
+    # short keys: the start as a number, role and kind as one; a constant length need not travel
     items = (
-        windowed.select(*WINDOW, *totals, F.explode(touched).alias("item"))
-        .select(*WINDOW, "item.*", *totals)
-        .groupBy(*keys)
-        .agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in totals])
+        windowed.select("day", _seconds(F.col("win_start"), clock).alias("start"), *totals, F.explode(touched).alias("item"))
+        .select("day", "start", "item.*", *totals)
+        .groupBy("day", "start", "entity", "what", "port", "ip")
+        .agg(F.count("*").alias("n"), *[F.sum(F.when(used, F.col(c))).alias(c) for c, used in read.items()])
     )
+    role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.floor(F.col("what") / len(KINDS)).cast("int") + 1)
+    items = items.select(
+        "day", F.lit(base).alias("win_sec"), _from_seconds(F.col("start"), clock).alias("win_start"),
+        "entity", role.alias("role"), kind.cast("tinyint").alias("kind"), "port", "ip", "n", *totals,
+    )
+    keys = [*PROFILE, "role", "kind", "port", "ip"]
     if sizes == [base]:
-        return items
-    return (
+        return _of_both_ends(items)
+    return _of_both_ends(
         items.withColumn("win_sec", F.explode(F.array(*[F.lit(s) for s in sizes])))
         .withColumn("win_start", floor_time(F.col("win_start"), F.col("win_sec"), _offset(origin)))
         .groupBy(*keys)
@@ -124,6 +136,35 @@ def flow_items(flows: DataFrame, minutes=30, origin: int | dict[int, int] = 0, r
     )
 
 
+def _seconds(start: Column, kind: T.DataType) -> Column:
+    """A window's start, which is a whole second, as the seconds since 1970; for wall-clock times on their own clock."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("SECOND", F.expr(EPOCH), start)
+    return F.unix_seconds(start)
+
+
+def _from_seconds(seconds: Column, kind: T.DataType) -> Column:
+    """What `_seconds` was made from."""
+    if not isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_seconds(seconds)
+    days = F.floor(seconds / 86400).cast("int")
+    return F.timestamp_add("SECOND", F.pmod(seconds, F.lit(86400)).cast("int"), F.timestamp_add("DAY", days, F.expr(EPOCH)))
+
+
+def _of_both_ends(items: DataFrame) -> DataFrame:
+    """`items` with every pair of addresses as an item of its source and one of its destination."""
+    own, other, pair = F.col("entity"), F.col("ip"), F.col("role") == PAIR
+
+    def end(role, entity, ip):
+        return F.struct(role.alias("role"), entity.alias("entity"), ip.alias("ip"))
+
+    ends = F.when(pair, F.array(end(F.lit("src"), own, other), end(F.lit("dst"), other, own))).otherwise(
+        F.array(end(F.col("role"), own, other))
+    )
+    names = [F.col(f"end.{c}").alias(c) if c in ("role", "entity", "ip") else F.col(c) for c in items.columns]
+    return items.withColumn("end", F.explode(ends)).select(*names)
+
+
 def _port_cell(ports: DataFrame | None, items: DataFrame, roles):
     """Items with `cell` = (feature name, value) where the port was chosen.
 

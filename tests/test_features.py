@@ -199,3 +199,29 @@ def test_raw_vectors_follow_the_ports_of_the_day(spark):
     got = {(r.day, r.entity): r.raw for r in vc.raw_vectors(ft.extract(f, ports, 1, 30), ft.SET_A, ports).collect()}
     assert got[1, IN][12:] == [0.0, 1.0, 0.0, 0.0]
     assert got[2, OUT][12:] == [0.0] * 6 + [1.0, 0.0]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_items_travel_with_short_keys_and_what_is_read_of_them(spark, kind):
+    columns = ["day", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flow_duration", "fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes", "syn_cnt"]
+    rows = [
+        (1, "1969-12-31 23:59:59", "172.31.0.1", "1.1.1.1", 5, 80, 6, 1.0, 2, 3, 10.0, 20.0, 0.0),
+        (1, "2024-03-31 02:30:00", "172.31.0.1", None, 5, 80, 1, 1.0, 4, 5, 30.0, 40.0, 1.0),
+        (1, "2024-03-31 02:31:00", "2.2.2.2", "172.31.0.1", 5, 5, 6, 1.0, 6, 7, 50.0, 60.0, 1.0),
+    ]
+    flows = spark.createDataFrame(rows, columns).withColumn("ts", F.col("ts").cast(kind))
+    items = ft.flow_items(flows, 30)
+    assert dict(items.dtypes)["win_start"] == kind and {r.win_sec for r in items.collect()} == {1800}
+    starts = sorted({str(r.w) for r in items.select(F.col("win_start").cast("string").alias("w")).collect()})
+    assert starts == ["1969-12-31 23:30:00", "2024-03-31 02:30:00"]
+    peers = {(r.role, r.entity, r.ip) for r in items.filter(F.col("kind") == ft.PEER_IP).collect()}
+    assert peers == {
+        ("src", "172.31.0.1", "1.1.1.1"), ("dst", "1.1.1.1", "172.31.0.1"), ("src", "172.31.0.1", None), ("dst", None, "172.31.0.1"),
+        ("src", "2.2.2.2", "172.31.0.1"), ("dst", "172.31.0.1", "2.2.2.2"),
+    }
+    assert items.count() == 3 * 6
+    assert items.filter((F.col("kind") != ft.OWN_PORT) & F.col("fwd_bytes").isNotNull()).isEmpty()
+    assert items.filter((F.col("kind") == ft.PEER_IP) & F.col("fwd_pkts").isNotNull()).isEmpty()
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("win_sec" in line or "role" in line for line in moved)
