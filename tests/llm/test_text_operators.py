@@ -523,3 +523,12 @@ def test_words_do_not_cross_texts():
     for limit in (1, 3, 100):
         found = [(first + int(d), int(n)) for first, last, data, offsets in chunks(column, limit) for d, n in zip(*find_words(data, offsets)[0:3:2])]
         assert found == [(0, 2), (1, 2), (1, 2), (4, 2), (4, 1)]
+
+
+def test_ids_are_widened_without_python_workers(spark):
+    ids = np.array([0, 1, 255, 256, 40_000, 65_535, 10, 2], "<u2")
+    packed = spark.createDataFrame([(1, ids.tobytes()), (2, b""), (3, ids[:1].tobytes())], "doc_id long, ids binary")
+    wide = packing.widened(packed, "<u2")
+    assert "InArrow" not in wide._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in wide.collect()}
+    assert got == {1: ids.tolist(), 2: [], 3: [0]} and wide.schema == packed.schema
