@@ -10,8 +10,8 @@ each other, so such a bucket needs its first line only, not its pairs.
 
 Emitting the neighbourhood of every line would multiply the text. One edit leaves
 the first or the last half of a line as it was, so only lines that share a half with
-a different line are expanded. A line that shares none has no partner, so nothing is
-lost. Until then lines travel as hashes; a bitmap of fixed size then picks out the
+a different line are expanded, and only by deletions from the other half. A line that shares
+none has no partner, so nothing is lost. Until then lines travel as hashes; a bitmap of fixed size then picks out the
 few lines and documents whose words are needed (it may let others through, never
 the reverse).
 
@@ -43,12 +43,15 @@ PLACE = ["doc_id", "line_no", "text_hash"]
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, text_hash, line): what stands between newlines, all other white space as spaces.
 
-    White space is replaced once per text; plain searches are far cheaper here than a pattern.
+    White space is replaced once per text, where there is any; plain searches are far cheaper here than a pattern.
+    A text is hashed before it is taken apart, not once per line.
     """
-    text = F.col("text")
+    spaced, any_other = F.col("text"), F.lit(False)
     for other in "\t\x0b\x0c\r":
-        text = F.replace(text, F.lit(other), F.lit(" "))
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+        spaced = F.replace(spaced, F.lit(other), F.lit(" "))
+        any_other = any_other | F.contains(F.col("text"), F.lit(other))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.when(any_other, spaced).otherwise(F.col("text")).alias("text"))
+    return keyed.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def words_of(line: Column) -> Column:
@@ -83,7 +86,9 @@ def hashed(docs: DataFrame, cfg: LineDedup) -> DataFrame:
     has w words the halves have (w - 1) div 2 words each. A line is the longer one or a
     word shorter, so it has two pairs of halves.
     """
-    lines = split_lines(docs).select(*PLACE, words_of(F.col("line")).alias("words")).withColumn("n", _count(F.col("words"))).filter("n > 0")
+    # blank lines go by their text: a filter on the count would be moved below it and count every line a second time
+    lines = split_lines(docs).filter(F.trim("line") != "").select(*PLACE, words_of(F.col("line")).alias("words"))
+    lines = lines.withColumn("n", _count(F.col("words")))
     own = F.when(F.col("n") < cfg.min_words, F.xxhash64("doc_id", "text_hash")).otherwise(F.lit(0).cast("long"))
     halves = []
     for more in (0, 1):
@@ -103,12 +108,16 @@ def first_of_equals(hashes: DataFrame) -> DataFrame:
 
 
 def sharing_halves(hashes: DataFrame, cfg: LineDedup) -> DataFrame:
-    """(h): long lines that share a half with a different line."""
-    keyed = hashes.filter(F.col("n") >= cfg.near_words).select("h", F.explode(F.array(*(f"half{i}" for i in range(4)))).alias("half"))
+    """(h, front, back): long lines that share a half with a different line, and whether they do as the longer of the two.
+
+    `front` is true for the first half and `back` for the last one.
+    """
+    keyed = hashes.filter(F.col("n") >= cfg.near_words).select("h", F.posexplode(F.array(*(f"half{i}" for i in range(4)))).alias("which", "half"))
     many = keyed.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("half")
     many = cut(many)
-    likely = marked(keyed, F.col("half"), bitmap(many, F.col("half"), cfg), "held", cfg).filter("held").select("h", "half")
-    return likely.join(many.hint("merge"), "half").select("h").distinct()
+    likely = marked(keyed, F.col("half"), bitmap(many, F.col("half"), cfg), "held", cfg).filter("held").select("h", "which", "half")
+    shared = likely.join(many.hint("merge"), "half").groupBy("h")
+    return shared.agg(F.max(F.col("which") == 0).alias("front"), F.max(F.col("which") == 1).alias("back"))
 
 
 def bitmap(keys: DataFrame, key: Column, cfg: LineDedup) -> DataFrame:
@@ -128,9 +137,29 @@ def marked(df: DataFrame, key: Column, bits: DataFrame, name: str, cfg: LineDedu
     return joined.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(word, found, extra)
 
 
-def _without(words: Column, at: Column) -> Column:
-    """`words` without the one at `at`, counted from 0."""
-    return F.trim(F.concat(_first(words, at), F.lit(" "), _first(words, at + 1 - _count(words))))
+def _without(words: Column, at: Column, n: Column | None = None) -> Column:
+    """`words`, of which there are `n`, without the one at `at`, counted from 0."""
+    return F.trim(F.concat(_first(words, at), F.lit(" "), _first(words, at + 1 - (_count(words) if n is None else n))))
+
+
+def deletions(lines: DataFrame) -> DataFrame:
+    """(h, n, place, at, rest): the distinct `lines` without their word `at`, as hashes.
+
+    A partner that differs at a word of the last half shares the first one, and the other way round;
+    so a line is taken apart in the half opposite to one that it shares. The shared half is put back whole.
+    """
+    low = F.floor(F.col("n") / 2).cast("int")
+    first, last = _first(F.col("words"), low), _first(F.col("words"), low - F.col("n"))
+    sides = F.array(
+        F.struct(F.col("front").alias("open"), F.lit(True).alias("upper"), (F.col("n") - low).alias("m"), last.alias("part"), first.alias("kept")),
+        F.struct(F.col("back").alias("open"), F.lit(False).alias("upper"), low.alias("m"), first.alias("part"), last.alias("kept")),
+    )
+    halves = lines.select("h", "n", "place", F.explode(sides).alias("side")).filter("side.open AND side.m > 0")
+    each = halves.select("h", "n", "place", "side.*", F.explode(F.sequence(F.lit(0), F.col("side.m") - 1)).alias("i"))
+    part = _without(F.col("part"), F.col("i"), F.col("m"))
+    rest = F.when(F.col("upper"), F.concat("kept", F.lit(" "), part)).otherwise(F.concat(part, F.lit(" "), "kept"))
+    at = F.when(F.col("upper"), F.col("n") - F.col("m")).otherwise(F.lit(0)) + F.col("i")
+    return each.select("h", "n", "place", at.alias("at"), _hash(F.trim(rest)).alias("rest"))
 
 
 def meeting(gone: DataFrame, whole: DataFrame, cfg: LineDedup) -> DataFrame:
@@ -146,10 +175,9 @@ def meeting(gone: DataFrame, whole: DataFrame, cfg: LineDedup) -> DataFrame:
 
 
 def near_earlier(lines: DataFrame, cfg: LineDedup) -> DataFrame:
-    """(h): those of the distinct `lines` (h, words, n, place) that are near an earlier one of them."""
+    """(h): those of the distinct `lines` (h, words, n, place, front, back) that are near an earlier one of them."""
     whole = lines.select("h", "place")
-    places = lines.select("h", "n", "place", "words", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-    gone = cut(places.select("h", "n", "place", "at", _hash(_without(F.col("words"), F.col("at"))).alias("rest")))
+    gone = cut(deletions(lines))
     first = F.min(F.struct("place", "h")).alias("first")
     gone = meeting(gone, whole, cfg)
     # a word replaced: the first line of each (place of the word, rest)
@@ -175,7 +203,8 @@ def dropped_lines(docs: DataFrame, cfg: LineDedup = LineDedup()) -> DataFrame:
     """(doc_id, text_hash, drops): the numbers, from 0, of the lines that go, per document that loses any."""
     hashes = cut(hashed(docs, cfg))
     unique = cut(first_of_equals(hashes))
-    some = cut(unique.join(sharing_halves(hashes, cfg).hint("merge"), "h", "left_semi").select("h", "n", "place", _spot("place.").alias("spot")))
+    some = unique.join(sharing_halves(hashes, cfg).hint("merge"), "h")
+    some = cut(some.select("h", "n", "place", "front", "back", _spot("place.").alias("spot")))
     at_spot = split_lines(docs).withColumn("spot", _spot())
     held = marked(at_spot, F.col("spot"), bitmap(some, F.col("spot"), cfg), "held", cfg).filter("held")
     held = held.select("spot", words_of(F.col("line")).alias("words"))

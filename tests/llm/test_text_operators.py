@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from flowsift.llm import chat, decontaminate, lines, minhash, packing, pii, quality, sharding, toxicity
 from flowsift.llm.queries import word_tokenizer
@@ -145,6 +146,42 @@ def test_lines_equal_brute_force(spark):
     assert got == Counter((i, s) for j, u in rows for i, t, s in brute_lines(rows) if (i, t) == (j, u))
 
 
+@pytest.mark.parametrize("n", [8, 9, 20, 21])
+def test_lines_are_taken_apart_in_the_half_that_differs(spark, n):
+    """One edit at any place is found, and no deletion is made from a half that a line shares with its partners."""
+    rng = random.Random(n)
+    rows, low, wanted = [], n // 2, 0
+    for at in range(n):
+        base = [f"b{at}x{j}" for j in range(n)]
+        other = base[:at] + [rng.choice(["new", base[at - 1]])] + base[at + 1 :]
+        longer = base[:at] + [f"more{at}"] + base[at:]
+        rows += [(10 * at + k, "  ".join(words)) for k, words in enumerate(rng.sample([base, other, longer], 3))]
+        # of `base` and `other` the half that differs, of `longer` the half with the word put in, and some beside the middle
+        wanted += 2 * (n - low if at >= low else low) + n + 1
+    cfg = lines.LineDedup()
+    docs = table(spark, rows)
+    found = lines.dropped_lines(docs, cfg).collect()
+    assert {r.doc_id for r in found} == {i for i, t, s in brute_lines(rows) if s == ""} and len(found) >= n
+    hashes = lines.hashed(docs, cfg)
+    sides = {r.h: (r.front, r.back) for r in lines.sharing_halves(hashes, cfg).collect()}
+    whole = {r.h: r.words for r in lines.split_lines(docs).select(lines.words_of(F.col("line")).alias("words")).withColumn("h", lines._hash(F.col("words"))).collect()}
+    apart = spark.createDataFrame([(h, whole[h], len(whole[h].split()), *sides[h]) for h in sides], "h long, words string, n int, front boolean, back boolean")
+    gone = lines.deletions(apart.withColumn("place", F.lit(0))).collect()
+    rest = spark.createDataFrame(
+        [(r.h, r.at, " ".join(w for k, w in enumerate(whole[r.h].split()) if k != r.at)) for r in gone], "h long, at int, rest string"
+    ).withColumn("rest", lines._hash(F.col("rest")))
+    assert {(r.h, r.at, r.rest) for r in gone} == {(r.h, r.at, r.rest) for r in rest.collect()}
+    assert len(gone) == len({(r.h, r.at) for r in gone}) <= wanted < sum(len(whole[h].split()) for h in sides)
+
+
+def test_words_of_a_line_are_counted_once(spark):
+    """No filter repeats what a later column needs, and a text is hashed once, not once per line."""
+    plan = lines.hashed(table(spark, [(1, "a b")]), lines.LineDedup())._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.split("\n") if "Filter" in x]
+    assert filters and not any("replace" in x or "array_join" in x for x in filters)
+    assert plan.count("xxhash64(text") == 1 and plan.index("Generate") < plan.index("xxhash64(text")
+
+
 def test_line_counts_leave_columns_of_the_same_name(spark):
     rows = [(1, "a b c d e f\nx", 777, 888), (2, "a b c d e f\n  a  b\tc d e f", 777, 888), (3, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lines_before long, Lines_Dropped long")
