@@ -58,16 +58,16 @@ def fields(df: DataFrame, names) -> T.StructType:
     return T.StructType([df.schema[n] for n in names])
 
 
-def grouped(df: DataFrame, names):
-    return spread(df, names).groupBy(*names)
+def grouped(df: DataFrame, names, parts: int | None = None):
+    return spread(df, names, parts).groupBy(*names)
 
 
-def cogrouped(left: DataFrame, right: DataFrame, names, placed: bool = False):
+def cogrouped(left: DataFrame, right: DataFrame, names, placed: bool = False, parts: int | None = None):
     """Both tables grouped on `names`; the right side gets columns of its own,
     so that two tables of one origin can meet. With `placed` the left side
     already lies where `spread` would put it."""
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    return (left.groupBy(*names) if placed else grouped(left, names)).cogroup(grouped(right, names))
+    return (left.groupBy(*names) if placed else grouped(left, names, parts)).cogroup(grouped(right, names, parts))
 
 
 def group_sizes(points: DataFrame, keys, block: int = BLOCK) -> DataFrame:

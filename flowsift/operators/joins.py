@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SALTS = 64
+CALL, PART = 10**6, 10**8  # operations that the call of a kernel is worth, and a partition of a loop
 
 
 def attach(rows: DataFrame, per_group: DataFrame, keys, by: str, how: str = "inner") -> DataFrame:
@@ -21,10 +22,19 @@ def attach(rows: DataFrame, per_group: DataFrame, keys, by: str, how: str = "inn
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def spread(df: DataFrame, names) -> DataFrame:
-    """`df` hashed on `names` over all shuffle partitions.
+def spread(df: DataFrame, names, parts: int | None = None) -> DataFrame:
+    """`df` hashed on `names` over all shuffle partitions, or over `parts`.
 
     Block kernels cost far more than the bytes they read, so their partitions
     must not be merged by size; a repartition with a given number never is.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names)
+    return df.repartition(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names)
+
+
+def parts_for(spark: SparkSession, calls: int, operations: int) -> int:
+    """Partitions worth their start, at most all shuffle partitions, for kernels called `calls` times that do `operations` in all.
+
+    For loops, whose every round pays for each partition again.
+    """
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, -(-(calls * CALL + operations) // PART)))

@@ -25,7 +25,7 @@ from ..functions.kernels import (
 from ..session import cut, cut_placed
 from .cells import BLOCK, cogrouped, extend, fields, grouped, split_large
 from .elbow import elbow
-from .joins import attach, spread
+from .joins import attach, parts_for, spread
 
 K_MIN, K_MAX = 2, 29
 RESTARTS = 10
@@ -161,13 +161,24 @@ def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema
     blocks = F.ceil(F.col("n") / F.col("lim")).cast("int")
     here = [*keys, "blk"]
     stats = points.groupBy(*keys).agg(
-        F.sum("weight").alias("total"), F.max(F.array_max(F.transform("vec", F.abs))).alias("top")
+        F.sum("weight").alias("total"), F.max(F.array_max(F.transform("vec", F.abs))).alias("top"), F.max(F.size("vec")).alias("dims")
     )
-    known = cut(sizes.select(*keys, blocks.alias("blocks")).join(stats, keys))
-    placed = attach(points, known, keys, "id")
+    known = cut(sizes.select(*keys, "n", blocks.alias("blocks")).join(stats, keys))
+    placed = attach(points, known.drop("n", "dims"), keys, "id")
     # stored already split by block, so that the passes below need not move the vectors
     placed = placed.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    placed = cut_placed(spread(placed, here))
+    # a step is paid for by the partition, so there are as many as its work is worth
+    if starts is None:
+        ks = range(K_MIN, K_MAX + 1)
+        starting = known.withColumn("runs", F.lit(restarts * len(ks))).withColumn("centres", F.lit(restarts * sum(ks)))
+    else:
+        starting = known.join(starts.groupBy(*keys).agg(F.count_distinct("k").alias("runs"), F.count("*").alias("centres")), keys, "left")
+    products = F.sum(F.col("n") * F.col("dims") * F.col("centres")).alias("products")
+    work = starting.agg(F.sum("blocks").alias("blocks"), F.sum("runs").alias("runs"), products).first()
+    spark = points.sparkSession
+    parts = parts_for(spark, work.blocks or 0, work.products or 0)
+    few = parts_for(spark, work.runs or 0, 0)
+    placed = cut_placed(spread(placed, here, parts))
     counts = known.select(*keys, "blocks")
 
     def copies(table: DataFrame) -> DataFrame:
@@ -212,16 +223,16 @@ def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema
     def advance(centres: DataFrame) -> DataFrame:
         """`centres` moved by one step. What blocks add is summed per coordinate, in whole numbers."""
         centres = centres.select(*run, "c", "centre")
-        added = cogrouped(placed, copies(centres), here, placed=True).applyInArrow(step, partial)
+        added = cogrouped(placed, copies(centres), here, placed=True, parts=parts).applyInArrow(step, partial)
         sums = added.select(*run, "c", F.posexplode("adds").alias("pos", "v")).groupBy(*run, "c", "pos").agg(F.sum("v").alias("v"))
-        return cogrouped(centres.join(known.drop("blocks"), keys), sums, run).applyInArrow(settle, gone)
+        return cogrouped(centres.join(known.select(*keys, "total", "top"), keys), sums, run, parts=few).applyInArrow(settle, gone)
 
     middle = placed.groupBy(*keys).agg(F.first("vec").alias("centre")).select(
         *keys, F.lit(0).alias("restart"), F.lit(1).alias("k"), F.lit(0).alias("c"), F.transform("centre", lambda v: v * 0.0).alias("centre")
     )
     limits = cut(advance(cut(advance(cut(middle)))).select(*keys, F.col("limit").alias("most")))
     if starts is None:
-        moving = cut(_large_seeds(placed, copies, keys, restarts))
+        moving = cut(_large_seeds(placed, copies, keys, restarts, parts))
     else:
         mine = starts.join(counts.select(*keys), keys, "left_semi")
         moving = cut(mine.select(*keys, F.lit(0).alias("restart"), "k", "c", "centre"))
@@ -242,7 +253,7 @@ def _large_grid(points: DataFrame, sizes: DataFrame, keys, restarts: int, schema
     return settled.join(best, run).select(*schema.names)
 
 
-def _large_seeds(placed: DataFrame, copies, keys, restarts: int) -> DataFrame:
+def _large_seeds(placed: DataFrame, copies, keys, restarts: int, parts: int) -> DataFrame:
     """(keys, restart, k, c, centre): first centres of the large groups, by k-means++ as for small ones.
 
     A pick is the vector that wins a race by weight × squared distance to the picks
@@ -286,7 +297,7 @@ def _large_seeds(placed: DataFrame, copies, keys, restarts: int) -> DataFrame:
         if chosen is None:
             sent = placed.groupBy(*here).applyInArrow(lambda rows: kernel(rows, None), offer)
         else:
-            both = cogrouped(placed, copies(chosen.select(*keys, "restart", "c", "vec")), here, placed=True)
+            both = cogrouped(placed, copies(chosen.select(*keys, "restart", "c", "vec")), here, placed=True, parts=parts)
             sent = both.applyInArrow(lambda rows, picks: kernel(rows, picks) if rows.num_rows else _no_offer(picks, keys), offer)
         won = sent.groupBy(*keys, "restart").agg(F.min(F.struct("loss", "id", "vec")).alias("p"))
         won = cut(won.select(*keys, "restart", F.lit(step).alias("c"), "p.vec"))

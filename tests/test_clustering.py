@@ -1,12 +1,12 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from flowsift.operators import ward
+from flowsift.operators import joins, kmeans, ward
 from flowsift.operators.kmeans import choose_k, cluster_profile, inertia_curve, kmeans_grid, kmeans_labels
 from flowsift.operators.vectors import distinct_vectors, members
 from flowsift.operators.ward import ward_clusters
-from flowsift.session import cut
+from flowsift.session import cut, cut_placed
 
 from .helpers import as_vectors, random_groups
 from .test_density import elbow_position
@@ -135,6 +135,36 @@ def test_kmeans_does_not_depend_on_the_block(spark):
     assert {r[3] for r in whole.values()} == {False, True}
 
 
+def test_kmeans_steps_take_as_many_partitions_as_their_work(spark, monkeypatch):
+    """Steps over few blocks are not dealt to all shuffle partitions, steps over many are."""
+    unique = cut(distinct_vectors(as_vectors(spark, random_groups(seed=15, groups=2, rows=150)), ["g"]))
+    first = unique.select("g", F.col("vec").alias("centre"), (F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1).alias("c"))
+    starts = cut(first.filter("c < 3").select("g", F.lit(3).alias("k"), "c", "centre"))
+    elsewhere = starts.withColumn("g", F.lit(-1).cast(starts.schema["g"].dataType))  # centres of no large group
+    placed = []
+
+    def stored(df):
+        placed.append(df.rdd.getNumPartitions())
+        return cut_placed(df)
+
+    monkeypatch.setattr(kmeans, "cut_placed", stored)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+
+    def grid(block, starts):
+        rows = kmeans_grid(unique, ["g"], block=block, steps=4, starts=starts).collect()
+        return {(r.g, r.k, r.c): (tuple(r.centre), r.inertia) for r in rows}
+
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        assert grid(32, starts) == grid(1024, starts) and placed == [1]
+        assert grid(32, elsewhere) == {} and placed == [1, 1]
+        assert [joins.parts_for(spark, n, 0) for n in (0, 1, 10**9)] == [1, 1, 24]
+        monkeypatch.setattr(joins, "PART", 10**5)
+        assert grid(32, starts) == grid(1024, starts) and placed[2:] == [24]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_kmeans_does_not_depend_on_partitions(spark):
     vectors = as_vectors(spark, random_groups(seed=9, groups=2, rows=60))
     runs = []
