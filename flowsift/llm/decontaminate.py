@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .words import ALNUM, Words, chunks, find_words, mix, seeds, shingles, unspaced
 
+WINDOW_WORDS = 1 << 17  # of the windows that one item is aligned with at once, or one window
+
 
 @dataclass(frozen=True)
 class Decontaminate:
@@ -133,12 +135,16 @@ def _pairs(doc, hashes, reach):
     return np.concatenate(rows), np.concatenate(pairs), np.concatenate(at)
 
 
-def _known(kinds, values):
+def _sieve(kinds) -> np.ndarray:
+    """Marks the low bits of all `kinds`, in a table sixteen times as long or longer."""
+    maybe = np.zeros(1 << max(10, (16 * len(kinds)).bit_length()), bool)
+    maybe[(kinds & np.uint64(len(maybe) - 1)).astype(np.int64)] = True
+    return maybe
+
+
+def _known(kinds, values, sieve):
     """(index of a value, its first place in the sorted `kinds`) of all values among them."""
-    bits = np.uint64((1 << max(10, (16 * len(kinds)).bit_length())) - 1)
-    maybe = np.zeros(int(bits) + 1, bool)
-    maybe[(kinds & bits).astype(np.int64)] = True
-    some = np.flatnonzero(maybe[(values & bits).astype(np.int64)])
+    some = np.flatnonzero(sieve[(values & np.uint64(len(sieve) - 1)).astype(np.int64)])
     at = np.searchsorted(kinds, values[some])
     good = at < len(kinds)
     good[good] = kinds[at[good]] == values[some[good]]
@@ -185,11 +191,11 @@ def align(item: np.ndarray, windows: np.ndarray, cfg: Decontaminate) -> tuple[np
     return best, end
 
 
-def _verbatim(words: Words, rows: int, items: Items, best: dict) -> None:
+def _verbatim(words: Words, rows: int, items: Items, sieves: dict, best: dict) -> None:
     """Adds the first place of every short item in each text to `best`."""
     for size, (known, numbers) in items.short.items():
         doc, found = shingles(words, size, rows, False)
-        hit, low = _known(known, found)
+        hit, low = _known(known, found, sieves[size])
         # shingles are in text order: those of a row follow its own first one
         begins = np.searchsorted(doc, np.arange(rows))
         for h, at in zip(hit.tolist(), low.tolist()):
@@ -202,10 +208,11 @@ def _verbatim(words: Words, rows: int, items: Items, best: dict) -> None:
 
 def _matches(column: pa.Array, items: Items, cfg: Decontaminate):
     """(first row, last row, row, item, score, start word, end word) for runs of rows."""
+    sieve, sieves = _sieve(items.pair), {size: _sieve(known) for size, (known, _) in items.short.items()}
     for first, last, data, offsets in chunks(column):
         words = passage_words(data, offsets)
         doc, pairs, at = _pairs(words.doc, words.hash, cfg.reach)
-        hit, low = _known(items.pair, pairs)
+        hit, low = _known(items.pair, pairs, sieve)
         many = np.searchsorted(items.pair, pairs[hit], "right") - low
         seed = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         row, item = np.repeat(doc[hit], many), items.item[seed]
@@ -221,8 +228,9 @@ def _matches(column: pa.Array, items: Items, cfg: Decontaminate):
             own = keys[keys[:, 0] == i]
             size = int(sizes[i])
             pad = cfg.slack(size)
-            for part in range(0, len(own), 512):
-                rows, lanes = own[part : part + 512, 1], own[part : part + 512, 2]
+            step = max(1, min(512, WINDOW_WORDS // (2 * size + 2 * pad)))
+            for part in range(0, len(own), step):
+                rows, lanes = own[part : part + step, 1], own[part : part + step, 2]
                 start = lanes * size - pad
                 place = start[:, None] + np.arange(2 * size + 2 * pad)
                 length = (opens[rows + 1] - opens[rows])[:, None]
@@ -245,7 +253,7 @@ def _matches(column: pa.Array, items: Items, cfg: Decontaminate):
             old = best.get((r, i))
             if old is None or (s, -b) > (old[0], -old[1]):
                 best[r, i] = (s, b, e)
-        _verbatim(words, last - first, items, best)
+        _verbatim(words, last - first, items, sieves, best)
         yield first, last, best
 
 
@@ -269,12 +277,13 @@ def _block(rows, docs: DataFrame, cfg: Decontaminate) -> Items:
     kinds = items.kinds
 
     def run(batches):
+        sieve = _sieve(kinds)
         total = np.zeros(len(kinds), np.int64)
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column(0)):
                 words = passage_words(data, offsets)
                 doc, pairs, _ = _pairs(words.doc, words.hash, cfg.reach)
-                some, at = _known(kinds, pairs)
+                some, at = _known(kinds, pairs, sieve)
                 once = np.unique(doc[some] * len(kinds) + at)
                 total += np.bincount(once % max(len(kinds), 1), minlength=len(kinds))
         some = np.flatnonzero(total)

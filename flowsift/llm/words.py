@@ -1,8 +1,8 @@
 """Words of whole Arrow columns and their 64-bit fingerprints, in numpy.
 
-A text column is worked on in its UTF-8 buffer, a few megabytes at a time, so a
+A text column is worked on in its UTF-8 buffer, half a megabyte at a time, so a
 task's memory does not depend on how many rows a batch holds; a single text is
-never cut.
+never cut. Some places hold 60 bytes for each byte of text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 ODD = 0x9E3779B97F4A7C15
 
 BYTES = np.arange(256)

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -262,6 +263,30 @@ def test_decontamination_equals_alignment_of_every_pair(spark):
     assert len(want) >= 45 and all((1000 + i, len(items) - 1) in want for i in range(12))
 
 
+def test_a_task_holds_little_beside_its_batch():
+    rng = random.Random(5)
+    cfg = decontaminate.Decontaminate()
+    common = sentence(rng, 3000, 3000)
+    items = decontaminate.Items([1, 2], [" ".join(sentence(rng, 40, 3000)), " ".join(common)], cfg)
+    items.keep_rare(np.ones(len(items.kinds), np.int64))
+    texts = pa.array([" ".join(sentence(rng, 500, 3000)) for _ in range(1500)])  # of some 4 MB
+    parts = pa.array([" ".join(common[i : i + 30]) for i in range(0, 2900, 5)])  # all of one long item
+    whole = pa.array([" ".join(sentence(rng, 20, 3000) + common)])
+
+    def found(column):
+        return [(first + int(row), items.ids[i]) for first, _, best in decontaminate._matches(column, items, cfg) for row, i in best]
+
+    assert texts.nbytes > 1 << 22
+    steps = [lambda: found(texts), lambda: found(parts), lambda: list(quality.statistics(texts)), lambda: list(minhash._sets(texts, minhash.NearDup()))]
+    for i, step in enumerate(steps):
+        tracemalloc.start()
+        step()
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert most < 50e6, (i, most)
+    assert found(whole) == [(0, 2)]
+
+
 def test_short_items_and_scripts_without_spaces_are_found(spark):
     items = [
         (1, "What is the capital city of France?"), (2, "who wrote it"), (3, "yes"), (4, "日本で一番高い山は何ですか？"),
