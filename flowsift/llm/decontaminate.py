@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import ALNUM, Words, chunks, find_words, mix, seeds, shingles, unspaced
+from .words import ALNUM, Words, chunks, find_words, giving_back, mix, seeds, shingles, unspaced
 
 WINDOW_WORDS = 1 << 17  # of the windows that one item is aligned with at once, or one window
 
@@ -206,9 +206,14 @@ def _verbatim(words: Words, rows: int, items: Items, sieves: dict, best: dict) -
                 at += 1
 
 
-def _matches(column: pa.Array, items: Items, cfg: Decontaminate):
-    """(first row, last row, row, item, score, start word, end word) for runs of rows."""
-    sieve, sieves = _sieve(items.pair), {size: _sieve(known) for size, (known, _) in items.short.items()}
+def _sieves(items: Items):
+    """The sieve of the seeds, and one for each size of short items."""
+    return _sieve(items.pair), {size: _sieve(known) for size, (known, _) in items.short.items()}
+
+
+def _matches(column: pa.Array, items: Items, cfg: Decontaminate, made=None):
+    """(first row, last row, row, item, score, start word, end word) for runs of rows; `made` are the items' sieves, if there already."""
+    sieve, sieves = made or _sieves(items)
     for first, last, data, offsets in chunks(column):
         words = passage_words(data, offsets)
         doc, pairs, at = _pairs(words.doc, words.hash, cfg.reach)
@@ -290,7 +295,7 @@ def _block(rows, docs: DataFrame, cfg: Decontaminate) -> Items:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["kind", "df"])
 
     df = np.zeros(len(kinds), np.int64)
-    counted = docs.select("text").mapInArrow(run, "kind long, df long").groupBy("kind").agg(F.sum("df").alias("df"))
+    counted = docs.select("text").mapInArrow(giving_back(run), "kind long, df long").groupBy("kind").agg(F.sum("df").alias("df"))
     for row in counted.toLocalIterator():
         df[row["kind"]] = row["df"]
     items.keep_rare(df)
@@ -316,8 +321,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontaminate = Dec
     for items in blocks(spark, benchmark, docs, cfg):
 
         def run(batches, items=items):
+            made = _sieves(items)
             for batch in batches:
-                for first, _, best in _matches(batch.column(1), items, cfg):
+                for first, _, best in _matches(batch.column(1), items, cfg, made):
                     if not best:
                         continue
                     rows = pa.array([first + int(r) for r, _ in best])
@@ -331,7 +337,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontaminate = Dec
                         ["doc_id", "item_id", "score", "start_word", "end_word"],
                     )
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", "text").mapInArrow(giving_back(run), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out.distinct()
 
@@ -346,11 +352,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, cfg: Decontaminate = Decon
     for items in blocks(docs.sparkSession, benchmark, docs, cfg):
 
         def run(batches, items=items):
+            made = _sieves(items)
             for batch in batches:
-                for first, last, best in _matches(batch.column(text), items, cfg):
+                for first, last, best in _matches(batch.column(text), items, cfg, made):
                     clean = np.ones(last - first, bool)
                     clean[[r for r, _ in best]] = False
                     yield batch.slice(first, last - first).filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(giving_back(run), docs.schema)
     return out

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..operators.components import connected
 from ..session import cut
 from .tables import by_ids, fresh
-from .words import ODD, chunks, distinct, find_words, mix, seeds, shingles
+from .words import ODD, chunks, distinct, find_words, giving_back, mix, seeds, shingles
 
 EMPTY_SLOT = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -124,7 +124,7 @@ def sketches(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
                 )
 
     schema = "doc_id long, n long, h1 long, h2 long, bands array<long>, " + ", ".join(f"b{i} long" for i in range(longs))
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), schema)
 
 
 def shingle_sets(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
@@ -141,7 +141,7 @@ def shingle_sets(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
                     ["doc_id", "items"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, items array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..session import cut
 from .tables import spread_ranks
-from .words import chunks
+from .words import chunks, giving_back
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,8 @@ def token_pieces(docs: DataFrame, definition: str, cfg: Packing = Packing(), kin
                     ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary")
+    schema = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary"
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), schema)
 
 
 def narrow_kind(definition: str) -> str:

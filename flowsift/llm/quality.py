@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .words import BYTES, SPACE, chunks, find_words
+from .words import BYTES, SPACE, chunks, find_words, giving_back
 
 UPPER = (BYTES >= 65) & (BYTES <= 90)
 DIGIT = (BYTES >= 48) & (BYTES <= 57)
@@ -183,7 +183,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                     [batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(at), pa.array(x.reshape(-1)))], ["doc_id", "x"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, x array<float>")
 
 
 def label_sample(labels: DataFrame, cfg: Quality, folds: int, fold: int) -> DataFrame:
@@ -222,7 +222,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, cfg: Quality = Quality(),
             for first, last, x in statistics(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(trees.score(x))], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, score double")
     return scored.select(
         "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= cfg.accept).cast("int").alias("predicted")
     )
@@ -245,4 +245,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, cfg: Quality = Quality(), fold
             for first, last, x in statistics(batch.column(text)):
                 yield batch.slice(first, last - first).filter(pa.array(trees.score(x) >= cfg.accept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

@@ -21,6 +21,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def bound_batches(spark: SparkSession, size: str = "1m") -> None:
+    """Let whole texts go to Python workers in Arrow batches of about `size`, unless the session sets a size itself.
+
+    Spark's own bound is 10,000 rows or 64 MB, which both sides of the way hold several times.
+    Batches are cut when a plan runs, so the setting stays with the session; no result depends on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from the stored table.
 

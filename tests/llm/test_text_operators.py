@@ -1,8 +1,10 @@
 """Operators on texts against plain Python, with nulls, empty and long texts, ties, repeats, odd columns, empty tables."""
 
 import itertools
+import os
 import random
 import re
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
@@ -12,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowsift.llm import chat, decontaminate, lines, minhash, packing, pii, quality, sharding, toxicity
+from flowsift.llm import chat, decontaminate, lines, minhash, packing, pii, quality, sharding, toxicity, words
 from flowsift.llm.queries import word_tokenizer
 
 ODD_COLUMNS = "doc_id long, text string, h string, n int, words string, key string, rest int, _rank int, score string"
@@ -287,6 +289,74 @@ def test_a_task_holds_little_beside_its_batch():
     assert found(whole) == [(0, 2)]
 
 
+def test_pipeline_sends_texts_to_workers_in_small_batches(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = table(spark, [(i, "%d " % i * 4000) for i in range(500)]).coalesce(1)  # of some 8 MB
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    def largest():
+        return docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+    spark.conf.unset(key)
+    try:
+        assert largest() > 4e6
+        kept = corpus_pipeline.minhash_near_dedup(spark, docs, "")
+        assert largest() < 1.5e6 and kept.count() == 500
+        spark.conf.set(key, "3m")  # the session's own size stays
+        corpus_pipeline.minhash_near_dedup(spark, docs, "")
+        assert spark.conf.get(key) == "3m"
+    finally:
+        spark.conf.unset(key)
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_workers_hand_memory_back_after_a_task():
+    """What a task took does not stay with the worker, also where something made later outlives it."""
+
+    class Frame:  # gives the function that a worker runs
+        sparkSession = property(lambda self: self)
+        sparkContext = property(lambda self: self)
+
+        def broadcast(self, value):
+            self.value = value
+            return self
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    later = []
+
+    def batches():
+        held = [bytes(3000) for _ in range(40_000)]  # 120 MB
+        later.append(bytes(3000))
+        yield pa.record_batch([pa.array([1]), pa.array(["a b c d e f"])], ["doc_id", "text"])
+        del held
+
+    runs = [
+        quality.document_statistics(Frame()), minhash.sketches(Frame()), minhash.shingle_sets(Frame()),
+        packing.token_pieces(Frame(), word_tokenizer()),
+    ]
+    for run in runs:
+        list(run(batches()))
+        before = resident()
+        list(run(batches()))
+        assert resident() < before + 40e6
+        words.give_back()
+        assert resident() > before - 40e6, "a task left memory that could be handed back"
+
+
 def test_short_items_and_scripts_without_spaces_are_found(spark):
     items = [
         (1, "What is the capital city of France?"), (2, "who wrote it"), (3, "yes"), (4, "日本で一番高い山は何ですか？"),
